@@ -8,14 +8,13 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import hashing as H
 from . import postings as P
 from .common import ids_of, long_array, slices, text_buffer, text_rows, total_bytes
 
 #: Windows that a map task compares among themselves before anything is shuffled.
-FLUSH_WINDOWS = 2_500_000
+FLUSH_WINDOWS = 1_000_000
 #: Bytes of each window hash that travel; with the bucket number they make over 60 bits.
 HASH_BYTES = 7
 
@@ -78,7 +77,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.Table.from_batches([P.batch(done, P.MARK_NAMES)])
 
     marks = rows.mapInArrow(hashed, P.SCHEMA).groupBy("bucket").applyInArrow(settle, P.MARKS)
-    grouped = rows.withColumn("grp", F.pmod("key", F.lit(groups)).cast("int"))
+    grouped = rows.mapInArrow(lambda batches: P.text_groups(slices(batches, limit=8 << 20), groups), P.TEXTS)
     kind = "id long, n_words long, kept_text string, spans array<struct<start:long,end:long>>"
     return grouped.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(lambda texts, found: removed(texts, found, window), kind)
 
@@ -103,7 +102,7 @@ def removed(texts: pa.Table, found: pa.Table, window: int) -> pa.Table:
     order = np.argsort(doc_keys := keys[doc], kind="stable")
     doc_keys, pos = doc_keys[order], pos[order]
     out = []
-    for b in slices(iter(texts.select(["id", "text", "key"]).to_batches())):
+    for b in P.texts_of(texts):
         own = b.column(2).to_numpy()
         lo, hi = np.searchsorted(doc_keys, own, "left"), np.searchsorted(doc_keys, own, "right")
         n_words, kept, spans = [], [], []
