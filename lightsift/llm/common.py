@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,11 @@ def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> D
 def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, key): the two columns an operator needs, null text as '', and a 64-bit row key."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"))
+    return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text_rows_key(id_col, text_col).alias("key"))
+
+
+def text_rows_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def total_bytes(rows: DataFrame) -> int:
@@ -89,6 +93,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             at = to
 
 
+def rows_where(docs: DataFrame, text_col: str, rule: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """The rows of docs, all columns, for whose texts the predicate is true. rule() makes it in each task; it gets bytes and offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = rule()
+        for b in slices(batches, text_col):
+            yield b.filter(pa.array(keep(*text_buffer(b.column(b.schema.get_field_index(text_col)))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def ids_of(col: pa.Array) -> np.ndarray:
     return pc.fill_null(col, int(NULL_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
 

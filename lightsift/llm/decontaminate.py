@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import ids_of, long_array, slices, text_buffer, text_rows
+from .common import ids_of, long_array, rows_where, slices, text_buffer, text_rows
 
 SPAN = "array<struct<start:long,end:long>>"
 
@@ -135,6 +136,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return merged.select(F.explode(F.sequence(F.lit(1), "copies")).alias("_"), "id", "n_words", F.expr(f"aggregate(spans, cast(array() as {SPAN}), (a, s) -> {step})").alias("spans"), "items").drop("_")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text", window: int = 10, gram: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs, all columns, without any run of words that `decontaminate` would report."""
+    items = benchmark.select(F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).distinct()
+    blocks = max(1, -(-int(items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // block_bytes))
+    parts = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks if blocks == 1 else 2 * blocks)))
+    for k in range(blocks if blocks == 1 else 2 * blocks):
+        index = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex([("", r["text"]) for r in parts.where(F.col("block") == k).collect()], window, gram))
+
+        def rule(index: Broadcast = index) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+            def keep(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+                hit = np.ones(len(off) - 1, bool)
+                hit[index.value.find(buf, off)[2]] = False
+                return hit
+
+            return keep
+
+        docs = rows_where(docs, text_col, rule)
+    return docs
+
+
 def in_block(rows: DataFrame, items: list[tuple[str, str]], window: int, gram: int) -> DataFrame:
     index = rows.sparkSession.sparkContext.broadcast(BenchmarkIndex(items, window, gram))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

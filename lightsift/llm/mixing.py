@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -13,6 +13,29 @@ BITS, STEP = 60, 12
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def size_of(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
+
+
+def hash_of(id_col: str) -> Column:
+    """60 bits of the MD5 of the id as text."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def copies_of(u: Column) -> Column:
+    return (F.col("times") + F.when((F.col("need") > 0) & (u < F.col("cut")), 1).otherwise(0)).cast("int")
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The mixture itself: the rows of docs, all columns, each as often as `mix_sources` takes it. Texts are not shuffled
+    as long as Spark finds the table of sources small enough to send to every task."""
+    _, limits = mix_limits(docs, id_col, text_col, source_col, weights, share, most)
+    l = limits.select(F.col("source").alias("__source__"), "times", "need", "cut")  # noqa: E741
+    joined = docs.select(F.struct(*docs.columns).alias("__row__"), hash_of(id_col).alias("__u__"), F.col(source_col).cast("string").alias("__of__")).join(l, F.col("__of__").eqNullSafe(F.col("__source__")))
+    times = joined.select("__row__", copies_of(F.col("__u__")).alias("__n__")).where("__n__ > 0")
+    return times.select("__row__", F.explode(F.sequence(F.lit(1), "__n__"))).select("__row__.*")
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """Take about `target` words of each source, whole documents only, none more than `most` times.
 
@@ -26,12 +49,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns id, source, size, source_size, target and taken (words taken, repeats counted).
     The table of sources (one row each) is ranked in one task; documents never are.
     """
+    sized, limits = mix_limits(docs, id_col, text_col, source_col, weights, share, most)
+    taken = F.col("size") * copies_of(F.col("u"))
+    return sized.alias("d").join(limits.alias("l"), F.col("d.source").eqNullSafe(F.col("l.source"))).select("id", "d.source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix_limits(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes and hashes of the documents; per source its size, target, whole copies and the hash below which one more is taken."""
     sized = written(
         docs.select(
             F.col(id_col).cast("long").alias("id"),
             F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-            F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long").alias("u"),
+            size_of(text_col).alias("size"),
+            hash_of(id_col).alias("u"),
         ),
         "sizes",
     )
@@ -66,5 +96,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
     cut = reduce(DataFrame.unionByName, cuts)
     limits = written(sources.alias("s").join(cut.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left").select("s.*", F.coalesce("cut", F.lit(1 << BITS)).alias("cut")), "limits")
-    taken = F.col("size") * (F.col("times") + F.when((F.col("need") > 0) & (F.col("u") < F.col("cut")), 1).otherwise(0))
-    return sized.alias("d").join(limits.alias("l"), F.col("d.source").eqNullSafe(F.col("l.source"))).select("id", "d.source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return sized, limits

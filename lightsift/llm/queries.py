@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from .common import scratch_path
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
+from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .simhash_dedup import simhash_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .toxicity import toxicity
 from .token_store import verify_tokens, write_tokens
 
 END_ID = 2
@@ -32,11 +35,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", covered("spans").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -64,7 +75,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup, op5_simhash_dedup, op6_token_store, op7_mix_sources, op8_suffix_dedup, op9_decontaminate)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",")
+    return out.select(F.col("id").alias("doc_id"), "n_words", F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"), F.to_json("matches").alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_substring_dedup, op4_html_text, op5_simhash_dedup, op6_token_store, op7_mix_sources, op8_suffix_dedup, op9_decontaminate, op10_license_scan)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, long_array, slices, text_rows, written
+from .common import ids_of, long_array, same, slices, text_rows, text_rows_key, written
 from .components import components
 
 LENGTH, RADIUS = 23, 3
@@ -175,17 +175,29 @@ def spanning(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
-    """id, key, fp and component_id, the smallest id that links of at most `threshold` bits reach.
+    """id, key, fp, component_id (the smallest id that links of at most `threshold` bits reach) and best, true for that row.
 
     Texts without words (and null) have fingerprint zero and link like any other. A null id is larger
-    than any other (a component of null ids only has a null component_id). One row per input row.
+    than any other (a component of null ids only has a null component_id). One row per input row; rows
+    that repeat id and text are the same document, so they are best together.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "prints")
-    points = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    points = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("least"))
     found = written(links(points, threshold), "links")
     root = components(found, "a", "b")
-    # the smallest id of each connected set of fingerprints, and then of its members
+    # the first document of each connected set of fingerprints
     labelled = points.join(root, points.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(labelled.join(least, "root").select("fp", "component_id"), "classes")
-    return prints.join(of, "fp").select("id", "key", "fp", "component_id")
+    first = labelled.groupBy("root").agg(F.min("least").alias("first"))
+    of = written(labelled.join(first, "root").select("fp", "first"), "classes")
+    best = same(F.col("id"), F.col("first.id")) & (F.col("key") == F.col("first.key"))
+    return prints.join(of, "fp").select("id", "key", "fp", F.col("first.id").alias("component_id"), best.alias("best"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
+    """The rows of docs, all columns, that come first in their component."""
+    stay = simhash_dedup(docs, id_col, text_col, shingle, threshold).where("best").select("key").distinct()
+    key = text_rows_key(id_col, text_col)
+    return docs.withColumn(KEY, key).join(stay.withColumnRenamed("key", KEY), KEY, "left_semi").drop(KEY)
+
+
+KEY = "__row_key__"
