@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -66,51 +67,69 @@ def whole(names: DataFrame) -> DataFrame:
 
 
 def named(df: DataFrame, cols: list[str]) -> DataFrame:
-    """df with `name` for its cols: equal values get one integer. Rows of a frequent value are spread over
-    several range partitions by id; the few names that meet at partition edges are joined afterwards."""
-    order = [*cols, *KEYS]
-    sorted_ = df.select("id", "key", "sha", "n", "pos", *cols).repartitionByRange(*order).sortWithinPartitions(*order)
+    """df with `name` for its cols: equal values get one integer.
 
-    def digest(b: pa.RecordBatch, row: int) -> bytes:
-        return hashlib.sha256(repr([b.column(b.schema.get_field_index(c))[row].as_py() for c in cols]).encode()).digest()
+    Rows are sorted by a hash of the value, then the value: the sample that sets the range bounds holds
+    short keys only. Rows of a frequent value are spread over several partitions by id; the few names
+    that meet at partition edges are joined afterwards. Values, never hashes, decide what is equal.
+    """
+    keyed = df.select("id", "key", "sha", "n", "pos", *cols, F.xxhash64(*cols).alias("h"))
+    sorted_ = keyed.repartitionByRange("h", *KEYS).sortWithinPartitions("h", *cols, *KEYS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, rank, first, last = TaskContext.get().partitionId(), 0, None, None
+        pid, rank = TaskContext.get().partitionId(), 0
+        first: dict[bytes, int] = {}
+        last: dict[bytes, int] = {}
+        first_h = last_h = last_value = None
         for b in batches:
             if not b.num_rows:
                 continue
+            values = [b.column(b.schema.get_field_index(c)) for c in cols]
+            h = b.column(b.schema.get_field_index("h")).to_numpy()
+            value = [v[0].as_py() for v in values]
             new = np.zeros(b.num_rows, bool)
-            for c in cols:
-                v = b.column(b.schema.get_field_index(c))
+            for v in values:
                 new[1:] |= pc.not_equal(v.slice(1), v.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
-            head = digest(b, 0)
-            if first is None:
-                first = head
-            elif head != last:
-                new[0] = True
-            ranks = rank + np.cumsum(new)
-            rank, last = int(ranks[-1]), digest(b, b.num_rows - 1)
-            # alone: neither neighbour is equal; not told at the edges of a batch
+            new[0] = value != last_value
+            names = pid * STRIDE + rank + np.cumsum(new)
+            rank, last_value = rank + int(new.sum()), [v[b.num_rows - 1].as_py() for v in values]
+            first_h = h[0] if first_h is None else first_h
+            if h[-1] != last_h:
+                last_h, last = h[-1], {}
+            for at, group in ((first_h, first), (last_h, last)):
+                for i in np.flatnonzero(new & (h == at)).tolist():
+                    group[hashlib.sha256(repr([v[i].as_py() for v in values]).encode()).digest()] = int(names[i])
+            # alone: no neighbour has the same hash; not told at the edges of a batch
             solo = np.zeros(b.num_rows, bool)
-            solo[1:-1] = new[1:-1] & new[2:]
+            solo[1:-1] = (h[1:-1] != h[:-2]) & (h[1:-1] != h[2:])
             keep = [b.column(b.schema.get_field_index(c)) for c in ("id", "key", "sha", "n", "pos")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(pid * STRIDE + ranks, pa.int64()), pa.array(solo), pa.nulls(b.num_rows, pa.binary()), pa.nulls(b.num_rows, pa.binary())], names=OUT)
-        if first is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([pid * STRIDE + rank], pa.int64()), pa.array([False]), pa.array([first], pa.binary()), pa.array([last], pa.binary())], names=OUT)
+            none = pa.nulls(b.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(names, pa.int64()), pa.array(solo), none, none], names=OUT)
+        edges = [(n, d, None) for d, n in first.items()] + [(n, None, d) for d, n in last.items()]
+        if edges:
+            at = [first_h, last_h]
+            m = len(edges)
+            yield pa.RecordBatch.from_arrays([pa.array([int(at[e[1] is None]) for e in edges], pa.int64()), pa.array([pid] * m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array([e[0] for e in edges], pa.int64()), pa.array([False] * m), pa.array([e[1] for e in edges], pa.binary()), pa.array([e[2] for e in edges], pa.binary())], names=OUT)
 
     out = written(sorted_.mapInArrow(run, "id long, key long, sha string, n int, pos int, name long, solo boolean, first binary, last binary"), "names")
-    edges = out.where(F.col("first").isNotNull()).select("name", "first", "last").orderBy("name").collect()  # one row per partition
-    alias, end = [], None
-    for e in edges:
-        start = e["name"] // STRIDE * STRIDE
-        to = end[1] if end is not None and end[0] == bytes(e["first"]) else None
-        if to is not None:
-            alias.append((start, to))
-        end = (bytes(e["last"]), to if to is not None and e["name"] == start else e["name"])
-    rows = out.where(F.col("first").isNull()).drop("first", "last")
+    told = F.col("first").isNotNull() | F.col("last").isNotNull()
+    edges = out.where(told).select(F.col("id").alias("h"), F.col("key").alias("pid"), "name", "first", "last").orderBy("pid").collect()  # about two rows per partition
+    alias: dict[int, int] = {}
+    before: dict[bytes, int] = {}
+    before_h = None
+    for _, part in groupby(edges, lambda e: e["pid"]):
+        part = list(part)
+        for e in part:
+            if e["first"] is not None and bytes(e["first"]) in before:
+                alias[e["name"]] = before[bytes(e["first"])]
+        end = {bytes(e["last"]): alias.get(e["name"], e["name"]) for e in part if e["last"] is not None}
+        end_h = next(e["h"] for e in part if e["last"] is not None)
+        before = before | end if end_h == before_h else end
+        before_h = end_h
+    rows = out.where(~told).drop("first", "last")
     if not alias:
         return rows
-    to = df.sparkSession.createDataFrame(alias, "name long, other long")
+    to = df.sparkSession.createDataFrame(list(alias.items()), "name long, other long")
     return rows.join(F.broadcast(to), "name", "left").select("id", "key", "sha", "n", "pos", F.coalesce("other", "name").alias("name"), "solo")
 
 
