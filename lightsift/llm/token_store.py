@@ -12,13 +12,12 @@ chunks wherever they stand; each unique chunk is stored once.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,30 +26,62 @@ from . import hashing as H
 from .common import NULL_ID, ids_of, long_array, numbered, slices, text_rows
 
 ROLL, MASK, LEAST, MOST = 16, (1 << 10) - 1, 256, 8192
-#: Distinct text pieces whose ids a worker keeps; then it starts anew.
-PIECES = 400_000
-#: Unicode white space and what follows: a tokenizer that splits words at white space gives each such piece its own ids.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Distinct words whose ids a worker keeps; then it starts anew.
+WORDS = 300_000
+# Fixed value: the word pattern of this byte-level vocabulary.
+WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def shown() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable Latin-1 characters stand for themselves, others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b if b in plain else 256 + rest.index(b) for b in range(256)}
+
+
+SHOWN = shown()
+
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; pieces seen before are remembered."""
+    """Ids of texts by the tokenizers library; words seen before are remembered.
+
+    For byte-level BPE texts are split by the vocabulary's word pattern and the library's own model is
+    asked once per word, which spares the offsets that encode() keeps. That way is only taken if it
+    agrees with encode() on the first texts of a worker; texts that hold an added token, and all other
+    tokenizers, go through encode_batch_fast().
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_word: bool | None = None
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        found = WORD.findall(text)
+        for w in set(found):
+            if w in self.known:
+                continue
+            self.known[w] = np.array([t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(SHOWN))], "<u4").tobytes()
+        return b"".join(map(self.known.__getitem__, found))
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        pieces = [PIECE.findall(t) for t in texts]
-        if len(self.known) > PIECES:
+        if len(self.known) > WORDS:
             self.known.clear()
-        new = list(set(chain.from_iterable(pieces)) - self.known.keys())
-        for s, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[s] = tuple(e.ids)
-        get = self.known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, p)), (end,)), np.uint32) for p in pieces]
+        plain = [not any(a in t for a in self.added) for t in texts]
+        if self.by_word is None and any(plain):
+            trial = [t[:20_000] for t, p in zip(texts, plain, strict=True) if p][:8]
+            self.by_word = "ByteLevel" in str(self.tokenizer.pre_tokenizer)[:20] and self.tokenizer.normalizer is None and [self.words(t) for t in trial] == self.whole(trial)
+        last = np.array([end], "<u4").tobytes()
+        rest = iter(self.whole([t for t, p in zip(texts, plain, strict=True) if not (p and self.by_word)]))
+        return [np.frombuffer((self.words(t) if p and self.by_word else next(rest)) + last, "<u4") for t, p in zip(texts, plain, strict=True)]
 
 
 def chunk_ends(ids: np.ndarray) -> list[int]:
