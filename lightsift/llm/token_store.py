@@ -12,6 +12,7 @@ chunks wherever they stand; each unique chunk is stored once.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from . import hashing as H
 from .common import NULL_ID, ids_of, long_array, numbered, slices, text_rows
 
 ROLL, MASK, LEAST, MOST = 16, (1 << 10) - 1, 256, 8192
-#: Distinct words whose ids a worker keeps; then it starts anew.
-WORDS = 300_000
+#: Distinct words whose ids a worker keeps (about 200 bytes each); then it starts anew.
+WORDS = 500_000
 # Fixed value: the word pattern of this byte-level vocabulary.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -65,12 +66,15 @@ class Encoder:
 
     def words(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        found = WORD.findall(text)
-        for w in set(found):
-            if w in self.known:
-                continue
-            self.known[w] = np.array([t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(SHOWN))], "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, found))
+        found, known = WORD.findall(text), self.known
+        try:
+            return b"".join(map(known.__getitem__, found))
+        except KeyError:
+            for w in set(found):
+                if w not in known:
+                    ids = [t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(SHOWN))]
+                    known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            return b"".join(map(known.__getitem__, found))
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         if len(self.known) > WORDS:
