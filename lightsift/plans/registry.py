@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +17,7 @@ from lightsift.operators import picks as P
 from lightsift.operators import quality as Q
 from lightsift.operators.search import search
 from lightsift.sources import manifest as M
+from lightsift.session import written
 from lightsift.streaming import watch as W
 
 from . import bindings as X
@@ -39,18 +38,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A small table cut off from its lineage, in the shared folder the cluster names."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/lightsift-round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # --- shared SQL -------------------------------------------------------------------------------
 FRAMES = """frames AS (
     SELECT e.event_id AS path, e.user_id AS camera_id, e.ts AS captured_at, e.value AS score, v.embedding::DOUBLE[] AS emb,

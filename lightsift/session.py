@@ -4,12 +4,27 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_local: list[str] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A small table cut off from its lineage, in the folder that spark.checkpoint.dir names (tests: a local one)."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+        root = _local[0]
+    path = f"{root.rstrip('/')}/lightsift-round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
