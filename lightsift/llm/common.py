@@ -26,14 +26,16 @@ from pyspark.sql import functions as F
 NULL_ID = np.iinfo(np.int64).max
 #: Text bytes that a task turns into NumPy arrays at a time (a longer single document goes alone).
 SLICE_BYTES = 2 << 20
+_local: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder for written intermediates: the one the cluster names in spark.checkpoint.dir, else (tests) a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+        root = _local[0]
     return root.rstrip("/")
 
 
