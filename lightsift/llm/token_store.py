@@ -15,6 +15,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,8 @@ class Encoder:
 def chunk_ends(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one id stream."""
     n = len(ids)
+    if n <= LEAST:
+        return [n] if n else []
     rolled = H.window_hashes(H.mix(ids.astype(np.uint64)), ROLL)
     cuts, ends, at = (np.flatnonzero(rolled & np.uint64(MASK) == 0) + ROLL).tolist(), [], 0
     for c in [*cuts, n]:
@@ -240,12 +243,18 @@ def times(a: int, b: int) -> int:
     return out
 
 
+@lru_cache(1 << 14)
+def shift(length: int) -> int:
+    """x to the power of 8 * length: what `length` more bytes do to a CRC."""
+    out, square = 0x80000000, 0x00800000  # 1, and x^8: one byte
+    while length:
+        if length & 1:
+            out = times(out, square)
+        square = times(square, square)
+        length >>= 1
+    return out
+
+
 def crc_joined(first: int, second: int, length: int) -> int:
     """CRC-32 of two byte strings in a row, from theirs and the length of the second."""
-    shift, square, n = 0x80000000, 0x00800000, length  # 1, and x^8: one byte
-    while n:
-        if n & 1:
-            shift = times(shift, square)
-        square = times(square, square)
-        n >>= 1
-    return times(shift, first) ^ second
+    return times(shift(length), first) ^ second if first else second
