@@ -28,8 +28,10 @@ from . import hashing as H
 from .common import NULL_ID, ids_of, long_array, numbered, slices, text_rows
 
 ROLL, MASK, LEAST, MOST = 16, (1 << 10) - 1, 256, 8192
-#: Distinct words whose ids a worker keeps (about 200 bytes each); then it starts anew.
-WORDS = 500_000
+#: Distinct pieces whose ids a worker keeps (about 200 bytes each); then it keeps those of its last text only.
+PIECES = 700_000
+SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+CUT = regex.compile(r" (?=\S)")
 # Fixed value: the word pattern of this byte-level vocabulary.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -44,49 +46,65 @@ def shown() -> dict[int, int]:
 SHOWN = shown()
 
 
-
 class Encoder:
     """Ids of texts by the tokenizers library; words seen before are remembered.
 
-    For byte-level BPE texts are split by the vocabulary's word pattern and the library's own model is
-    asked once per word, which spares the offsets that encode() keeps. That way is only taken if it
-    agrees with encode() on the first texts of a worker; texts that hold an added token, and all other
-    tokenizers, go through encode_batch_fast().
+    For byte-level BPE texts are cut into pieces before every space that leads a word, where the
+    vocabulary's word pattern always ends a word too; a new piece is split by that pattern, and the
+    library's own model is asked once per new word, which spares the offsets that encode() keeps. That
+    way is only taken if it agrees with encode() on the first texts of a worker; texts that hold an
+    added token, and all other tokenizers, go through encode_batch_fast().
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # by what follows the leading space
+        self.words: dict[str, bytes] = {}  # without a leading space
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word: bool | None = None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, text: str) -> bytes:
+    def by_words(self, piece: str) -> bytes:
+        out = []
+        for w in WORD.findall(piece):
+            known, name = (self.pieces, w[1:]) if w[0] == " " else (self.words, w)
+            ids = known.get(name)
+            if ids is None:
+                found = [t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(SHOWN))]
+                ids = known[name] = struct.pack(f"<{len(found)}I", *found)
+            out.append(ids)
+        return b"".join(out)
+
+    def by_pieces(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        found, known = WORD.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except KeyError:
-            for w in set(found):
-                if w not in known:
-                    ids = [t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(SHOWN))]
-                    known[w] = struct.pack(f"<{len(ids)}I", *ids)
-            return b"".join(map(known.__getitem__, found))
+        # a space before another one, or at the end, leads no word: then not every space is a cut
+        lone = text.endswith(" ") or any(" " + c in text for c in SPACES if c in text)
+        first, *rest = CUT.split(text) if lone else text.split(" ")
+        for p in set(rest).difference(self.pieces):
+            self.pieces[p] = self.by_words(" " + p)
+        out = self.by_words(first) + b"".join(map(self.pieces.__getitem__, rest))
+        if len(self.pieces) + len(self.words) > PIECES:
+            self.pieces, self.words = {p: self.pieces[p] for p in set(rest)}, {}
+        return out
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        if len(self.known) > WORDS:
-            self.known.clear()
         plain = [not any(a in t for a in self.added) for t in texts]
         if self.by_word is None and any(plain):
             trial = [t[:20_000] for t, p in zip(texts, plain, strict=True) if p][:8]
-            self.by_word = "ByteLevel" in str(self.tokenizer.pre_tokenizer)[:20] and self.tokenizer.normalizer is None and [self.words(t) for t in trial] == self.whole(trial)
+            self.by_word = "ByteLevel" in str(self.tokenizer.pre_tokenizer)[:20] and self.tokenizer.normalizer is None and [self.by_pieces(t) for t in trial] == self.whole(trial)
         last = np.array([end], "<u4").tobytes()
         rest = iter(self.whole([t for t, p in zip(texts, plain, strict=True) if not (p and self.by_word)]))
-        return [np.frombuffer((self.words(t) if p and self.by_word else next(rest)) + last, "<u4") for t, p in zip(texts, plain, strict=True)]
+        return [np.frombuffer((self.by_pieces(t) if p and self.by_word else next(rest)) + last, "<u4") for t, p in zip(texts, plain, strict=True)]
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One per worker process: later tasks of that worker find the words known."""
+    return Encoder(path)
 
 
 def chunk_ends(ids: np.ndarray) -> list[int]:
