@@ -150,7 +150,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = Encoder(tokenizer), zstandard.ZstdCompressor(level=1)
+        coder, packer = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
         seen: set[bytes] = set()
         for b in slices(batches):
             if len(seen) > 1_000_000:
