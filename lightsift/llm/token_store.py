@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,6 +44,18 @@ def shown() -> dict[int, int]:
 
 
 SHOWN = shown()
+SPACE = chr(SHOWN[32])
+
+
+class Pieces(dict[str, bytes]):
+    """Ids of pieces by what follows their leading space; a new piece is asked for once."""
+
+    def __init__(self, ask: Callable[[str], bytes]) -> None:
+        self.ask = ask
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.ask(piece)
+        return ids
 
 
 class Encoder:
@@ -60,7 +72,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {}  # by what follows the leading space
+        self.model = self.tokenizer.model
+        self.pieces = Pieces(self.new_piece)
         self.words: dict[str, bytes] = {}  # without a leading space
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word: bool | None = None
@@ -68,14 +81,21 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def asked(self, shown_word: str) -> bytes:
+        found = [t.id for t in self.model.tokenize(shown_word)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def new_piece(self, piece: str) -> bytes:
+        # ASCII letters are one word to the vocabulary's pattern and are shown as themselves
+        return self.asked(SPACE + piece) if piece.isascii() and piece.isalpha() else self.by_words(" " + piece)
+
     def by_words(self, piece: str) -> bytes:
         out = []
         for w in WORD.findall(piece):
             known, name = (self.pieces, w[1:]) if w[0] == " " else (self.words, w)
             ids = known.get(name)
             if ids is None:
-                found = [t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(SHOWN))]
-                ids = known[name] = struct.pack(f"<{len(found)}I", *found)
+                ids = known[name] = self.asked(w.encode().decode("latin-1").translate(SHOWN))
             out.append(ids)
         return b"".join(out)
 
@@ -84,11 +104,12 @@ class Encoder:
         # a space before another one, or at the end, leads no word: then not every space is a cut
         lone = text.endswith(" ") or any(" " + c in text for c in SPACES if c in text)
         first, *rest = CUT.split(text) if lone else text.split(" ")
-        for p in set(rest).difference(self.pieces):
-            self.pieces[p] = self.by_words(" " + p)
         out = self.by_words(first) + b"".join(map(self.pieces.__getitem__, rest))
         if len(self.pieces) + len(self.words) > PIECES:
-            self.pieces, self.words = {p: self.pieces[p] for p in set(rest)}, {}
+            known = {p: self.pieces[p] for p in set(rest)}
+            self.pieces.clear()
+            self.words.clear()
+            self.pieces.update(known)
         return out
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
