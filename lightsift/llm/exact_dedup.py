@@ -23,6 +23,8 @@ from .common import same, text_rows, written
 
 #: A name is the partition it was first met in times this, plus its rank there.
 STRIDE = 1 << 40
+#: Parts that the documents of one group are dealt to when they get their answer.
+SALTS = 256
 KEYS = ["id", "key", "pos"]
 
 
@@ -53,9 +55,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for d in done[1:]:
         all_ = all_.unionByName(d)
     own = F.struct(F.col("id").isNull().alias("last"), "id", "key")
-    rest = all_.where(~F.col("solo")).select("id", "key", "sha", "n", F.col("names")[0].alias("name"), own.alias("own"))
-    classes = rest.groupBy("n", "name").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("group_size"))
-    grouped = rest.join(classes, ["n", "name"]).select("id", F.col("best.id").alias("keep_id"), "group_size", same(F.col("own.id"), F.col("best.id")).__and__(F.col("own.key") == F.col("best.key")).alias("kept"), F.col("sha").alias("text_sha256"))
+    rest = all_.where(~F.col("solo")).select("id", "key", "sha", "n", F.col("names")[0].alias("name"), own.alias("own"), F.pmod("key", F.lit(SALTS)).alias("salt"))
+    # a large group's documents are dealt out by salt, and so is its answer: one row for each salt it has
+    parts = rest.groupBy("n", "name", "salt").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("size"))
+    classes = parts.groupBy("n", "name").agg(F.min("best").alias("best"), F.sum("size").alias("group_size"))
+    answers = parts.select("n", "name", "salt").join(classes, ["n", "name"])
+    grouped = rest.join(answers, ["n", "name", "salt"]).select("id", F.col("best.id").alias("keep_id"), "group_size", same(F.col("own.id"), F.col("best.id")).__and__(F.col("own.key") == F.col("best.key")).alias("kept"), F.col("sha").alias("text_sha256"))
     alone = all_.where("solo").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.unionByName(grouped)
 
