@@ -32,42 +32,44 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Group equal texts; runs of `pattern` count as `by`.
 
     Returns id, keep_id (the group's smallest id), group_size, kept and text_sha256 of the normalised
-    text. Null text is an empty text, and empty texts are equal to each other. Rows that repeat id and
-    text are one document; a null id is larger than any other. Of rows with one id and different raw
-    texts that normalise equally, one is kept.
+    text. Null text is an empty text, and empty texts are equal to each other. One row per input row: rows
+    that repeat id and text are compared as one document, count each in group_size and are given one row
+    each. A null id is larger than any other. One row of each group is kept, also of rows that repeat an id.
     """
     norm = text_rows(docs, id_col, text_col).select("id", "key", F.regexp_replace("text", pattern, by).alias("text"))
     cut = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % block_chars), F.lit(0))
     blocks = norm.select("id", "key", F.sha2("text", 256).alias("sha"), F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(cut).alias("cut"))
     blocks = blocks.select("id", "key", "sha", F.size("cut").alias("n"), F.posexplode("cut").alias("pos", "block"))
-    blocks = blocks.withColumn("sha", F.when(F.col("pos") == 0, F.col("sha")))
+    blocks = blocks.withColumn("sha", F.when(F.col("pos") == 0, F.col("sha"))).withColumn("copies", F.when(F.col("pos") == 0, F.lit(1).cast("long")))
     state = whole(named(blocks, ["block"]))
     done = []
     while True:
         open_ = F.size("names") > 1
         done.append(state.where(F.col("solo") | ~open_))
-        pairs = state.where(~F.col("solo") & open_).select("id", "key", "n", "sha", F.posexplode(F.expr("transform(sequence(0, size(names) - 1, 2), i -> struct(names[i] AS l, coalesce(get(names, i + 1), -1L) AS r))")).alias("pos", "pair"))
+        pairs = state.where(~F.col("solo") & open_).select("id", "key", "n", "sha", "copies", F.posexplode(F.expr("transform(sequence(0, size(names) - 1, 2), i -> struct(names[i] AS l, coalesce(get(names, i + 1), -1L) AS r))")).alias("pos", "pair"))
         if pairs.isEmpty():
             break
-        pairs = pairs.select("id", "key", F.when(F.col("pos") == 0, F.col("sha")).alias("sha"), "n", "pos", "pair.l", "pair.r")
+        pairs = pairs.select("id", "key", F.when(F.col("pos") == 0, F.col("sha")).alias("sha"), F.when(F.col("pos") == 0, F.col("copies")).alias("copies"), "n", "pos", "pair.l", "pair.r")
         state = whole(named(pairs, ["l", "r"]))
     all_ = done[0]
     for d in done[1:]:
         all_ = all_.unionByName(d)
     own = F.struct(F.col("id").isNull().alias("last"), "id", "key")
-    rest = all_.where(~F.col("solo")).select("id", "key", "sha", "n", F.col("names")[0].alias("name"), own.alias("own"), F.pmod("key", F.lit(SALTS)).alias("salt"))
+    rest = all_.where(~F.col("solo")).select("id", "key", "sha", "copies", "n", F.col("names")[0].alias("name"), own.alias("own"), F.pmod("key", F.lit(SALTS)).alias("salt"))
     # a large group's documents are dealt out by salt, and so is its answer: one row for each salt it has
-    parts = rest.groupBy("n", "name", "salt").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("size"))
+    parts = rest.groupBy("n", "name", "salt").agg(F.min("own").alias("best"), F.sum("copies").alias("size"))
     classes = parts.groupBy("n", "name").agg(F.min("best").alias("best"), F.sum("size").alias("group_size"))
     answers = parts.select("n", "name", "salt").join(classes, ["n", "name"])
-    grouped = rest.join(answers, ["n", "name", "salt"]).select("id", F.col("best.id").alias("keep_id"), "group_size", same(F.col("own.id"), F.col("best.id")).__and__(F.col("own.key") == F.col("best.key")).alias("kept"), F.col("sha").alias("text_sha256"))
-    alone = all_.where("solo").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    return alone.unionByName(grouped)
+    first = same(F.col("own.id"), F.col("best.id")) & (F.col("own.key") == F.col("best.key"))
+    grouped = rest.join(answers, ["n", "name", "salt"]).select("id", F.col("best.id").alias("keep_id"), "group_size", first.alias("first"), "sha", "copies")
+    alone = all_.where("solo").select("id", F.col("id").alias("keep_id"), F.col("copies").alias("group_size"), F.lit(True).alias("first"), "sha", "copies")
+    each = alone.unionByName(grouped).select("*", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
+    return each.select("id", "keep_id", "group_size", (F.col("first") & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def whole(names: DataFrame) -> DataFrame:
-    """One row per document: its names in order, and whether one of them is its own alone."""
-    out = names.groupBy("id", "key").agg(F.max("n").alias("n"), F.max("sha").alias("sha"), F.max("solo").alias("solo"), F.transform(F.array_sort(F.collect_set(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
+    """One row per document: its names in order, its number of input rows, and whether one of the names is its own alone."""
+    out = names.groupBy("id", "key").agg(F.max("n").alias("n"), F.max("sha").alias("sha"), F.sum("copies").alias("copies"), F.max("solo").alias("solo"), F.transform(F.array_sort(F.collect_set(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
     return written(out, "blocks")
 
 
@@ -78,7 +80,7 @@ def named(df: DataFrame, cols: list[str]) -> DataFrame:
     short keys only. Rows of a frequent value are spread over several partitions by id; the few names
     that meet at partition edges are joined afterwards. Values, never hashes, decide what is equal.
     """
-    keyed = df.select("id", "key", "sha", "n", "pos", *cols, F.xxhash64(*cols).alias("h"))
+    keyed = df.select("id", "key", "sha", "copies", "n", "pos", *cols, F.xxhash64(*cols).alias("h"))
     sorted_ = keyed.repartitionByRange("h", *KEYS).sortWithinPartitions("h", *cols, *KEYS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,16 +109,16 @@ def named(df: DataFrame, cols: list[str]) -> DataFrame:
             # alone: no neighbour has the same hash; not told at the edges of a batch
             solo = np.zeros(b.num_rows, bool)
             solo[1:-1] = (h[1:-1] != h[:-2]) & (h[1:-1] != h[2:])
-            keep = [b.column(b.schema.get_field_index(c)) for c in ("id", "key", "sha", "n", "pos")]
+            keep = [b.column(b.schema.get_field_index(c)) for c in ("id", "key", "sha", "copies", "n", "pos")]
             none = pa.nulls(b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([*keep, pa.array(names, pa.int64()), pa.array(solo), none, none], names=OUT)
         edges = [(n, d, None) for d, n in first.items()] + [(n, None, d) for d, n in last.items()]
         if edges:
             at = [first_h, last_h]
             m = len(edges)
-            yield pa.RecordBatch.from_arrays([pa.array([int(at[e[1] is None]) for e in edges], pa.int64()), pa.array([pid] * m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array([e[0] for e in edges], pa.int64()), pa.array([False] * m), pa.array([e[1] for e in edges], pa.binary()), pa.array([e[2] for e in edges], pa.binary())], names=OUT)
+            yield pa.RecordBatch.from_arrays([pa.array([int(at[e[1] is None]) for e in edges], pa.int64()), pa.array([pid] * m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array([e[0] for e in edges], pa.int64()), pa.array([False] * m), pa.array([e[1] for e in edges], pa.binary()), pa.array([e[2] for e in edges], pa.binary())], names=OUT)
 
-    out = written(sorted_.mapInArrow(run, "id long, key long, sha string, n int, pos int, name long, solo boolean, first binary, last binary"), "names")
+    out = written(sorted_.mapInArrow(run, "id long, key long, sha string, copies long, n int, pos int, name long, solo boolean, first binary, last binary"), "names")
     told = F.col("first").isNotNull() | F.col("last").isNotNull()
     edges = out.where(told).select(F.col("id").alias("h"), F.col("key").alias("pid"), "name", "first", "last").orderBy("pid").collect()  # about two rows per partition
     alias: dict[int, int] = {}
@@ -135,7 +137,7 @@ def named(df: DataFrame, cols: list[str]) -> DataFrame:
     if not alias:
         return rows
     to = df.sparkSession.createDataFrame(list(alias.items()), "name long, other long")
-    return rows.join(F.broadcast(to), "name", "left").select("id", "key", "sha", "n", "pos", F.coalesce("other", "name").alias("name"), "solo")
+    return rows.join(F.broadcast(to), "name", "left").select("id", "key", "sha", "copies", "n", "pos", F.coalesce("other", "name").alias("name"), "solo")
 
 
-OUT = ["id", "key", "sha", "n", "pos", "name", "solo", "first", "last"]
+OUT = ["id", "key", "sha", "copies", "n", "pos", "name", "solo", "first", "last"]

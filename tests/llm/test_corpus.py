@@ -72,6 +72,16 @@ def test_exact(docs, empty):
     assert exact_dedup(empty).count() == 0
 
 
+def test_exact_repeated_rows(spark):
+    texts = {1: "short", 2: prose(3000), 3: "own " + prose(3000)}
+    rows = [(1, texts[1]), (1, texts[1]), (2, texts[2]), (2, texts[2]), (4, texts[2]), (3, texts[3]), (3, texts[3]), (5, "alone"), (None, None), (None, None), (None, ""), (None, "x y"), (None, "x  y")]
+    for block in (2048, 7):
+        out = [tuple(r)[:4] for r in exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_chars=block).collect()]
+        want = [(1, 1, 2, True), (1, 1, 2, False), (2, 2, 3, True), (2, 2, 3, False), (4, 2, 3, False), (3, 3, 2, True), (3, 3, 2, False), (5, 5, 1, True)]
+        want += [(None, None, 3, True), (None, None, 3, False), (None, None, 3, False), (None, None, 2, True), (None, None, 2, False)]
+        assert sorted(out, key=repr) == sorted(want, key=repr)
+
+
 def test_substring(docs, empty):
     got = {big(r.id): r for r in substring_dedup(docs).collect()}
     seen = {}
