@@ -26,14 +26,17 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 #: What stands inside these is never text of the page.
 UNSEEN = frozenset("head script style noscript template textarea select svg math iframe object canvas audio video button title".split())
 #: What stands inside these is never part of the article.
-OUTSIDE = frozenset("nav footer aside form header dialog menu".split())
-OUTSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+OUTSIDE = frozenset("nav footer aside header dialog menu".split())
+#: Whole tokens of class, id and role. Part of a longer token says little: has-sidebar, page-with-comments, social-science.
+NAME = r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:s|bar|menu|igation)?|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget"
+OUTSIDE_NAMES = re.compile(rf"(?:(?:site|page|global)[-_])?(?:{NAME})|(?:{NAME})[-_](?:area|list|section|box|bar|banner|links?|buttons?|icons?|posts?|signup|form|popup|modal|slot|unit|menu)", re.I)
+COMMENTS = re.compile(r"comments?(?:[-_].*)?|disqus", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key ends an open element of its values.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}} | {t: {"p"} for t in BLOCKS - {"li", "dt", "dd", "td", "th", "tr", "option", "html", "body"}}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>", re.S)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\"[^\"]*\"|'[^']*'")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG, LINKED = 70, 140, 0.33
@@ -42,10 +45,10 @@ GOOD, BAD, NEAR, OPEN = "good", "bad", "near", "open"
 
 
 class Block:
-    __slots__ = ("text", "linked", "scope", "outside", "heading", "label")
+    __slots__ = ("text", "linked", "scope", "outside", "within", "heading", "label")
 
-    def __init__(self, text: str, linked: int, scope: int, outside: bool, heading: bool) -> None:
-        self.text, self.linked, self.scope, self.outside, self.heading = text, linked, scope, outside, heading
+    def __init__(self, text: str, linked: int, scope: int, outside: bool, within: tuple[int, ...], heading: bool) -> None:
+        self.text, self.linked, self.scope, self.outside, self.within, self.heading = text, linked, scope, outside, within, heading
         self.label = BAD if outside else self.first_pass()
 
     def first_pass(self) -> str:
@@ -61,17 +64,61 @@ class Block:
         return NEAR if stops >= STOP_LOW else OPEN
 
 
+class Wrapper:
+    """An element that its class, id or role (or being a form) says is no part of the article, unless it wraps that."""
+
+    __slots__ = ("comments", "main", "article", "good")
+
+    def __init__(self, comments: bool) -> None:
+        self.comments, self.main, self.article, self.good = comments, False, False, 0
+
+
+def attributes(raw: str) -> dict[str, str]:
+    """Attributes of a start tag by lower-case name; the first of a name counts, one without a value is ''."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(raw):
+        if name:
+            out.setdefault(name.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    return out
+
+
+def hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or bool(NOT_SHOWN.search(attrs.get("style", "")))
+
+
+def settle(found: list[Block], wrappers: list[Wrapper], articles: list[tuple[int, ...]]) -> None:
+    """Blocks inside of wrappers become bad.
+
+    A wrapper does not count if it holds a main element or more than half of the good text, or, where no
+    article stands outside of wrappers, if it holds one. Comments only do not count if they hold a main element.
+    """
+    total = 0
+    for b in found:
+        if b.label == GOOD:
+            total += len(b.text)
+            for w in b.within:
+                wrappers[w].good += len(b.text)
+    counts = [not (w.main or not w.comments and 2 * w.good > total) for w in wrappers]
+    if not any(all(not counts[w] for w in around) for around in articles):
+        counts = [c and (w.comments or not w.article) for c, w in zip(counts, wrappers, strict=True)]
+    for b in found:
+        if any(counts[w] for w in b.within):
+            b.outside, b.label = True, BAD
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order. scope: number of the article or main element around a block, 0 outside of any."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, in a part that is no article, scope
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, in a part that is no article, scope, wrappers around
+    wrappers: list[Wrapper] = []
+    articles: list[tuple[int, ...]] = []  # the wrappers around each article or main element
     parts: list[str] = []
     linked, heading, scopes, links, breaks = 0, False, 0, 0, 0
 
     def end() -> None:
         nonlocal parts, linked, heading
         if text := " ".join("".join(parts).split()):
-            out.append(Block(text, linked, stack[-1][2] if stack else 0, bool(stack) and stack[-1][1], heading))
+            out.append(Block(text, linked, stack[-1][2] if stack else 0, bool(stack) and stack[-1][1], stack[-1][3] if stack else (), heading))
         parts, linked, heading = [], 0, False
 
     def add(raw: str) -> None:
@@ -127,19 +174,30 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
             stack.pop()
-        inner = stack[-1] if stack else ("", False, 0)
-        names = " ".join(x.strip("\"'") for x in NAMED.findall(m[3])) if m[3] else ""
-        outside = inner[1] or tag in OUTSIDE or bool(names) and tag not in ("body", "html", "article", "main") and bool(OUTSIDE_NAMES.search(names)) or bool(m[3]) and bool(HIDDEN.search(m[3]))
-        scope = inner[2]
-        if tag in ("article", "main") and not inner[1]:
-            scopes += 1
-            scope = scopes
+        inner = stack[-1] if stack else ("", False, 0, ())
+        attrs = attributes(m[3]) if m[3] else {}
+        outside = inner[1] or tag in OUTSIDE or hidden(attrs)
+        scope, within = inner[2], inner[3]
+        if tag in ("article", "main"):
+            if not outside:
+                scopes += 1
+                scope = scopes
+                articles.append(within)
+                for w in within:
+                    wrappers[w].article = True
+                    wrappers[w].main |= tag == "main"
+        elif tag not in ("body", "html"):
+            names = [x for a in ("class", "id", "role") for x in attrs.get(a, "").split() if OUTSIDE_NAMES.fullmatch(x)]
+            if names or tag == "form":
+                within = (*within, len(wrappers))
+                wrappers.append(Wrapper(any(COMMENTS.fullmatch(x) for x in names)))
         if tag not in VOID:
-            stack.append((tag, outside, scope))
+            stack.append((tag, outside, scope, within))
         heading = tag[0] == "h" and tag[1:].isdigit()
     if not unseen:
         add(page[at:])
     end()
+    settle(out, wrappers, articles)
     return out
 
 

@@ -232,6 +232,22 @@ def test_html():
     assert main_text("") == "" and main_text("<p") == "" and main_text("<div><a href='x'>" * 500) == ""
 
 
+GOOD_TEXT = ("The cat and the dog of the house are in it. " * 5).strip()
+
+
+def test_html_keeps_marked_up_articles():
+    for a in ('style="overflow-x:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'title="the hidden valley"', 'data-hidden="1"', 'class="has-sidebar"', 'class="no-sidebar"', "class=page-with-comments", 'class="elementor-widget"', 'id="social-science"'):
+        for tag in ("body", "div", "article", "main", "p"):
+            assert main_text(f"<html><{tag} {a}><p>{GOOD_TEXT}</p></{tag}></html>") == GOOD_TEXT, (tag, a)
+    for a in ('class="widget"', 'class="x sidebar"', 'role="banner"'):
+        assert main_text(f"<div {a}><p>{GOOD_TEXT}</p><article><p>{GOOD_TEXT}</p></article></div>") == f"{GOOD_TEXT}\n\n{GOOD_TEXT}"
+        assert main_text(f"<div {a}><div><p>{GOOD_TEXT}</p><p>{GOOD_TEXT}</p></div></div><p>{GOOD_TEXT}</p>") == "\n\n".join([GOOD_TEXT] * 3)
+        assert main_text(f"<article><p>{GOOD_TEXT}</p><p>{GOOD_TEXT}</p></article><div {a}><article><p>{GOOD_TEXT}</p></article></div>") == f"{GOOD_TEXT}\n\n{GOOD_TEXT}"
+    for a in ("hidden", "HIDDEN=''", "aria-hidden=true", "style='color:red; display : none'", "class='site-footer'", "id=comments-area"):
+        assert main_text(f"<article><p>{GOOD_TEXT}</p></article><div {a}><p>{GOOD_TEXT}</p></div>") == GOOD_TEXT, a
+    assert main_text(f"<div><p>{GOOD_TEXT}</p></div><div class=comments><article><p>{GOOD_TEXT}</p></article><p>{GOOD_TEXT}</p></div>") == GOOD_TEXT
+
+
 def test_licenses(spark, docs, empty):
     notice = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
     rows = [(i, prose(i * 7) + "\nReleased under the MIT License.\n" + prose(9), "s", 1) for i in range(30)] + [(50 + i, prose(i) + " " + notice + " " + prose(300), "s", 1) for i in range(30)]
