@@ -56,7 +56,7 @@ class Block:
         if self.linked > LINKED * size:
             return BAD
         if size < SHORT:
-            return BAD if self.linked else OPEN
+            return OPEN
         words = WORD.findall(self.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         if stops >= STOP_HIGH:

@@ -248,6 +248,13 @@ def test_html_keeps_marked_up_articles():
     assert main_text(f"<div><p>{GOOD_TEXT}</p></div><div class=comments><article><p>{GOOD_TEXT}</p></article><p>{GOOD_TEXT}</p></div>") == GOOD_TEXT
 
 
+def test_html_keeps_short_linked_blocks():
+    item = "The commission published its %s on Tuesday."
+    page = "<article><p>%s</p><p>%s</p><p>Short.</p><p>%s</p></article>" % (GOOD_TEXT, item % "<a href=x>report</a>", GOOD_TEXT)
+    assert main_text(page) == "\n\n".join([GOOD_TEXT, item % "report", "Short.", GOOD_TEXT])
+    assert main_text("<article><p>%s</p><p>Read <a href=x>the whole report</a></p></article>" % GOOD_TEXT) == GOOD_TEXT
+
+
 def test_licenses(spark, docs, empty):
     notice = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
     rows = [(i, prose(i * 7) + "\nReleased under the MIT License.\n" + prose(9), "s", 1) for i in range(30)] + [(50 + i, prose(i) + " " + notice + " " + prose(300), "s", 1) for i in range(30)]
