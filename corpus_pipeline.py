@@ -15,7 +15,10 @@ from lightsift.llm.toxicity import accepted, learnt
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half; the weights are learnt from the labels of the documents given."""
+    """Documents whose toxicity score is below one half; the weights are learnt from the labels of the documents given.
+
+    Without usable labels (none, all null, or none outside of the held-out fold) nothing is learnt and all documents stay.
+    """
     return accepted(docs, learnt(docs, table(spark, sf_dir, "labels")))
 
 

@@ -138,7 +138,9 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], id_col: str = "doc_
 
 
 def accepted(docs: DataFrame, weights: list[tuple[int, float]], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose score is below the threshold."""
+    """The rows of docs, all columns, whose score is below the threshold; all of them where nothing was learnt (no weights)."""
+    if not weights:
+        return docs
     model = sent(docs.sparkSession, weights)
 
     def rule() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:

@@ -26,7 +26,7 @@ from lightsift.llm.simhash_dedup import anchors, links, simhash_dedup
 from lightsift.llm.substring_dedup import substring_dedup
 from lightsift.llm.suffix_dedup import suffix_dedup
 from lightsift.llm.token_store import chunk_ends, crc_joined, read_tokens, verify_tokens, write_tokens
-from lightsift.llm.toxicity import toxicity
+from lightsift.llm.toxicity import accepted, learnt, toxicity
 
 SF = "/root/testdata/sf0.001"
 rnd = random.Random(5)
@@ -232,6 +232,15 @@ def test_html():
     assert main_text("") == "" and main_text("<p") == "" and main_text("<div><a href='x'>" * 500) == ""
 
 
+def test_no_usable_labels_keep_all(docs, empty):
+    spark = docs.sparkSession
+    fold = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 0)
+    for labels in ([], [(1, None), (2, None)], [(fold, 1)], [(10**9, 1)], [(None, 1)]):
+        weights = learnt(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert not weights and accepted(docs, weights).count() == len(ROWS), labels
+    assert accepted(empty, []).count() == 0
+
+
 GOOD_TEXT = ("The cat and the dog of the house are in it. " * 5).strip()
 
 
