@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked SimHash fingerprints."""
+    """One document, that with the smallest id, of each group of linked SimHash fingerprints."""
     return without_copies(docs)
 
 

@@ -194,10 +194,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
-    """The rows of docs, all columns, that come first in their component."""
-    stay = simhash_dedup(docs, id_col, text_col, shingle, threshold).where("best").select("key").distinct()
-    key = text_rows_key(id_col, text_col)
-    return docs.withColumn(KEY, key).join(stay.withColumnRenamed("key", KEY), KEY, "left_semi").drop(KEY)
+    """One row of docs, all columns, for each component: the one that comes first in it.
+
+    Of rows that repeat id and text the least by the columns in order stays (columns of maps do not count).
+    Repeats are reduced before and after the shuffle, so a frequent row does not meet in one task.
+    """
+    stay = simhash_dedup(docs, id_col, text_col, shingle, threshold).where("best").select(F.col("key").alias(KEY)).distinct()
+    order = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(text_rows_key(id_col, text_col).alias(KEY), F.struct(*[f"`{c}`" for c in docs.columns]).alias(ROW), F.struct(*order).alias(RANK))
+    once = rows.groupBy(KEY).agg(F.min_by(ROW, RANK).alias(ROW))
+    return once.join(stay, KEY, "left_semi").select(f"{ROW}.*")
 
 
-KEY = "__row_key__"
+KEY, ROW, RANK = "__row_key__", "__row__", "__rank__"

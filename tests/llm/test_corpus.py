@@ -283,6 +283,53 @@ def test_same_as_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def plain_pipeline(rows, items):
+    """(doc_id, n_tokens, ids_crc32) of every copy that the stages leave of rows of doc_id, text and source, without labels."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = sorted(set(rows), key=lambda r: (big(r[0]), r[1] or "", r[2]))
+    fps, label = [plain_print(r[1]) for r in rows], list(range(len(rows)))
+    for _ in rows:
+        for a, x in enumerate(fps):
+            for b, y in enumerate(fps):
+                if (x ^ y).bit_count() <= 2:
+                    label[a] = label[b] = min(label[a], label[b])
+    words = lambda t: re.findall("[^\\x00-/:-`{-\\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    bad = [(min(10, len(w)), windows(w, min(10, len(w)))) for w in map(words, items) if w]
+    left = [r for i, r in enumerate(rows) if label[i] == i]
+    left = [r for r in left if not any(windows(words(r[1]), n) & own for n, own in bad)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", left)
+    taken = {r[0]: r[2] // max(1, r[1]) for r in c.execute(f"SELECT doc_id, size, taken FROM ({Q.ORACLES['op7_mix_sources']})").fetchall()}
+    t, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+    for i, text, _ in left:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        out += [(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] * taken[i]
+    return out
+
+
+def test_pipeline_like_plain_version(spark, tmp_path):
+    r = random.Random(8)
+    text = lambda n: " ".join(f"word{r.randrange(3000)}" for _ in range(n))
+    rows = [(i, text(40), "abc"[i % 3]) for i in range(60)]
+    leak = text(12)
+    rows += [(100, rows[5][1], "a"), (101, text(30) + " " + leak, "b"), *rows[:20], *[(None, text(35), "c")] * 30]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak), (2, "word1 none")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = plain_pipeline(rows, [leak, "word1 none"])
+    assert len(want) > 20
+    assert sorted((big(x.doc_id), x.n_tokens, x.ids_crc32) for x in got) == sorted((big(i), n, crc) for i, n, crc in want)
+    at = 0
+    for x in sorted(got, key=lambda x: x.start):
+        assert x.start == at
+        at += x.n_tokens
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
