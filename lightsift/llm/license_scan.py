@@ -14,6 +14,10 @@ from .common import ids_of, long_array, slices, text_buffer, text_rows
 
 # Notices of common licenses.
 TEMPLATES: dict[str, list[str]] = {
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
@@ -23,15 +27,39 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC0-1.0": [
+        "Licensed under CC0 1.0 Universal",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    ],
+    "EPL-1.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "MIT": [
         "Released under the MIT License",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
 }
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Bands of rows: a window that holds a template to CONTAINMENT has Jaccard similarity 0.47 or more with it,
@@ -75,7 +103,7 @@ class Scanner:
         self.least = np.array([[minhash(own, f).min() for f in range(BANDS * ROWS)] for own in self.sets])
 
     def find(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-        """(text, template, first shingle, end shingle, containment) of all verified windows, best one per place."""
+        """(text, template, first shingle, end shingle, containment) of all verified windows; `best` leaves one license per place."""
         # texts stand apart by more than the longest window, so no window sees two of them
         n = np.diff(first)
         room = -(-(n + self.reach) // self.largest) * self.largest
@@ -132,6 +160,15 @@ def minhash(h: np.ndarray, f: int, short: bool = False) -> np.ndarray:
     return (x ^ _SHIFT[f]) * _SCALE[f]
 
 
+def best(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """(license, start, end, containment) of one text without those that overlap a better one of another license."""
+    out: list[tuple[str, int, int, float]] = []
+    for name, lo, hi, share in sorted(found, key=lambda x: -x[3]):
+        if not any(n != name and s > share and lo < b and a < hi for n, a, b, s in out):
+            out.append((name, lo, hi, share))
+    return out
+
+
 MATCH = "array<struct<license:string,start:long,end:long,containment:double>>"
 
 
@@ -140,7 +177,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A-Z is lower-cased; words are runs of digits, letters a-z and anything beyond ASCII. A match is a
     window that holds at least 0.8 of a template's distinct five-word shingles; matches of one license
-    that overlap are one. Null texts and texts of under five words have none. Templates (a dozen
+    that overlap are one, and where licenses overlap the one of the highest containment stays. Null texts and texts of under five words have none. Templates (a dozen
     kilobytes) go to the executors; documents are not shuffled.
     """
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates))
@@ -149,11 +186,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             hashes, first, n_words = shingled(*text_buffer(b.column(1)))
-            by: list[dict[str, list]] = [{} for _ in range(b.num_rows)]
+            every: list[list[tuple[str, int, int, float]]] = [[] for _ in range(b.num_rows)]
             for d, k, lo, hi, share in scanner.value.find(hashes, first) if len(hashes) else ():
-                by[d].setdefault(scanner.value.names[k], []).append((lo, hi + SHINGLE - 1, share))
+                every[d].append((scanner.value.names[k], lo, hi + SHINGLE - 1, share))
             out = []
-            for found in by:
+            for windows in every:
+                found: dict[str, list] = {}
+                for name, lo, hi, share in best(windows):
+                    found.setdefault(name, []).append((lo, hi, share))
                 merged = []
                 for name, spans in sorted(found.items()):
                     start = len(merged)

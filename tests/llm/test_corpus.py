@@ -272,6 +272,15 @@ def test_licenses(spark, docs, empty):
     assert all(not r.matches for r in scan_licenses(docs).collect()) and scan_licenses(empty).count() == 0
 
 
+def test_license_rivals(spark):
+    long = "This program is free software%s you can redistribute it and/or modify it under the terms of the GNU %sGeneral Public License as published by the Free Software Foundation%s either version %s of the License, or (at your option) any later version."
+    cases = [("GPL-2.0", long % (";", "", ";", "2")), ("GPL-3.0", long % (":", "", ",", "3")), ("LGPL-3.0", long % (":", "Lesser ", ",", "3")), ("AGPL-3.0", long % (":", "Affero ", ",", "3"))]
+    cases += [(n + v, f"This work is licensed under the GNU {w}General Public License, version {v.strip('-').replace('.0', '')}") for n, w, v in (("GPL", "", "-2.0"), ("GPL", "", "-3.0"), ("LGPL", "Lesser ", "-2.1"), ("LGPL", "Lesser ", "-3.0"), ("AGPL", "Affero ", "-3.0"))]
+    rows = [(i, prose(20) + " " + t + " " + prose(20), "s", 1) for i, (_, t) in enumerate(cases)]
+    got = {r.id: [m.license for m in r.matches] for r in scan_licenses(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == {i: [n] for i, (n, _) in enumerate(cases)}
+
+
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
