@@ -40,11 +40,12 @@ def within_burst_pairs(frames: DataFrame, label: str, key: str = "path") -> Data
 
 
 def sampled_pairs(frames: DataFrame, label: str, n: int, seed: int = 42, key: str = "path") -> DataFrame:
-    """About n random (good, bad) pairs: both classes are dealt to n slots by hash and joined on the slot."""
+    """At most n random (good, bad) pairs: both classes are dealt to n slots by hash, the least of each slot by another hash
+    is taken, whatever its key, and the two are joined on the slot. n is the number of pairs where both classes are much larger."""
     slot = lambda side: F.pmod(F.xxhash64(key, F.lit(seed), F.lit(side)), F.lit(n))
     good = frames.where(F.col(label) == 1).select(F.col(key).alias("good"), slot("g").alias("slot"))
     bad = frames.where(F.col(label) == 0).select(F.col(key).alias("bad"), slot("b").alias("slot"))
-    one = lambda df, c: df.groupBy("slot").agg(F.min(c).alias(c))
+    one = lambda df, c: df.groupBy("slot").agg(F.min_by(c, F.struct(F.xxhash64(c, F.lit(seed + 1)), c)).alias(c))
     return one(good, "good").join(one(bad, "bad"), "slot").drop("slot")
 
 
