@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 #: Ordering value of a null id inside packed postings.
 NULL_ID = np.iinfo(np.int64).max
 #: Text bytes that a task turns into NumPy arrays at a time (a longer single document goes alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and Python: 10,000 long texts (Spark's default bound of rows) are too many at once.
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
 _local: list[str] = []
 
 
@@ -53,10 +55,18 @@ def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the bytes of Arrow batches in its session, unless the user has set a bound."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF).rstrip("b") == str(BATCH_DEFAULT):
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
 def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, key): the two columns an operator needs, null text as '', and a 64-bit row key."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text_rows_key(id_col, text_col).alias("key"))
+    return small_batches(df).select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text_rows_key(id_col, text_col).alias("key"))
 
 
 def text_rows_key(id_col: str, text_col: str) -> Column:
@@ -103,7 +113,7 @@ def rows_where(docs: DataFrame, text_col: str, rule: Callable[[], Callable[[np.n
         for b in slices(batches, text_col):
             yield b.filter(pa.array(keep(*text_buffer(b.column(b.schema.get_field_index(text_col)))), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def ids_of(col: pa.Array) -> np.ndarray:

@@ -12,28 +12,30 @@ chunks wherever they stand; each unique chunk is stored once.
 from __future__ import annotations
 
 import hashlib
-import struct
+import json
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import NULL_ID, ids_of, long_array, numbered, slices, text_rows
+from .common import NULL_ID, ids_of, long_array, numbered, slices, text_buffer, text_rows
 
 ROLL, MASK, LEAST, MOST = 16, (1 << 10) - 1, 256, 8192
-#: Distinct pieces whose ids a worker keeps (about 200 bytes each); then it keeps those of its last text only.
-PIECES = 700_000
-SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-CUT = regex.compile(r" (?=\S)")
-# Fixed value: the word pattern of this byte-level vocabulary.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Pieces whose ids a worker keeps (about 50 bytes each), and chunk digests that a task remembers having sent.
+PIECES, SENT = 800_000, 100_000
+#: Longer pieces are asked for each time they occur.
+PIECE_BYTES = 64
+#: A word of these letters alone, a space before it or not, is one word to the byte-level pattern.
+LETTERS = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)")
 
 
 def shown() -> dict[int, int]:
@@ -45,96 +47,181 @@ def shown() -> dict[int, int]:
 
 SHOWN = shown()
 SPACE = chr(SHOWN[32])
-
-
-class Pieces(dict[str, bytes]):
-    """Ids of pieces by what follows their leading space; a new piece is asked for once."""
-
-    def __init__(self, ask: Callable[[str], bytes]) -> None:
-        self.ask = ask
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self.ask(piece)
-        return ids
+# Classes of bytes for the cuts: 1 printable ASCII, 2 letter, 4 one of these marks, 8 no white space can start with it.
+KIND = np.zeros(256, np.uint8)
+KIND[33:127] |= 1
+KIND[[*range(65, 91), *range(97, 123)]] |= 2
+KIND[[ord(c) for c in ".,;:!?"]] |= 4
+KIND[33:127] |= 8
+KIND[128:] |= 8
+KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = 0
+LINE = 10
+
+
+def piece_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Places where a word of the byte-level pattern certainly starts, whatever stands around: the starts of the texts, a
+    space that leads a word, a mark or line end after a letter, a line end after a mark, and a word after a single line end."""
+    k = KIND[buf]
+    cut = np.zeros(len(buf) + 1, bool)
+    line = buf == LINE
+    letter = (k & 2).astype(bool)
+    mark = (k & 4).astype(bool)
+    cut[:-2] |= (buf[:-1] == 32) & (k[1:] & 8).astype(bool)
+    cut[1:-1] |= letter[:-1] & (mark[1:] | line[1:]) | mark[:-1] & line[1:]
+    cut[2:-1] |= (k[:-2] & 1).astype(bool) & line[1:-1] & (k[2:] & 1).astype(bool)
+    cut[off] = True
+    cut[-1] = False
+    return np.flatnonzero(cut)
+
+
+class Known:
+    """Ids of pieces by a hash of their bytes, as sorted arrays; when full, the half that was used last stays."""
+
+    def __init__(self) -> None:
+        self.keys, self.checks, self.start, self.size, self.used = (np.zeros(0, t) for t in (np.uint64, np.uint32, np.int64, np.int32, np.int32))
+        self.ids = np.zeros(0, "<u4")
+
+    def add(self, at: np.ndarray, keys: np.ndarray, checks: np.ndarray, size: np.ndarray, ids: np.ndarray, turn: int) -> None:
+        """at: where the keys belong; both ascend."""
+        start = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, ids])
+        for name, new in (("keys", keys), ("checks", checks), ("start", start), ("size", size), ("used", np.full(len(keys), turn, np.int32))):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
+
+    def shrink(self, most: int) -> None:
+        if len(self.keys) > most:
+            stay = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+            self.ids = gathered(self.ids, self.start[stay], self.size[stay])
+            self.keys, self.checks, self.size, self.used = self.keys[stay], self.checks[stay], self.size[stay], self.used[stay]
+            self.start = np.cumsum(self.size) - self.size
+
+
+def gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs [start, start + size) of ids back to back."""
+    return ids[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; words seen before are remembered.
-
-    For byte-level BPE texts are cut into pieces before every space that leads a word, where the
-    vocabulary's word pattern always ends a word too; a new piece is split by that pattern, and the
-    library's own model is asked once per new word, which spares the offsets that encode() keeps. That
-    way is only taken if it agrees with encode() on the first texts of a worker; texts that hold an
-    added token, and all other tokenizers, go through encode_batch_fast().
+    """Ids of texts by the tokenizers library; pieces seen before are remembered.
+
+    Texts are cut where the byte-level word pattern certainly starts a word, so the ids of a text are
+    those of its pieces in a row. The library's model is asked once per new piece (by its own word
+    splitter where a piece is more than Latin letters), which spares the offsets that encode() keeps.
+    What allows this is the tokenizer's file alone: a byte-level BPE without normalizer, prefix space
+    or dropout. All other tokenizers, and texts that hold an added token, go through encode_batch_fast().
+    Pieces of up to PIECE_BYTES bytes are told apart by 96 bits of hash, longer ones are always asked for.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.pieces = Pieces(self.new_piece)
-        self.words: dict[str, bytes] = {}  # without a leading space
+        self.model, self.words = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.by_word: bool | None = None
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def asked(self, shown_word: str) -> bytes:
-        found = [t.id for t in self.model.tokenize(shown_word)]
-        return struct.pack(f"<{len(found)}I", *found)
-
-    def new_piece(self, piece: str) -> bytes:
-        # ASCII letters are one word to the vocabulary's pattern and are shown as themselves
-        return self.asked(SPACE + piece) if piece.isascii() and piece.isalpha() else self.by_words(" " + piece)
-
-    def by_words(self, piece: str) -> bytes:
-        out = []
-        for w in WORD.findall(piece):
-            known, name = (self.pieces, w[1:]) if w[0] == " " else (self.words, w)
-            ids = known.get(name)
-            if ids is None:
-                ids = known[name] = self.asked(w.encode().decode("latin-1").translate(SHOWN))
-            out.append(ids)
-        return b"".join(out)
-
-    def by_pieces(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        # a space before another one, or at the end, leads no word: then not every space is a cut
-        lone = text.endswith(" ") or any(" " + c in text for c in SPACES if c in text)
-        first, *rest = CUT.split(text) if lone else text.split(" ")
-        out = self.by_words(first) + b"".join(map(self.pieces.__getitem__, rest))
-        if len(self.pieces) + len(self.words) > PIECES:
-            known = {p: self.pieces[p] for p in set(rest)}
-            self.pieces.clear()
-            self.words.clear()
-            self.pieces.update(known)
-        return out
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        plain = [not any(a in t for a in self.added) for t in texts]
-        if self.by_word is None and any(plain):
-            trial = [t[:20_000] for t, p in zip(texts, plain, strict=True) if p][:8]
-            self.by_word = "ByteLevel" in str(self.tokenizer.pre_tokenizer)[:20] and self.tokenizer.normalizer is None and [self.by_pieces(t) for t in trial] == self.whole(trial)
-        last = np.array([end], "<u4").tobytes()
-        rest = iter(self.whole([t for t, p in zip(texts, plain, strict=True) if not (p and self.by_word)]))
-        return [np.frombuffer((self.by_pieces(t) if p and self.by_word else next(rest)) + last, "<u4") for t, p in zip(texts, plain, strict=True)]
+        self.known, self.turn = Known(), 0
+        told = json.loads(self.tokenizer.to_str())
+        before, model = told["pre_tokenizer"] or {}, told["model"]
+        self.by_piece = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and model["type"] == "BPE" and not model.get("dropout")
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def asked(self, piece: str) -> list[int]:
+        if m := LETTERS.fullmatch(piece):
+            word = m[2] if piece.isascii() else m[2].encode().decode("latin-1").translate(SHOWN)
+            return [t.id for t in self.model.tokenize(SPACE + word if m[1] else word)]
+        return [t.id for word, _ in self.words.pre_tokenize_str(piece) for t in self.model.tokenize(word)]
+
+    def in_pieces(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts back to back, and the offsets of the texts in them."""
+        start = piece_starts(buf, off)
+        end = np.append(start[1:], len(buf))
+        sums = np.zeros(len(buf) + 1, np.uint32)
+        np.cumsum(CHECKS[buf], out=sums[1:], dtype=np.uint32)
+        key = H.mix(H.between(H.byte_prefix(buf), start, end, H.BASE_BYTES) + (end - start).astype(np.uint64))
+        which, unique = pd.factorize(key)
+        first = np.zeros(len(unique), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        order = np.argsort(unique)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        which, keys, first = rank[which], unique[order], first[order]
+        every = sums[end] - sums[start]
+        checks = every[first]
+        if (checks[which] != every).any():  # two pieces of one key in these texts
+            whole = self.whole([bytes(buf[s:e]).decode() for s, e in zip(off[:-1], off[1:], strict=True)])
+            return np.concatenate(whole), np.cumsum([0, *map(len, whole)])
+        k = self.known
+        at = np.searchsorted(k.keys, keys)
+        there = at < len(k.keys)
+        there[there] = (k.keys[at[there]] == keys[there]) & (k.checks[at[there]] == checks[there])
+        self.turn += 1
+        k.used[at[there]] = self.turn
+        new = np.flatnonzero(~there)
+        raw = buf.tobytes()
+        got = [self.asked(raw[s:e].decode()) for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+        size = np.array([len(g) for g in got], np.int64)
+        ids = np.fromiter((i for g in got for i in g), "<u4", int(size.sum()))
+        # ids of this call's pieces: those known, then the new ones
+        base = gathered(k.ids, k.start[at[there]], k.size[at[there]])
+        sizes = np.zeros(len(keys), np.int64)
+        sizes[there], sizes[new] = k.size[at[there]], size
+        place = np.zeros(len(keys), np.int64)
+        place[there] = np.cumsum(sizes[there]) - sizes[there]
+        place[new] = len(base) + np.cumsum(size) - size
+        out = gathered(np.concatenate([base, ids]), place[which], sizes[which])
+        # a piece of the same key as another one, or a long one, is not kept
+        fresh = (end - start)[first[new]] <= PIECE_BYTES
+        fresh &= (at[new] >= len(k.keys)) | (k.keys[np.minimum(at[new], max(len(k.keys) - 1, 0))] != keys[new]) if len(k.keys) else fresh
+        keep = np.flatnonzero(fresh)
+        k.add(at[new][keep], keys[new][keep], checks[new][keep], size[keep], gathered(ids, (np.cumsum(size) - size)[keep], size[keep]), self.turn)
+        k.shrink(PIECES)
+        upto = np.concatenate([[0], np.cumsum(sizes[which])])
+        return out, upto[np.searchsorted(start, off)]
+
+    def encode(self, col: pa.Array, end: int) -> list[np.ndarray]:
+        """Ids of each text of a string column, and `end`."""
+        last = np.array([end], "<u4")
+        if not self.by_piece:
+            return [np.append(i, last) for i in self.whole(pc.fill_null(col, "").to_pylist())]
+        odd = np.zeros(len(col), bool)
+        for token in self.added:
+            odd |= pc.fill_null(pc.match_substring(col, token), False).to_numpy(zero_copy_only=False)
+        ids, at = self.in_pieces(*text_buffer(col.filter(pa.array(~odd)) if odd.any() else col))
+        plain = (np.append(ids[s:e], last) for s, e in zip(at[:-1], at[1:], strict=True))
+        rest = iter(self.whole(col.filter(pa.array(odd)).to_pylist()) if odd.any() else ())
+        return [np.append(next(rest), last) if o else next(plain) for o in odd]
+
+
+CHECKS = np.random.default_rng(31).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
-    """One per worker process: later tasks of that worker find the words known."""
+    """One per worker process: later tasks of that worker find the pieces known."""
     return Encoder(path)
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    rolled = H.window_hashes(H.mix(ids.astype(np.uint64)), ROLL)
-    cuts, ends, at = (np.flatnonzero(rolled & np.uint64(MASK) == 0) + ROLL).tolist(), [], 0
+def all_chunk_ends(streams: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each id stream; those longer than a least chunk are hashed together."""
+    long = [s for s in streams if len(s) > LEAST]
+    ids = np.concatenate(long) if long else np.zeros(0, "<u4")
+    cuts = np.flatnonzero(H.window_hashes(H.mix(ids.astype(np.uint64)), ROLL) & np.uint64(MASK) == 0) + ROLL
+    out, base = [], 0
+    for s in streams:
+        n = len(s)
+        if n <= LEAST:
+            out.append([n] if n else [])
+            continue
+        own = cuts[np.searchsorted(cuts, base + ROLL) : np.searchsorted(cuts, base + n, "right")] - base
+        out.append(chunk_ends(n, own.tolist()))
+        base += n
+    return out
+
+
+def chunk_ends(n: int, cuts: list[int]) -> list[int]:
+    """Ends of the chunks of n ids: the cuts, but none after fewer than LEAST or more than MOST ids."""
+    ends, at = [], 0
     for c in [*cuts, n]:
         while c - at > MOST:
             at += MOST
@@ -172,36 +259,36 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, packer = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
-        seen: set[bytes] = set()
+        sent: set[bytes] = set()
         for b in slices(batches):
-            if len(seen) > 1_000_000:
-                seen.clear()
+            if len(sent) > SENT:
+                sent.clear()
             out = []
-            for i, key, ids in zip(ids_of(b.column(0)).tolist(), b.column(2).to_pylist(), coder.encode(b.column(1).to_pylist(), end_id), strict=True):
+            streams = coder.encode(b.column(1), end_id)
+            for i, key, ids, ends in zip(ids_of(b.column(0)).tolist(), b.column(2).to_pylist(), streams, all_chunk_ends(streams), strict=True):
                 shas, at = [], 0
-                for to in chunk_ends(ids):
-                    part = ids[at:to].astype("<u4")
+                for to in ends:
+                    part = ids[at:to]
                     at = to
-                    sha = hashlib.sha256(part.tobytes()).digest()
+                    sha = hashlib.sha256(part).digest()
                     shas.append(sha)
-                    if sha not in seen:
-                        seen.add(sha)
+                    if sha not in sent:
+                        sent.add(sha)
                         width = 2 if part.max() < 65536 else 4
-                        out.append((0, int.from_bytes(sha[:8], "little", signed=True), sha, len(part), width, packer.compress(part.astype(f"<u{width}").tobytes()), None, None, None, None))
+                        out.append((0, int.from_bytes(sha[:8], "little", signed=True), sha, len(part), width, packer.compress(part.astype(f"<u{width}")), None, None, None, None))
                 out.append((1, key, None, len(ids), None, None, None if i == NULL_ID else i, key, shas, merkle(shas)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(KINDS)], names=NAMES)
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        """Rows come sorted by digest, so a repeated chunk follows its like."""
+        last = None
         for b in batches:
-            new = []
-            for sha in b.column(2).to_pylist():
-                new.append(sha is None or sha not in seen)
-                seen.add(sha)
-            yield b.filter(pa.array(new))
+            shas = b.column(2).to_pylist()
+            yield b.filter(pa.array([s is None or s != before for s, before in zip(shas, [last, *shas], strict=False)], pa.bool_()))
+            last = shas[-1] if shas else last
 
     rows = text_rows(docs, id_col, text_col).mapInArrow(encoded, ROW)
-    rows.repartition("route").mapInArrow(unique, ROW).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/store")
+    rows.repartition("route").sortWithinPartitions("sha").mapInArrow(unique, ROW).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/store")
     spark = docs.sparkSession
     recipes = stored(spark, path, 1, "n long, id long, key long, shas array<binary>, root binary")
     placed = numbered(recipes.withColumn("place", F.coalesce("id", F.lit(int(NULL_ID)))), ["place", "key"], {"start": "n"}, "starts")

@@ -25,7 +25,7 @@ from lightsift.llm.mixing import mix_documents, mix_sources
 from lightsift.llm.simhash_dedup import anchors, links, simhash_dedup
 from lightsift.llm.substring_dedup import substring_dedup
 from lightsift.llm.suffix_dedup import suffix_dedup
-from lightsift.llm.token_store import chunk_ends, crc_joined, read_tokens, verify_tokens, write_tokens
+from lightsift.llm.token_store import Encoder, all_chunk_ends, crc_joined, read_tokens, verify_tokens, write_tokens
 from lightsift.llm.toxicity import accepted, learnt, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -207,11 +207,28 @@ def test_tokens(spark, docs, empty, tmp_path):
         start += len(ids)
     assert crc_joined(zlib.crc32(b"ab"), zlib.crc32(b"cde"), 3) == zlib.crc32(b"abcde")
     ids = np.random.default_rng(1).integers(0, 50000, 30000).astype(np.uint32)
-    assert chunk_ends(ids)[-1] == len(ids)
+    ends = all_chunk_ends([ids, ids[:100], ids[:0], ids[5:]])
+    assert ends[0][-1] == len(ids) and ends[1:3] == [[100], []] and {e - 5 for e in ends[0][2:]} <= set(ends[3])
     write_tokens(empty, root + "2", path, 2)
     assert verify_tokens(spark, root + "2").count() == 0
 
 
+def test_encoder_is_the_library():
+    import public_tokenizers
+    import pyarrow as pa
+
+    coder, r = Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    bits = [" ", "  ", "\n", "\n\n", "a", "B", "é", "ª", ".", ",", "'s", "12", "\t", "\r\n", "’", "\u00a0", "\u3000", "\x1c", "<|endoftext|>", "!?", "don't", "\u0301", "漢", "ß", "_", "²"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(4000)] + ["x" * 5000, None]
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(r.choice(["a", " ", "  ", ".", "\n", "é"]) + chr(c) + r.choice(["b", " ", ". ", "\n"]) for c in points[i : i + 50]) for i in range(0, len(points), 50)]
+    assert coder.by_piece
+    for at in range(0, len(texts), 900):  # later ones find pieces known
+        part = texts[at : at + 900]
+        want = [[*ids.tolist(), 2] for ids in coder.whole([t or "" for t in part])]
+        assert [x.tolist() for x in coder.encode(pa.array(part, pa.string()), 2)] == want
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(i, prose(30) + (" vile" if i % 4 == 0 else ""), "s", 1) for i in range(400)] + [(1000, None, "s", 1), (None, "vile", "s", 1)]
     many = spark.createDataFrame(rows, KIND)
