@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Frequent function words of English, French, German, Spanish, Italian, Portuguese and Dutch.
 STOP_WORDS = frozenset(
     """
@@ -23,8 +25,11 @@ STOP_WORDS = frozenset(
     """.split()
 )
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-#: What stands inside these is never text of the page.
-UNSEEN = frozenset("head script style noscript template textarea select svg math iframe object canvas audio video button title".split())
+#: Raw text: whatever stands inside these is no markup, only their own end tag ends them; it is never text of the page.
+RAW = "script|style|noscript|textarea|title|iframe|noembed|noframes|xmp"
+#: What stands inside these is never text of the page either. Buttons and lists of choices hold no other one of their kind.
+UNSEEN = frozenset("template select svg math object canvas audio video button".split())
+SINGLE = frozenset(("button", "select"))
 #: What stands inside these is never part of the article.
 OUTSIDE = frozenset("nav footer aside header dialog menu".split())
 #: Whole tokens of class, id and role. Part of a longer token says little: has-sidebar, page-with-comments, social-science.
@@ -34,34 +39,50 @@ COMMENTS = re.compile(r"comments?(?:[-_].*)?|disqus", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key ends an open element of its values.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}} | {t: {"p"} for t in BLOCKS - {"li", "dt", "dd", "td", "th", "tr", "option", "html", "body"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\"[^\"]*\"|'[^']*'")
+# a quote begins a quoted value only after an equals sign
+INNER = r"(?:[^<>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+"
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<({RAW})(?=[\s/>]){INNER}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)({INNER})>", re.S | re.I)
+ATTRIBUTE = re.compile(r"([^\s>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+NEXT = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in UNSEEN}
+#: Letters beyond Latin script, and those of scripts that need few of them for a word.
+BEYOND = re.compile(r"[^\W\d_\x00-\u024f\u1e00-\u1eff]")
+DENSE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
 NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG, LINKED = 70, 140, 0.33
+#: A page whose running text holds a smaller share of stop words is in none of their languages; blocks of fewer words tell nothing.
+UNLISTED, FEW = 0.08, 8
 STOP_LOW, STOP_HIGH = 0.10, 0.20
 GOOD, BAD, NEAR, OPEN = "good", "bad", "near", "open"
 
 
 class Block:
-    __slots__ = ("text", "linked", "scope", "outside", "within", "heading", "label")
+    __slots__ = ("text", "linked", "scope", "outside", "within", "heading", "label", "size", "words", "stops")
 
     def __init__(self, text: str, linked: int, scope: int, outside: bool, within: tuple[int, ...], heading: bool) -> None:
         self.text, self.linked, self.scope, self.outside, self.within, self.heading = text, linked, scope, outside, within, heading
+        #: Length as of Latin script, and words and stop words of running text (none where stop words tell nothing).
+        self.size, self.words, self.stops = len(text), 0, 0
         self.label = BAD if outside else self.first_pass()
 
+    def by_length(self) -> str:
+        return GOOD if self.size >= LONG else NEAR if self.size >= SHORT else OPEN
+
     def first_pass(self) -> str:
-        size = len(self.text)
-        if self.linked > LINKED * size:
+        if self.linked > LINKED * self.size:
             return BAD
-        if size < SHORT:
+        if not self.text.isascii():
+            self.size += 2 * len(DENSE.findall(self.text))
+            if 2 * len(BEYOND.findall(self.text)) > sum(map(len, WORD.findall(self.text))):
+                return self.by_length()  # no stop words of its script
+        if self.size < SHORT:
             return OPEN
         words = WORD.findall(self.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if stops >= STOP_HIGH:
-            return GOOD if size >= LONG else NEAR
-        return NEAR if stops >= STOP_LOW else OPEN
+        self.words, self.stops = len(words), sum(w in STOP_WORDS for w in words)
+        if self.stops >= STOP_HIGH * max(1, self.words):
+            return GOOD if self.size >= LONG else NEAR
+        return NEAR if self.stops >= STOP_LOW * max(1, self.words) else OPEN
 
 
 class Wrapper:
@@ -86,6 +107,14 @@ def hidden(attrs: dict[str, str]) -> bool:
     return "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or bool(NOT_SHOWN.search(attrs.get("style", "")))
 
 
+def without_stop_words(found: list[Block]) -> None:
+    """On a page in a language that the stop words don't know, length and link density alone decide."""
+    if sum(b.stops for b in found) < UNLISTED * sum(b.words for b in found):
+        for b in found:
+            if b.words >= FEW:
+                b.label = b.by_length()
+
+
 def settle(found: list[Block], wrappers: list[Wrapper], articles: list[tuple[int, ...]]) -> None:
     """Blocks inside of wrappers become bad.
 
@@ -131,25 +160,30 @@ def blocks(page: str) -> list[Block]:
         if links:
             linked += len(text.strip())
 
-    at, unseen = 0, ""
+    # unseen: the element whose content is left out, and whether the next block ends it, as it has no end tag of its own
+    at, unseen, unended = 0, "", False
+    none_left: set[str] = set()  # without a tag of their kind in the rest of the page
     for m in TOKEN.finditer(page):
         if not unseen and m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        if m[3] is None:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        tag, closing = m[3].lower(), bool(m[2])
         if unseen:
-            # only its own end tag ends an unseen part; an unclosed head ends where the body starts
-            if tag == unseen and closing or unseen == "head" and tag == "body":
+            if tag == unseen and closing:
                 unseen = ""
-                if tag != "body":
-                    continue
-            else:
                 continue
+            if not (unended and tag in BLOCKS):
+                continue
+            unseen = ""
         if tag in UNSEEN:
-            if not closing:
-                unseen = tag
+            if not closing and not m[4].endswith("/"):
+                ahead = None if tag in none_left else NEXT[tag].search(page, at)
+                if ahead is None:
+                    none_left.add(tag)
+                unended = ahead is None or tag in SINGLE and not ahead[1]
+                unseen = "" if ahead is None and tag not in SINGLE else tag
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -175,7 +209,7 @@ def blocks(page: str) -> list[Block]:
         if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
             stack.pop()
         inner = stack[-1] if stack else ("", False, 0, ())
-        attrs = attributes(m[3]) if m[3] else {}
+        attrs = attributes(m[4]) if m[4] else {}
         outside = inner[1] or tag in OUTSIDE or hidden(attrs)
         scope, within = inner[2], inner[3]
         if tag in ("article", "main"):
@@ -197,6 +231,7 @@ def blocks(page: str) -> list[Block]:
     if not unseen:
         add(page[at:])
     end()
+    without_stop_words(out)
     settle(out, wrappers, articles)
     return out
 
@@ -240,9 +275,10 @@ def second_pass(found: list[Block], i: int) -> str:
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """id, the `keep` columns and text (main text, '' if there is none) of each page; null html counts as empty.
 
-    Pages are parsed whole where they are read; nothing is shuffled.
+    One row per input row, also of repeated rows and null ids; columns not named are ignored, whatever
+    they are called. Pages are parsed whole where they are read; nothing is shuffled.
     """
-    chosen = pages.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in keep], F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    chosen = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), *[F.col(f"`{c}`").cast("string").alias(c) for c in keep], F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

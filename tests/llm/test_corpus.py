@@ -19,7 +19,7 @@ from lightsift.llm import queries as Q
 from lightsift.llm.components import components
 from lightsift.llm.decontaminate import clean, decontaminate
 from lightsift.llm.exact_dedup import exact_dedup
-from lightsift.llm.html_text import main_text
+from lightsift.llm.html_text import extract_text, main_text
 from lightsift.llm.license_scan import scan_licenses
 from lightsift.llm.mixing import mix_documents, mix_sources
 from lightsift.llm.simhash_dedup import anchors, links, simhash_dedup
@@ -281,6 +281,45 @@ def test_html_keeps_short_linked_blocks():
     assert main_text("<article><p>%s</p><p>Read <a href=x>the whole report</a></p></article>" % GOOD_TEXT) == GOOD_TEXT
 
 
+def test_html_raw_text_and_broken_markup():
+    for page in (
+        "<script>for(i=0;i<n;i++){x()}</script><article><p>%s</p></article>",
+        "<SCRIPT type=x>if (a<b) document.write('</p>')</Script ><STYLE>a>b{}</STYLE><p>%s</p>",
+        "<head><title>A <b> title</title><meta name=x><p>%s</p>",
+        "<div><button>Menu<p>%s</p></div>",
+        "<button>Go</button><button>x<div><article><p>%s</p></article></div>",
+        "<svg><p>%s</p>",
+        "<svg><text>no</text></svg><p>%s</p><select><option>A<option>B</select>",
+        "<p title=it's>%s</p>",
+        "<p title=\"a>b\" x='c'>%s</p>",
+        "<!--><p>%s</p><!-- <p>no</p> -->",
+        "<p>%s</p><button><div>Click</div></button>",
+        "<div class='page has-sidebar'><article><p>%s</p></article></div>",
+        "<div class='content widget'><article><p>%s</p></article></div>",
+    ):
+        assert main_text(page % GOOD_TEXT) == GOOD_TEXT, page
+    assert main_text("<p" * 100_000) and main_text("<p x=" * 50_000)  # text, and takes no time
+
+
+def test_html_of_other_languages():
+    for text in (
+        "这是一个关于城市历史的长篇文章，其中包含许多有趣的细节和故事，作者花了很多年的时间来研究这些内容，并且采访了许多当地的居民。",
+        "Это длинная статья об истории города, в которой много интересных подробностей, и автор потратил годы на изучение этих материалов.",
+        "Kaupungin historia on pitkä ja monivaiheinen kertomus, jossa satama, rautatie sekä teollisuus kasvoivat vuosisadan aikana nopeasti.",
+    ):
+        page = f"<nav><a href=x>首页</a></nav><div><p>{text * 2}</p><p>{text * 2}</p></div><footer>{text}</footer>"
+        assert main_text(page) == f"{text * 2}\n\n{text * 2}"
+
+
+def test_html_table(spark):
+    page = f"<p>{GOOD_TEXT}</p>"
+    rows = [(1, "u", page, 5, "x"), (1, "u", page, 5, "x"), (None, None, page, 5, "x"), (2, "v", None, None, None), (3, "w", "", 1, "y"), (4, "z", page * 20_000, 1, "y")]
+    kind = "page_id long, url string, html string, id int, `a.b` string"
+    got = sorted(((r.id, r.url, r.text) for r in extract_text(spark.createDataFrame(rows, kind)).collect()), key=repr)
+    assert got == sorted([(1, "u", GOOD_TEXT)] * 2 + [(None, None, GOOD_TEXT), (2, "v", ""), (3, "w", ""), (4, "z", "\n\n".join([GOOD_TEXT] * 20_000))], key=repr)
+    assert extract_text(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_licenses(spark, docs, empty):
     notice = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
     rows = [(i, prose(i * 7) + "\nReleased under the MIT License.\n" + prose(9), "s", 1) for i in range(30)] + [(50 + i, prose(i) + " " + notice + " " + prose(300), "s", 1) for i in range(30)]
