@@ -11,8 +11,11 @@
    the longest match elsewhere (inside a run the value falls by one per byte, so samples suffice).
 4. Places that match `length` bytes or more are marked, and marks return to the texts.
 
-Anchors with more than `hot_contexts` different contexts (the edge of a passage that many documents
-share) are not put into one shard: each of their strings is hashed whole and counted by hash.
+The contexts of an anchor with more than `split_contexts` different ones (the edge of a passage that many
+documents share) are dealt to several shards: strings that hold the anchor at offsets of one stretch have
+a core of almost `length` bytes in common with every equal string, and the hash of that core names their
+shard. Equal strings hold the anchor at the same offset, so they still meet, and are compared there by the
+same index; what is split has no influence on the result.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from . import postings as P
 from .common import ids_of, long_array, slices, text_buffer, text_rows, total_bytes
 
 GRAM = 64
+#: Offsets of an anchor that the parts of a split context have in common.
+STRETCH = 20
 #: Anchors that a map task compares among themselves before anything is shuffled.
 FLUSH_ANCHORS = 1_000_000
 #: Bytes that are hashed at a time; positions inside a block fit 24 bits.
@@ -40,12 +45,13 @@ SHARD = "shard int, kind int, ids binary, keys binary, counts binary, places bin
 TO_MARK, TO_INDEX = 1, 0
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, bucket_anchors: int = 500_000, shard_bytes: int = 1 << 20, group_bytes: int = 8 << 20, hot_contexts: int = 4000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, bucket_anchors: int = 500_000, shard_bytes: int = 1 << 20, group_bytes: int = 8 << 20, split_contexts: int = 4000) -> DataFrame:
     """Remove every byte covered by a `length`-byte string that also starts anywhere else (all copies go).
 
     Texts are UTF-8 bytes, null counts as empty, and matches never cross documents; strings are judged
     on the input. Returns id, n_bytes, kept (remaining bytes, binary) and spans (maximal removed byte
     runs [start, end)). Rows that repeat id and text are each other's copies, so both lose what they share.
+    Identical contexts are recognised by 128 bits of hash; the others are compared by their bytes.
     """
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
@@ -100,7 +106,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kinds = np.bincount(anchor, new_c)[anchor]  # different contexts of the anchor
             out += [(g, TO_MARK, *rest) for g, *rest in P.mark_rows(doc[heavy], [lo[heavy], count[heavy]], ids, keys, groups)]
             ask = np.flatnonzero(new_c & (kinds > 1))
-            shard = np.where(kinds[ask] > hot_contexts, -1, ((a[ask] & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64))
+            shard = np.where(kinds[ask] > split_contexts, -1, ((a[ask] & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64))
             out += [(g, TO_INDEX, *rest) for g, *rest in P.mark_rows(doc[ask], [lo[ask], count[ask], heavy[ask].astype(np.int64), shard], ids, keys, groups)]
         return pa.Table.from_batches([P.batch(out, FOUND_NAMES)])
 
@@ -160,11 +166,10 @@ def lookup(found: pa.Table, n_places: int) -> tuple[np.ndarray, list[np.ndarray]
 
 
 def context_rows(texts: pa.Table, found: pa.Table, length: int, shards: int) -> pa.Table:
-    """The bytes of the asked contexts of one document group, packed by shard; strings of hot anchors as hashes."""
+    """The bytes of the asked contexts of one document group, packed by shard; contexts of hot anchors in parts."""
     mark_keys, (lo, count, heavy, shard) = lookup(found, 4)
     bodies: list[bytes] = []
     parts: list[tuple] = []
-    hot: list[tuple] = []
     ids_all, keys_all, base = [], [], 0
     asked: set[int] = set()
     for b in slices(iter(texts.select(["id", "text", "key"]).to_batches())) if len(mark_keys) else ():
@@ -182,42 +187,41 @@ def context_rows(texts: pa.Table, found: pa.Table, length: int, shards: int) ->
             for j in range(left[d], right[d]):
                 s = int(off[d] + lo[j])
                 body = raw[s : s + int(count[j]) + length - 1]
-                if shard[j] >= 0:
-                    parts.append((int(shard[j]), base + d, int(lo[j]), int(count[j]), int(heavy[j]), len(bodies)))
-                    bodies.append(body)
-                else:
-                    p1 = H.byte_prefix(np.frombuffer(body, np.uint8))
-                    at = np.arange(count[j])
-                    h = H.mix(H.between(p1, at, at + length, H.BASE_BYTES))
-                    hot.append((h, np.full(len(h), base + d), at + lo[j], np.full(len(h), heavy[j])))
+                for sh, first, n in [(int(shard[j]), 0, int(count[j]))] if shard[j] >= 0 else cores(body, int(count[j]), length, shards):
+                    parts.append((sh, base + d, int(lo[j]) + first, n, int(heavy[j]), len(bodies)))
+                    bodies.append(body[first : first + n + length - 1])
         base += b.num_rows
     out = []
-    if parts or hot:
+    if parts:
         ids, keys = np.concatenate(ids_all), np.concatenate(keys_all)
-        if parts:
-            s, doc, place, n, weight, body = (np.array(x) for x in zip(*parts, strict=True))
-            edges = np.argsort(s, kind="stable")
-            for bucket, _, i, k, c, pl, _ in P.packed(s, doc, [place, n, weight], ids, keys, [], 8):
-                lo_, hi_ = np.searchsorted(s[edges], bucket, "left"), np.searchsorted(s[edges], bucket, "right")
-                out.append((bucket, TO_INDEX, i, k, c, pl, b"".join(bodies[x] for x in body[edges[lo_:hi_]])))
-        if hot:
-            h, doc, place, weight = (np.concatenate(x) for x in zip(*hot, strict=True))
-            bucket = ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-            out += [(bk, TO_MARK, i, k, c, pl, hs) for bk, _, i, k, c, pl, hs in P.packed(bucket, doc, [place, weight], ids, keys, [h], 8)]
+        s, doc, place, n, weight, body = (np.array(x) for x in zip(*parts, strict=True))
+        edges = np.argsort(s, kind="stable")
+        for bucket, _, i, k, c, pl, _ in P.packed(s, doc, [place, n, weight], ids, keys, [], 8):
+            lo_, hi_ = np.searchsorted(s[edges], bucket, "left"), np.searchsorted(s[edges], bucket, "right")
+            out.append((bucket, TO_INDEX, i, k, c, pl, b"".join(bodies[x] for x in body[edges[lo_:hi_]])))
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
     return pa.Table.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(7)], names=SHARD_NAMES)
 
 
-def shard_marks(table: pa.Table, length: int, groups: int) -> pa.Table:
-    """Marks of one shard: strings of hot anchors by equal hashes, the others from the run-length index."""
-    kind = table.column("kind").to_numpy()
+def cores(body: bytes, count: int, length: int, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, first string, strings) of the parts of a context: runs of strings with the anchor at offsets of one stretch."""
+    p, place = H.byte_prefix(np.frombuffer(body, np.uint8)), np.arange(len(body) - GRAM + 1)
+    gram = H.mix(H.between(p, place, place + GRAM, H.BASE_BYTES)) >> np.uint64(24)
+    anchor = int(np.argmin(gram))
+    out = []
+    for low in range(0, length - GRAM + 1, STRETCH):
+        high = min(low + STRETCH - 1, length - GRAM)
+        # strings that start at anchor - high ... anchor - low all hold these bytes
+        first, last = max(anchor - high, 0), min(anchor - low, count - 1)
+        if first <= last:
+            core = H.mix(H.between(p, np.array([anchor - low]), np.array([anchor - high + length]), H.BASE_BYTES) + np.uint64(low))
+            out.append((int(core[0] % np.uint64(shards)), first, last - first + 1))
+    return out
+
+
+def shard_marks(texts: pa.Table, length: int, groups: int) -> pa.Table:
+    """Marks of one shard from its run-length index."""
     out: list[tuple] = []
-    hashed, texts = table.filter(pa.array(kind == TO_MARK)).rename_columns([*SHARD_NAMES[:-1], "hashes"]), table.filter(pa.array(kind == TO_INDEX))
-    ids, keys, doc, (place, weight), (h,) = P.read(hashed, 2, 1, 8)
-    if len(h):
-        _, which = np.unique(h, return_inverse=True)
-        again = (np.bincount(which, 1 + weight) > 1)[which]
-        out += P.mark_rows(doc[again], [place[again], np.ones(again.sum(), np.int64)], ids, keys, groups)
     ids, keys, doc, (lo, count, _), _ = P.read(texts, 3, 0, 8)
     if len(lo):
         text = np.frombuffer(b"".join(texts.column("body").to_pylist()), np.uint8)
@@ -248,8 +252,6 @@ class RunLengthIndex:
         before[starts] = -1 - np.arange(len(starts))  # each text starts after a mark of its own
         bwt = before[order]
         head = np.concatenate([[True], bwt[1:] != bwt[:-1]])
-        #: One symbol and one length per run.
-        self.symbols, self.lengths = bwt[head], np.diff(np.flatnonzero(head), append=n)
         self.first, self.last = order[head], order[np.append(head[1:], True)]
         heads, tails = np.flatnonzero(head), np.append(np.flatnonzero(head)[1:], n) - 1
         self.above = self._common(ranks, depth, order[heads], order[np.maximum(heads - 1, 0)], of, text) * (heads > 0)

@@ -100,9 +100,9 @@ def test_substring(docs, empty):
     assert substring_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [4000, 1])
-def test_suffix(docs, empty, hot):
-    got = {big(r.id): r for r in suffix_dedup(docs, hot_contexts=hot).collect()}
+@pytest.mark.parametrize("split", [4000, 1])
+def test_suffix(docs, empty, split):
+    got = {big(r.id): r for r in suffix_dedup(docs, split_contexts=split, shard_bytes=5000).collect()}
     count = {}
     for _, t, *_ in ROWS:
         b = (t or "").encode()
@@ -118,6 +118,27 @@ def test_suffix(docs, empty, hot):
     assert suffix_dedup(empty).count() == 0
 
 
+def test_suffix_hot_passages(spark):
+    """Passages just under, at and over the length that every text holds between words of its own, and one text that repeats a string."""
+    r = random.Random(12)
+    own = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = own(400)
+    rows = [(i, own(150) + shared[: 190 + i % 30] + own(150)) for i in range(90)] + [(200, "xyz " * 400), (None, own(150) + shared), (201, own(300)), (201, own(300))]
+    rows += [(202, rows[0][1])] * 2
+    out = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), split_contexts=3, shard_bytes=4000).collect()
+    count, want = {}, []
+    for _, t in rows:
+        for j in range(len(t) - 199):
+            count[t[j : j + 200]] = count.get(t[j : j + 200], 0) + 1
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for j in range(len(t) - 199):
+            if count[t[j : j + 200]] > 1:
+                gone[j : j + 200] = True
+        want.append((big(i), "".join(c for c, g in zip(t, gone) if not g)))
+    assert sorted((big(x.id), bytes(x.kept).decode()) for x in out) == sorted(want)
+
+
 def plain_print(t):
     w = (t or "").encode().lower().split()
     h = [xxhash.xxh64(b" ".join(w[i : i + 3]), 42).intdigest() for i in range(max(1, len(w) - 2))] if w else []
