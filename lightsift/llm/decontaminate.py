@@ -17,7 +17,7 @@ SPAN = "array<struct<start:long,end:long>>"
 
 
 class BenchmarkIndex:
-    """Fingerprints and window hashes of a bounded block of benchmark items."""
+    """Distinct windows of a bounded block of benchmark items, the items of each, and their winnowed grams."""
 
     def __init__(self, items: list[tuple[str, str]], window: int, gram: int) -> None:
         self.names, self.window, self.gram = sorted({n for n, _ in items}), window, gram
@@ -25,59 +25,55 @@ class BenchmarkIndex:
         buf, off = text_buffer(pa.array([t for _, t in items], pa.string()))
         words, first = hashed_words(buf, off)
         item = np.array([number[n] for n, _ in items], np.int64)
-        # whole windows: winnowed grams with the place of the gram, and the hash of every window
-        self.windows = np.append(H.window_hashes(words, window), np.zeros(1, np.uint64))
-        start, doc = H.inside(first, window)
-        self.inside = np.zeros(len(words) + window + 1, bool)
-        self.inside[start] = True
-        picked = winnow(H.window_hashes(words, gram), start, window - gram + 1)
-        owner = np.repeat(np.arange(len(items)), np.diff(first))
-        h = H.window_hashes(words, gram)[picked]
-        order = np.argsort(h, kind="stable")
-        self.prints, self.places, self.owners = h[order], picked[order], item[owner[picked[order]]]
-        # items shorter than a window: one window each, by its length
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         n = np.diff(first)
-        for length in sorted(set(n[(n > 0) & (n < window)].tolist())):
-            which = np.flatnonzero(n == length)
-            h = H.window_hashes(words, length)[first[:-1][which]]
-            order = np.argsort(h, kind="stable")
-            self.short[length] = h[order], item[which[order]]
+        #: By length (that of a window, and of items that are shorter): sorted hashes of the distinct windows, and the items of each.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in sorted({window, *n[(n > 0) & (n < window)].tolist()}):
+            start, doc = H.inside(first, length)
+            whole = n[doc] == length if length < window else np.ones(len(doc), bool)
+            h = H.window_hashes(words, length)[start[whole]]
+            both = np.unique(np.rec.fromarrays([h, item[doc[whole]]], names="h,i"))
+            keys, at = np.unique(both.h, return_index=True)
+            self.windows[length] = keys, np.append(at, len(both)), np.ascontiguousarray(both.i)
+        start, _ = H.inside(first, window)
+        grams = H.window_hashes(words, gram)
+        self.prints = np.unique(grams[winnow(grams, start, window - gram + 1)])
 
     def find(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """first (words before each text), mask of hit words, and the distinct (text, item) pairs of hits."""
         words, first = hashed_words(buf, off)
-        starts, ends, docs, items = [], [], [], []
-        start, doc = H.inside(first, self.window)
-        grams = H.window_hashes(words, self.gram)
-        picked = winnow(grams, start, self.window - self.gram + 1)
-        at, hit = joined(grams[picked], self.prints)
-        p, q, owner = picked[at], self.places[hit], self.owners[hit]
-        ok = np.zeros(len(words) + self.window + 1, bool)
-        ok[start] = True
-        whole = H.window_hashes(words, self.window)
-        text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        for back in range(self.window - self.gram + 1):  # every window that holds the gram
-            a, b = p - back, q - back
-            can = (a >= 0) & (b >= 0)
-            can[can] = ok[a[can]] & self.inside[b[can]]
-            can[can] = whole[a[can]] == self.windows[b[can]]
-            starts.append(a[can])
-            ends.append(a[can] + self.window)
-            docs.append(text_of[a[can]])
-            items.append(owner[can])
-        for length, (h, own) in self.short.items():
+        starts, ends, docs, which = [], [], [], []
+        for length, (keys, at, items) in self.windows.items():
             start, doc = H.inside(first, length)
-            at, hit = joined(H.window_hashes(words, length)[start], h)
-            starts.append(start[at])
-            ends.append(start[at] + length)
-            docs.append(doc[at])
-            items.append(own[hit])
+            h = H.window_hashes(words, length)
+            if length == self.window:  # only windows around a shared fingerprint are compared whole
+                near = np.zeros(len(words) + 1, bool)
+                grams = H.window_hashes(words, self.gram)
+                picked = winnow(grams, start, length - self.gram + 1)
+                picked = picked[sorted_in(grams[picked], self.prints)]
+                for back in range(length - self.gram + 1):
+                    near[picked[picked >= back] - back] = True
+                start, doc = start[near[start]], doc[near[start]]
+            hit = sorted_in(h[start], keys)
+            start, doc = start[hit], doc[hit]
+            starts.append(start)
+            ends.append(start + length)
+            # a window that a text repeats counts once; then every item that has it
+            pair = np.unique(np.stack([doc, np.searchsorted(keys, h[start])]), axis=1)
+            n = at[pair[1] + 1] - at[pair[1]]
+            docs.append(np.repeat(pair[0], n))
+            which.append(items[np.repeat(at[pair[1]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
         mask = H.cover(np.concatenate(starts), np.concatenate(ends), len(words))
-        pairs = np.unique(np.stack([np.concatenate(docs), np.concatenate(items)]), axis=1)
+        pairs = np.unique(np.stack([np.concatenate(docs), np.concatenate(which)]), axis=1)
         return first, mask, pairs[0], pairs[1]
 
 
+def sorted_in(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """True where a value is among the sorted keys."""
+    at = np.searchsorted(keys, values)
+    return (at < len(keys)) & (keys[np.minimum(at, max(len(keys) - 1, 0))] == values) if len(keys) else np.zeros(len(values), bool)
+
+
 def hashed_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     buf = H.LOWER[buf]
     starts, ends, first = H.word_spans(buf, off, H.ALNUM)
@@ -97,14 +93,6 @@ def winnow(grams: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
     return np.unique(place)
 
 
-def joined(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of equal hashes; right is sorted."""
-    lo, hi = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
-    n = hi - lo
-    at = np.repeat(np.arange(len(left)), n)
-    return at, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[at]
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
     """Find every run of `window` words that a document shares with a benchmark item.
 
