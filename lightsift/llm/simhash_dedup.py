@@ -7,6 +7,8 @@ point is at home at its nearest anchor pair (radius 3 in each half) and is repli
 pair within radius + e1 and radius + e2 with e1 + e2 <= threshold. If x and y differ in d1 and d2 bits
 of the two halves (d1 + d2 <= threshold), the home of x is within 3 + d1 and 3 + d2 of y, so y is
 there: no link is lost. The remaining 18 bits only enter the final comparison of all 64 bits.
+The home points of an anchor are dealt to cells of about HOMES points; each cell gets what is
+replicated to the anchor, so a crowded anchor is the work of many tasks, and a task holds one cell's homes.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import ids_of, long_array, same, slices, text_rows, text_rows_key,
 from .components import components
 
 LENGTH, RADIUS = 23, 3
+#: Home points of an anchor that are compared in one place.
+HOMES = 2048
 #: Generator polynomial of the binary Golay code of length 23: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
 
@@ -65,8 +69,8 @@ def simhash(h: np.ndarray) -> np.uint64:
 
 
 @lru_cache(1)
-def golay_tables() -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Syndrome of each byte position's values (linear), and error patterns of weight up to 5 by syndrome."""
+def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Syndrome of each bit; by syndrome the error patterns of weight up to 5 and their excess over the covering radius (99: no pattern)."""
 
     def rest(v: int) -> int:
         for i in range(LENGTH - 1, 10, -1):
@@ -81,33 +85,33 @@ def golay_tables() -> tuple[np.ndarray, dict[int, np.ndarray]]:
             s = 0
             for i in bits:
                 s ^= unit[i]
-            by.setdefault(s, []).append((weight, sum(1 << i for i in bits)))
-    return np.array(unit), {s: np.array(v, np.int64) for s, v in by.items()}
+            by.setdefault(s, []).append((max(weight - RADIUS, 0), sum(1 << i for i in bits)))
+    most = max(map(len, by.values()))
+    table = np.array([by[s] + [(99, 0)] * (most - len(by[s])) for s in range(len(by))], np.int64)
+    return np.array(unit), table[:, :, 1], table[:, :, 0]
 
 
 def syndromes(word: np.ndarray) -> np.ndarray:
-    unit, _ = golay_tables()
+    unit = golay_tables()[0]
     s = np.zeros(len(word), np.int64)
     for i in range(LENGTH):
         s ^= np.where(word >> i & 1, unit[i], 0)
     return s
 
 
-def anchors(fp: np.ndarray, threshold: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each fingerprint its number, its anchors and their excess over the covering radius (0: home)."""
-    _, by = golay_tables()
+def anchors(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (number of a fingerprint, anchor, excess over the covering radius; 0 at home)."""
+    _, patterns, excess = golay_tables()
     u = fp.view(np.uint64)
     low, high = (u & np.uint64((1 << LENGTH) - 1)).astype(np.int64), ((u >> np.uint64(LENGTH)) & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
-    for i, (a, b, sa, sb) in enumerate(zip(low, high, syndromes(low), syndromes(high), strict=True)):
-        pa_, pb = by[int(sa)], by[int(sb)]
-        ea, eb = np.maximum(pa_[:, 0] - RADIUS, 0), np.maximum(pb[:, 0] - RADIUS, 0)
-        excess = ea[:, None] + eb[None, :]
-        x, y = np.nonzero(excess <= threshold)
-        yield i, (a ^ pa_[x, 1]) << LENGTH | (b ^ pb[y, 1]), excess[x, y]
+    a, b = syndromes(low), syndromes(high)
+    both = excess[a][:, :, None] + excess[b][:, None, :]
+    i, x, y = np.nonzero(both <= threshold)
+    return i, (low[i] ^ patterns[a[i], x]) << LENGTH | (high[i] ^ patterns[b[i], y]), both[i, x, y]
 
 
-def links(points: DataFrame, threshold: int = 2) -> DataFrame:
-    """Distinct pairs (a < b) of fingerprints in `fp` that differ in 1 to threshold (at most 2) bits."""
+def links(points: DataFrame, threshold: int = 2, homes: int = HOMES) -> DataFrame:
+    """Pairs (a < b) of fingerprints in `fp` that differ in 1 to threshold (at most 2) bits, enough to connect all that do."""
     if not 0 <= threshold <= 2:
         raise ValueError("the anchors cover thresholds up to 2")
 
@@ -115,45 +119,43 @@ def links(points: DataFrame, threshold: int = 2) -> DataFrame:
         for b in batches:
             fp = b.column(0).to_numpy()
             for at in range(0, len(fp), 4096):
-                got = list(anchors(fp[at : at + 4096], threshold))
-                if got:
-                    n = np.array([len(x[1]) for x in got])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp[at : at + 4096], n)), pa.array(np.concatenate([x[1] for x in got])), pa.array(np.concatenate([x[2] for x in got]) == 0)], names=["fp", "anchor", "home"])
+                part = fp[at : at + 4096]
+                i, anchor, excess = anchors(part, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(part[i]), pa.array(anchor), pa.array(excess == 0)], names=["fp", "anchor", "home"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor, homes first: each home point against what is replicated to its anchor."""
-        tail: pa.Table | None = None
+        """Rows come sorted by anchor and cell, homes first: each home point against what the cell holds, batch by batch."""
+        cell, own = None, np.zeros(0, np.uint64)
         for b in batches:
-            t = pa.Table.from_batches([b]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([b])])
-            a = t.column("anchor").to_numpy()
-            done = int(np.searchsorted(a, a[-1], "left"))  # the last anchor may go on
-            tail = t.slice(done).combine_chunks()
-            if done:
-                yield from near(t.slice(0, done))
-        if tail is not None:
-            yield from near(tail)
-
-    def near(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        a, fp, home = t.column("anchor").to_numpy(), t.column("fp").to_numpy().view(np.uint64), t.column("home").to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
-        left, right = [], []
-        for lo, hi in zip(edges[:-1][(n := np.diff(edges)) > 1], edges[1:][n > 1], strict=True):
-            own, every = fp[lo:hi][home[lo:hi]], fp[lo:hi]
-            for s in range(0, len(own), 512):
-                d = np.bitwise_count(own[s : s + 512, None] ^ every[None, :])
-                i, j = np.nonzero((d <= threshold) & (d > 0))
-                if len(i):
-                    x, y = spanning(own[s + i], every[j])
-                    left.append(x)
-                    right.append(y)
-        if left:
-            x, y = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            if not b.num_rows:
+                continue
+            a, c, fp, home = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            fp = fp.view(np.uint64)
+            edges = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]), [True]]))
+            left, right = [], []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                mine = fp[lo:hi][home[lo:hi]]
+                own = np.concatenate([own, mine]) if lo == 0 and (int(a[0]), int(c[0])) == cell else mine
+                if hi - lo == 1 and len(own) <= len(mine):
+                    continue  # alone
+                for s in range(0, len(own), 512):
+                    for t in range(lo, hi, 4096):
+                        d = np.bitwise_count(own[s : s + 512, None] ^ fp[None, t : min(hi, t + 4096)])
+                        i, j = np.nonzero((d <= threshold) & (d > 0))
+                        if len(i):
+                            x, y = spanning(own[s + i], fp[t + j])
+                            left.append(x)
+                            right.append(y)
+            cell = int(a[-1]), int(c[-1])
+            if left:
+                x, y = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     placed = points.select("fp").mapInArrow(spread, "fp long, anchor long, home boolean")
-    homes = placed.where("home").select("anchor").distinct()
-    useful = placed.join(homes, "anchor", "left_semi")
-    sorted_ = useful.repartition("anchor").sortWithinPartitions("anchor", F.desc("home"), "fp")
+    cells = placed.where("home").groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / homes).cast("int").alias("cells"))
+    dealt = placed.join(cells, "anchor").select("anchor", F.explode(F.expr("sequence(0, cells - 1)")).alias("cell"), "fp", "home", "cells")
+    dealt = dealt.select("anchor", "cell", "fp", (F.col("home") & (F.pmod(F.xxhash64("fp"), "cells") == F.col("cell"))).alias("home"))
+    sorted_ = dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", F.desc("home"), "fp")
     return sorted_.mapInArrow(compare, "a long, b long").distinct()
 
 
