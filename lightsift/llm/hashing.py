@@ -80,13 +80,13 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, k: int, base: int = BASE_WORDS) -> np.ndarray:
     """Rabin-Karp hash of every run of k words (len(words) - k + 1 values, runs across documents included)."""
     if len(words) < k:
         return np.zeros(0, np.uint64)
-    p = prefix(words, BASE_WORDS)
+    p = prefix(words, base)
     at = np.arange(len(words) - k + 1)
-    return mix(between(p, at, at + k, BASE_WORDS))
+    return mix(between(p, at, at + k, base))
 
 
 def inside(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

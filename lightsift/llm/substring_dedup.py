@@ -15,8 +15,11 @@ from .common import ids_of, long_array, slices, text_buffer, text_rows, total_by
 
 #: Windows that a map task compares among themselves before anything is shuffled.
 FLUSH_WINDOWS = 1_000_000
-#: Bytes of each window hash that travel; with the bucket number they make over 60 bits.
-HASH_BYTES = 7
+#: Bytes of each window hash that travel. The bucket number comes from a hash with another base, so 64 bits and the
+#: logarithm of the number of buckets decide; as a bucket holds about bucket_windows windows, n windows have some
+#: n * bucket_windows / 2**65 pairs that agree by chance: 1e-4 at 30 GB, less than one at 100 TB.
+HASH_BYTES = 8
+BASE_BUCKETS = 0xC6A4A7935BD1E995
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, bucket_windows: int = 1_000_000, group_bytes: int = 8 << 20) -> DataFrame:
@@ -25,7 +28,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs without ASCII white space. Every window of every document is hashed by a rolling
     polynomial. Each map task first settles repeats among its own documents (a window that a smaller
     id of the same batch has is marked at once), so a passage that a third of the corpus shares sends
-    one posting per batch to its hash bucket; the buckets settle the rest. Marks return to the texts
+    one posting per batch to its hash bucket; the buckets settle the rest. A window that one document repeats
+    is one posting there, and its other places follow without a hash. Marks return to the texts
     in groups of documents, where overlapping windows merge into maximal removal intervals.
 
     Returns id, n_words, kept_text (kept words joined by one space) and spans, the removed word
@@ -43,12 +47,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def flush() -> Iterator[pa.RecordBatch]:
             base = np.cumsum([0, *[len(x[3]) for x in held]])
-            h, pos, ids, keys = (np.concatenate([x[i] for x in held]) for i in (0, 2, 3, 4))
+            h, pos, ids, keys, h2 = (np.concatenate([x[i] for x in held]) for i in (0, 2, 3, 4, 5))
             doc = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
             marked = later(h, ids[doc])
             out = [(g % buckets, 1, *rest, b"%d" % g) for g, *rest in P.mark_rows(doc[marked], [pos[marked]], ids, keys, groups)]
             keep = np.flatnonzero(~marked)
-            bucket = ((h[keep] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            of = first_in_document(h[keep], doc[keep])
+            again = of != np.arange(len(keep))
+            bucket = (h2[keep] % np.uint64(buckets)).astype(np.int64)
+            out += [(b, 2, *rest) for b, *rest in P.packed(bucket[again], doc[keep][again], [pos[keep][again], pos[keep][of[again]]], ids, keys, [], 8)]
+            keep, bucket = keep[~again], bucket[~again]
             out += [(b, 0, *rest) for b, *rest in P.packed(bucket, doc[keep], [pos[keep]], ids, keys, [h[keep]], HASH_BYTES)]
             for i in range(0, len(out), 500):
                 yield P.batch(out[i : i + 500], P.POSTING_NAMES)
@@ -59,7 +67,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             at, doc = H.inside(first, window)
             if not len(at):
                 continue
-            held.append((H.window_hashes(H.word_hashes(buf, starts, ends), window)[at], doc, at - first[doc], ids_of(b.column(0)), b.column(2).to_numpy()))
+            words = H.word_hashes(buf, starts, ends)
+            held.append((H.window_hashes(words, window)[at], doc, at - first[doc], ids_of(b.column(0)), b.column(2).to_numpy(), H.window_hashes(H.mix(words), window, BASE_BUCKETS)[at]))
             n += len(at)
             if n >= FLUSH_WINDOWS:
                 yield from flush()
@@ -74,6 +83,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids, keys, doc, (pos,), (h,) = P.read(table.filter(pa.array(kind == 0)), 1, 1, HASH_BYTES)
         marked = later(h, ids[doc]) if len(h) else np.zeros(0, bool)
         done += P.mark_rows(doc[marked], [pos[marked]], ids, keys, groups)
+        own = place_code(keys[doc[marked]], pos[marked])
+        ids, keys, doc, (pos, of), _ = P.read(table.filter(pa.array(kind == 2)), 2, 0, 8)
+        marked = np.isin(place_code(keys[doc], of), own)
+        done += P.mark_rows(doc[marked], [pos[marked]], ids, keys, groups)
         return pa.Table.from_batches([P.batch(done, P.MARK_NAMES)])
 
     marks = rows.mapInArrow(hashed, P.SCHEMA).groupBy("bucket").applyInArrow(settle, P.MARKS)
@@ -93,6 +106,20 @@ def later(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def first_in_document(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each posting the first one of its document with the same hash; postings stand in order of document and place."""
+    order = np.lexsort((doc, h))
+    new = np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(doc[order]) != 0)]) if len(h) else np.zeros(0, bool)
+    out = np.empty(len(h), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+    return out
+
+
+def place_code(keys: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """One number for a place in a document."""
+    return H.mix(keys.view(np.uint64) ^ H.mix(pos.astype(np.uint64)))
+
+
 def removed(texts: pa.Table, found: pa.Table, window: int) -> pa.Table:
     """Texts of one document group without the words that the group's marks cover."""
     kinds = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("kept_text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
