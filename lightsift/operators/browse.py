@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import quantiles, value_ranks
 from .picks import pick_flags
 
 
 def quality_threshold(frames: DataFrame, top_pct: float) -> DataFrame:
     """One row: the score that the best top_pct percent of the whole run reach (linear interpolation)."""
-    return frames.agg(F.percentile("score", F.lit(1 - top_pct / 100.0)).alias("threshold"))
+    return quantiles(frames, F.col("score"), [1 - top_pct / 100.0]).select(F.col("q")[0].alias("threshold"))
 
 
 def quality_cut(frames: DataFrame, top_pct: float | str | None, run: DataFrame | None = None) -> DataFrame:
@@ -61,7 +62,8 @@ class BrowseQuery:
         """All rows the pages are cut from: one per burst, or all frames if unfurled (then ranked over the whole run)."""
         shown = frames
         if self.unfurl:
-            shown = frames.withColumn("burst_rank", F.rank().over(Window.orderBy(F.desc("score"))).cast("long"))
+            placed = frames if "score_rank" in frames.columns else frames.join(value_ranks(frames, "score", "score_rank"), "score")
+            shown = placed.withColumn("burst_rank", F.col("score_rank"))
         out = pick_flags(self.matching(shown), picks, self.viewer)
         if not self.unfurl:
             first = F.row_number().over(Window.partitionBy("burst_id").orderBy(*self.order()))
@@ -76,12 +78,17 @@ class BrowseQuery:
         return self.rows(frames, picks).count()
 
 
-def burst_detail(frames: DataFrame, top_pct: float, burst_ids: list[int] | None = None) -> DataFrame:
-    """Frames of bursts above the run's threshold; a burst that would be empty is shown whole."""
+def burst_detail(frames: DataFrame, top_pct: float, burst_ids: list[int] | None = None, sort: str = "rank") -> DataFrame:
+    """Frames of bursts above the run's threshold, a burst that would be empty whole; by rank in the burst, or by time."""
     limit = quality_threshold(frames, top_pct)
     some = frames if burst_ids is None else frames.where(F.col("burst_id").isin(burst_ids))
     kept = some.crossJoin(F.broadcast(limit)).withColumn("_ok", F.col("score") >= F.col("threshold"))
-    return kept.withColumn("_n", F.count_if("_ok").over(Window.partitionBy("burst_id"))).where("_ok OR _n = 0").drop("_ok", "_n", "threshold")
+    return kept.withColumn("_n", F.count_if("_ok").over(Window.partitionBy("burst_id"))).where("_ok OR _n = 0").drop("_ok", "_n", "threshold").orderBy("burst_id", *detail_order(frames, sort))
+
+
+def detail_order(frames: DataFrame, sort: str) -> list:
+    by_rank = [F.asc("within_burst_rank")] if "within_burst_rank" in frames.columns else []
+    return [*([F.asc_nulls_last("captured_at")] if sort == "time" else []), *by_rank, F.asc("path")]
 
 
 def run_stats(frames: DataFrame, picks: DataFrame, query: BrowseQuery) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightsift.functions.vectors import cosine
+from lightsift.session import written
+
+from .ordering import row_numbers, running, value_ranks
 
 SHORT_GAP, LONG_GAP, ALIKE = 0.6, 8.0, 0.92
 TIME_ONLY_GAP = 2.5
@@ -16,31 +19,31 @@ def gap_seconds(before: Column, now: Column) -> Column:
 
 
 def burst_ids(frames: DataFrame, short: float = SHORT_GAP, long: float = LONG_GAP, alike: float = ALIKE, similarity: bool = True) -> DataFrame:
-    """frames (path, camera_id, captured_at, emb, ...) with burst_id.
+    """frames (path, camera_id, captured_at, emb, ...; one row per path) with burst_id.
 
     A frame starts a burst if it is its camera's first, or comes more than `long` seconds after the frame
     before it, or more than `short` and does not look alike (a missing vector never does). Ids count
     bursts by camera and time; frames without a time get one burst each after all others, by path.
-    Only counts per camera meet in one task, never frames of different cameras.
+    Keys alone are sorted, in ranges, so one camera with all frames is the work of many tasks; vectors are
+    fetched for the gaps between `short` and `long` only.
     """
-    timed = frames.where(F.col("captured_at").isNotNull())
-    order = Window.partitionBy("camera_id").orderBy("captured_at", "path")
-    gap = gap_seconds(F.lag("captured_at").over(order), F.col("captured_at"))
+    keys = frames.where(F.col("captured_at").isNotNull()).select("camera_id", "captured_at", "path")
+    placed = row_numbers(keys, [F.asc_nulls_first("camera_id"), F.asc("captured_at"), F.asc("path")], "_i")
+    before = placed.select((F.col("_i") + 1).alias("_i"), F.col("camera_id").alias("_camera"), F.col("captured_at").alias("_at"), F.col("path").alias("_path"))
+    pairs = placed.join(before, "_i", "left").withColumn("_gap", F.when(F.col("_path").isNotNull() & F.col("camera_id").eqNullSafe(F.col("_camera")), gap_seconds(F.col("_at"), F.col("captured_at"))))
+    start = F.when(F.col("_gap") <= short, 0)
     if similarity:
-        look = F.lag("emb").over(order)
-        start = F.when(gap.isNull(), 1).when(gap <= short, 0).when(gap <= long, F.when(F.coalesce(cosine(look, F.col("emb")) >= alike, F.lit(False)), 0).otherwise(1)).otherwise(1)
-    else:
-        start = F.when(gap.isNull(), 1).when(gap <= short, 0).otherwise(1)
-    cut = timed.withColumn("_start", start).withColumn("_own", F.sum("_start").over(order))
-    per_camera = cut.groupBy("camera_id").agg(F.sum("_start").alias("_n"))
-    before = Window.orderBy(F.col("camera_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offset = per_camera.select(F.col("camera_id").alias("_camera"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ids = cut.join(offset, F.col("camera_id").eqNullSafe(F.col("_camera"))).withColumn("burst_id", (F.col("_before") + F.col("_own") - 1).cast("long"))
-    untimed = frames.where(F.col("captured_at").isNull())
-    total = per_camera.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
-    # frames without a time are few; their number is all that is ordered globally
-    single = untimed.crossJoin(F.broadcast(total)).withColumn("burst_id", (F.col("_total") + F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
-    return ids.select(*frames.columns, "burst_id").unionByName(single.select(*frames.columns, "burst_id"))
+        open_ = pairs.where((F.col("_gap") > short) & (F.col("_gap") <= long)).select("path", "_path")
+        own, other = frames.select("path", F.col("emb").alias("_a")), frames.select(F.col("path").alias("_path"), F.col("emb").alias("_b"))
+        looks = open_.join(own, "path").join(other, "_path").where(cosine(F.col("_a"), F.col("_b")) >= alike).select("path", F.lit(True).alias("_alike"))
+        pairs = pairs.join(looks, "path", "left")
+        start = start.when(F.col("_alike"), 0)
+    starts = pairs.select("path", "_i", start.otherwise(1).cast("long").alias("_start"))
+    ids = running(starts, ["_i"], {"burst_id": "_start"}).select("path", (F.col("burst_id") + F.col("_start") - 1).alias("burst_id"), "_start")
+    total = ids.agg(F.coalesce(F.sum("_start"), F.lit(0)).alias("_total"))  # one row
+    untimed = row_numbers(frames.where(F.col("captured_at").isNull()).select("path"), ["path"], "burst_id")
+    single = untimed.crossJoin(F.broadcast(total)).select("path", (F.col("burst_id") + F.col("_total") - 1).alias("burst_id"))
+    return frames.join(ids.select("path", "burst_id").unionByName(single), "path").select(*frames.columns, "burst_id")
 
 
 def burst_summary(bursts: DataFrame) -> DataFrame:
@@ -49,17 +52,20 @@ def burst_summary(bursts: DataFrame) -> DataFrame:
 
 
 def ranked(frames: DataFrame) -> DataFrame:
-    """frames with burst_id and score: rank, within_burst_rank, is_representative, burst_size and burst_rank.
+    """frames with burst_id and score: rank, score_rank, within_burst_rank, is_representative, burst_size and burst_rank.
 
-    Global ranks are row numbers in one sorted order; the representative of a burst is its best frame
-    that is not rejected, and bursts are ranked by the score of theirs, ties sharing the best rank.
+    rank is the place by score and path, score_rank that by score alone (ties share the best). The representative of
+    a burst is its best frame that is not rejected, and bursts are ranked by the score of theirs, ties sharing the
+    best rank. Only keys and scores are sorted, in ranges; no task sees all frames.
     """
-    reject = F.col("tech_hard_reject") if "tech_hard_reject" in frames.columns else F.lit(False)
+    reject = "tech_hard_reject" if "tech_hard_reject" in frames.columns else None
+    keys = frames.select("path", "score", "burst_id", (F.col(reject) if reject else F.lit(False)).alias("_reject"))
     own = Window.partitionBy("burst_id")
-    by_score = own.orderBy(F.desc("score"), "path")
-    out = frames.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")).cast("long"))
-    out = out.withColumn("within_burst_rank", F.row_number().over(by_score).cast("long"))
-    out = out.withColumn("is_representative", F.row_number().over(own.orderBy(reject, F.desc("score"), "path")) == 1)
-    out = out.withColumn("burst_size", F.count(F.lit(1)).over(own))
-    best = out.where("is_representative").select(F.col("burst_id").alias("_b"), F.rank().over(Window.orderBy(F.desc("score"))).cast("long").alias("burst_rank"))
-    return out.join(best, F.col("burst_id") == F.col("_b")).drop("_b")
+    keys = keys.withColumn("within_burst_rank", F.row_number().over(own.orderBy(F.desc("score"), "path")).cast("long"))
+    keys = keys.withColumn("is_representative", F.row_number().over(own.orderBy("_reject", F.desc("score"), "path")) == 1)
+    keys = written(keys.withColumn("burst_size", F.count(F.lit(1)).over(own)))
+    best = keys.where("is_representative").select("burst_id", "score")
+    bursts = best.join(value_ranks(best, "score", "burst_rank"), "score").select("burst_id", "burst_rank")
+    places = row_numbers(keys.select("path", "score"), [F.desc("score"), F.asc("path")], "rank").select("path", "rank")
+    out = keys.join(places, "path").join(value_ranks(keys, "score", "score_rank"), "score").join(bursts, "burst_id")
+    return frames.join(out.select("path", "rank", "score_rank", "within_burst_rank", "is_representative", "burst_size", "burst_rank"), "path")

@@ -7,23 +7,26 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import row_numbers, running
+
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Mann-Whitney AUC with average ranks of ties; NaN if a class is missing. Only distinct scores are ordered globally."""
+    """Mann-Whitney AUC with average ranks of ties; NaN if a class is missing. Distinct scores are ordered in ranges."""
     by = rows.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("r", before + (F.col("n") + 1) / 2.0)
+    ranked = running(by, ["s"], {"below": "n"}).withColumn("r", F.col("below") + (F.col("n") + 1) / 2.0)
     total = ranked.agg(F.sum(F.col("r") * F.col("p")).alias("u"), F.sum("p").alias("P"), F.sum(F.col("n") - F.col("p")).alias("N"))
     return total.select(F.when((F.col("P") == 0) | (F.col("N") == 0), F.lit(float("nan"))).otherwise((F.col("u") - F.col("P") * (F.col("P") + 1) / 2.0) / (F.col("P") * F.col("N"))).alias("auc"), F.col("P").alias("n_pos"), F.col("N").alias("n_neg"))
 
 
 def stratified_folds(rows: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
-    """rows with fold 0..k-1: within each class rows are dealt out in the order of a hash of the key."""
-    turn = F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)) - 1
-    return rows.withColumn("fold", (turn % k).cast("long"))
+    """rows (one per key) with fold 0..k-1: within each class rows are dealt out in the order of a hash of the key."""
+    turns = row_numbers(rows.select(key, label, F.md5(F.col(key).cast("string").cast("binary")).alias("_h")), [F.asc_nulls_first(label), F.asc("_h"), F.asc(key)], "_turn")
+    first = turns.groupBy(label).agg(F.min("_turn").alias("_first")).select(F.col(label).alias("_class"), "_first")
+    dealt = turns.join(F.broadcast(first), F.col(label).eqNullSafe(F.col("_class"))).select(F.col(key).alias("_key"), ((F.col("_turn") - F.col("_first")) % k).alias("fold"))  # a row per class
+    return rows.join(dealt, F.col(key).eqNullSafe(F.col("_key"))).select(*rows.columns, "fold")
 
 
 def mixed_bursts(frames: DataFrame, label: str) -> DataFrame:

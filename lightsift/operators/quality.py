@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lightsift.functions import scalars as S
 from lightsift.functions.vectors import dot, minus
 
+from .ordering import quantiles
+
 
 def prototype(vectors: DataFrame, emb: str = "emb") -> DataFrame:
     """One row, v: the normalised mean of all vectors."""
@@ -33,7 +35,7 @@ def box_summary(images: DataFrame, boxes: str = "areas", floor: float = 0.02) ->
 def tech_scores(frames: DataFrame) -> DataFrame:
     """Component scores and the technical score; the sharpness range is the run's 5 to 95 percent quantiles."""
     log_sharp = F.log1p(F.greatest(F.col("sharpness"), F.lit(0.0)))
-    q = frames.agg(F.percentile(log_sharp, F.array(F.lit(0.05), F.lit(0.95))).alias("q")).select(F.coalesce(F.get("q", 0), F.lit(0.0)).alias("lo"), F.coalesce(F.get("q", 1), F.lit(1.0)).alias("hi"))
+    q = quantiles(frames, log_sharp, [0.05, 0.95]).select(F.coalesce(F.get("q", 0), F.lit(0.0)).alias("lo"), F.coalesce(F.get("q", 1), F.lit(1.0)).alias("hi"))
     ff = F.col("face_frac")
     out = frames.crossJoin(F.broadcast(q)).withColumns({
         "tech_sharpness_norm": S.unit(log_sharp, F.col("lo"), F.col("hi")),

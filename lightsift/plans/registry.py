@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 # --- shared SQL -------------------------------------------------------------------------------
-FRAMES = """frames AS (
+FRAMES = """frames AS MATERIALIZED (
     SELECT e.event_id AS path, e.user_id AS camera_id, e.ts AS captured_at, e.value AS score, v.embedding::DOUBLE[] AS emb,
            CASE WHEN (e.event_id % 13) / 100.0::DOUBLE >= 0.04 THEN 'people' ELSE 'stage' END AS subject_class,
            (e.event_id % 13) / 100.0::DOUBLE >= 0.06 AND e.event_id % 3 <= 1 AND (e.event_id % 5) / 100.0::DOUBLE < 0.02 AND (e.event_id % 7) / 100.0::DOUBLE <= 0.05 AS is_hero
@@ -53,14 +53,14 @@ def bursts_sql(rule: str) -> str:
 
 
 BURSTS = bursts_sql("WHEN date_diff('microsecond', pt, captured_at) / 1e6 <= 14400 AND list_cosine_similarity(pe, emb) >= 0.15 THEN 0")
-RANKED = """ranked0 AS (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS rank, row_number() OVER (PARTITION BY burst_id ORDER BY score DESC, path) AS within_burst_rank,
+RANKED = """ranked0 AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS rank, row_number() OVER (PARTITION BY burst_id ORDER BY score DESC, path) AS within_burst_rank,
         row_number() OVER (PARTITION BY burst_id ORDER BY score DESC, path) = 1 AS is_representative, count(*) OVER (PARTITION BY burst_id) AS burst_size FROM bursts),
     ranked AS (SELECT r.*, b.burst_rank FROM ranked0 r JOIN (SELECT burst_id, rank() OVER (ORDER BY score DESC) AS burst_rank FROM ranked0 WHERE is_representative) b USING (burst_id))"""
 AXIS = """means AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings WHERE label IN (0, 1)) GROUP BY label, pos),
     protos AS (SELECT label, pos, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY label)), 1e-12) AS x FROM means),
     axis AS (SELECT list(c.x - w.x ORDER BY c.pos) AS a FROM protos c JOIN protos w ON c.pos = w.pos AND c.label = 1 AND w.label = 0)"""
 RUN = """run AS (SELECT *, CASE WHEN cl < -0.038 THEN 'wide' WHEN cl >= 0 THEN 'close' ELSE 'medium' END AS shot_type FROM (SELECT r.*, list_dot_product(r.emb, a) AS cl FROM ranked r, axis))"""
-PICKS = """picks AS (SELECT DISTINCT o_orderkey % (SELECT count(*) FROM events) AS path, CAST(o_custkey % 5 AS VARCHAR) AS viewer FROM orders WHERE o_orderpriority = '1-URGENT')"""
+PICKS = """picks AS (SELECT DISTINCT o_orderkey % (SELECT count(*) FROM events) AS path, CAST(o_custkey % 5 AS VARCHAR) AS viewer FROM orders)"""
 FLAGS = """flags AS (SELECT path, count(DISTINCT viewer) AS n_picks, bool_or(viewer = '1') AS mine, bool_or(viewer <> '1') AS others, string_agg(viewer, ',' ORDER BY viewer) AS owners FROM picks GROUP BY path)"""
 ALL = f"WITH {FRAMES}, {BURSTS}, {RANKED}, {AXIS}, {RUN}, {PICKS}, {FLAGS}"
 TECH = """q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_extendedprice / 5000 AS sharpness, l_discount AS face_frac, l_tax * 3 AS ear, l_quantity / 100 AS clipped,

@@ -14,17 +14,23 @@ _shipped: set[str] = set()
 _local: list[str] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A small table cut off from its lineage, in the folder that spark.checkpoint.dir names (tests: a local one)."""
-    spark = df.sparkSession
+def scratch(tag: str, spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; unset, a local one is made for a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         root = _local[0]
-    path = f"{root.rstrip('/')}/lightsift-round-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/lightsift-{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A table written once to the shared scratch folder and read from there: its lineage ends."""
+    path = scratch("table", df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,17 @@ def _fs(spark: SparkSession, root: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def signature(spark: SparkSession, path: str) -> str:
+    """Digest of names, sizes and times of the files under a path."""
+    fs, of = _fs(spark, path)
+    files = fs.listFiles(of(path), True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().getName(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:16]
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Published versions, oldest first: each has a marker file, made by one rename."""
     fs, path = _fs(spark, root)
