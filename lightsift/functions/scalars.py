@@ -67,6 +67,6 @@ def next_version(v: int) -> int:
     return (v | 1) + 1
 
 
-def pair_loss(d: Column) -> Column:
-    """softplus(-d) without overflow."""
-    return F.greatest(-d, F.lit(0.0)) + F.log1p(F.exp(-F.abs(d)))
+def pair_loss(d: Column, margin: float = 0.0) -> Column:
+    """Loss of a pair whose good frame scores d more: softplus(-d) without overflow, or a hinge with a margin."""
+    return F.greatest(margin - d, F.lit(0.0)) if margin > 0 else F.greatest(-d, F.lit(0.0)) + F.log1p(F.exp(-F.abs(d)))

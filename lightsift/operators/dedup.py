@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightsift.functions.vectors import dot, normalized
+from lightsift.session import written
 
 ALIKE = 0.9995
 RAW = ("cr2", "cr3", "nef", "arw", "raf", "rw2", "orf", "dng")
@@ -28,37 +34,53 @@ def without_paired_raw(files: DataFrame) -> DataFrame:
     return files.withColumn("_raw", raw).join(plain, ["dir", "stem", "_raw"], "left_anti").drop("_raw")
 
 
-def alike_edges(vectors: DataFrame, key: str, emb: str, threshold: float = ALIKE, parts: int = 64) -> DataFrame:
-    """Pairs a < b whose cosine is at least threshold.
+#: Rows of a block that is compared with another in one task.
+BLOCK = 2048
 
-    Exact comparison of every pair, in blocks: row block i meets column block j once, so each task holds
-    two blocks, however many rows there are. Look-alikes have no key to join on without losing pairs.
-    """
-    import numpy as np
-    import pandas as pd
 
-    unit = vectors.select(F.col(key).alias("k"), normalized(F.col(emb)).alias("v")).withColumn("blk", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int"))
-    left = unit.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "k", "v", "blk")
+def alike_edges(vectors: DataFrame, key: str, emb: str, threshold: float = ALIKE, block: int = BLOCK, axes: int | None = None) -> DataFrame:
+    """Pairs a < b whose cosine is at least threshold; exact.
+
+    Alike unit vectors lie within sqrt(2 - 2 threshold) of each other, so along each of some fixed orthogonal
+    axes they fall into the same or neighbouring cells of that width: a vector is compared with those of the cells
+    around its own only. Where that width is too large to tell vectors apart (over a half) there is one cell, and
+    every pair is compared. Blocks of about `block` rows meet in a task, however many rows a cell or the table has.
+    """
+    width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    unit = written(vectors.select(F.col(key).alias("k"), normalized(F.col(emb)).alias("v")).where("v IS NOT NULL"))
+    n = unit.count()
+    if axes is None:
+        axes = 0 if width > 0.5 or n <= block else 2 if n < 10_000_000 else 3
+    size = unit.select(F.size("v").alias("n")).first() if axes else None
+    axes = min(axes, size["n"]) if size else 0
+    basis = np.linalg.qr(np.random.default_rng(17).normal(size=(size["n"], axes)))[0].T if axes else []
+    places = [F.floor(dot(F.col("v"), F.array(*[F.lit(float(x)) for x in axis])) / width).cast("int") for axis in basis]
+    homes = unit.withColumn("cell", F.array(*places) if axes else F.array().cast("array<int>"))
+    around = [list(o) for o in product((-1, 0, 1), repeat=axes)]
+    near = F.array(*[F.array(*[F.get("cell", i) + F.lit(d) for i, d in enumerate(o)]) if o else F.col("cell") for o in around])
+    every = homes.select("k", "v", F.explode(near).alias("cell"))
+    blocks = lambda df, c: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(c))
+    grid = written(blocks(homes, "rows").join(blocks(every, "cols"), "cell"))
+    own = homes.join(grid, "cell").select("cell", F.pmod(F.xxhash64("k"), "rows").cast("int").alias("i"), F.explode(F.expr("sequence(0, cols - 1)")).alias("j"), F.lit(True).alias("home"), "k", "v")
+    others = every.join(grid, "cell").select("cell", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), F.pmod(F.xxhash64("k"), "cols").cast("int").alias("j"), F.lit(False).alias("home"), "k", "v")
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        a, b = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
+        a, b = pdf[pdf["home"]], pdf[~pdf["home"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "cos": []}).astype({"a": "int64", "b": "int64", "cos": "float64"})
         sims = np.stack(a["v"].to_list()) @ np.stack(b["v"].to_list()).T
-        x, y = np.nonzero(sims >= threshold)
-        ka, kb = a["k"].to_numpy()[x], b["k"].to_numpy()[y]
-        once = ka < kb if i == j else ka != kb
-        return pd.DataFrame({"a": np.minimum(ka, kb)[once], "b": np.maximum(ka, kb)[once], "cos": sims[x, y][once]})
+        ka, kb = a["k"].to_numpy(), b["k"].to_numpy()
+        x, y = np.nonzero((sims >= threshold) & (ka[:, None] < kb[None, :]))
+        return pd.DataFrame({"a": ka[x], "b": kb[y], "cos": sims[x, y]})
 
-    return left.groupBy("i", "j").applyInPandas(pairs, "a long, b long, cos double")
+    return own.unionByName(others).groupBy("cell", "i", "j").applyInPandas(pairs, "a long, b long, cos double")
 
 
-def greedy(keys: DataFrame, key: str, edges: DataFrame, written) -> DataFrame:
+def greedy(keys: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     """Keys that a pass in ascending order keeps: a key stays unless a smaller key that stays is its neighbour.
 
     Rounds over the edges alone: an open key without open smaller neighbours stays, its neighbours go.
-    `written` cuts the lineage of each round's small edge table.
+    Each round's edge table is written, which ends its lineage.
     """
     open_ = written(edges.select("a", "b"))
     dropped = None

@@ -1,4 +1,4 @@
-"""Ranking model: AUC, folds, pair sampling and a pairwise logistic ranker."""
+"""Ranking model: AUC, folds, pair sampling, a pairwise network and a linear ranker."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lightsift.session import written
+
 from .ordering import row_numbers, running
 
 
@@ -35,21 +37,53 @@ def mixed_bursts(frames: DataFrame, label: str) -> DataFrame:
     return by.where("n_good > 0 AND n_bad > 0")
 
 
-def within_burst_pairs(frames: DataFrame, label: str, key: str = "path") -> DataFrame:
-    """All (good, bad) pairs of frames of one burst; bursts are short by construction."""
-    good = frames.where(F.col(label) == 1).select("burst_id", F.col(key).alias("good"))
-    bad = frames.where(F.col(label) == 0).select("burst_id", F.col(key).alias("bad"))
-    return good.join(bad, "burst_id")
+def drawn(*parts: F.Column) -> F.Column:
+    """A number of 60 bits from the MD5 of the parts as text, joined by colons."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def within_burst_pairs(frames: DataFrame, label: str, n: int = 4096, seed: int = 42, key: str = "path") -> DataFrame:
+    """n seeded (slot, burst_id, good, bad) pairs of frames of one burst (none without mixed bursts): a mixed burst is drawn by
+    hash for each slot, then one good and one bad frame of it, so a long burst gives no more pairs than a short one, and never all of its own.
+    """
+    places = row_numbers(mixed_bursts(frames, label), ["burst_id"], "_i")
+    total = places.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    slots = frames.sparkSession.range(n).withColumnRenamed("id", "slot").crossJoin(F.broadcast(total)).where("_n > 0")
+    turn = lambda tag, among: drawn(F.lit(seed), F.lit(tag), F.col("slot")) % F.col(among) + 1
+    want = slots.withColumn("_i", turn("burst", "_n")).join(places, "_i").select("slot", "burst_id", turn("good", "n_good").alias("_g"), turn("bad", "n_bad").alias("_b"))
+    members = frames.select("burst_id", key, label).join(want.select("burst_id").distinct(), "burst_id", "left_semi")
+    ranked = members.withColumn("_r", F.row_number().over(Window.partitionBy("burst_id", label).orderBy(key)).cast("long"))
+    good = ranked.where(F.col(label) == 1).select("burst_id", F.col("_r").alias("_g"), F.col(key).alias("good"))
+    bad = ranked.where(F.col(label) == 0).select("burst_id", F.col("_r").alias("_b"), F.col(key).alias("bad"))
+    return want.join(good, ["burst_id", "_g"]).join(bad, ["burst_id", "_b"]).select("slot", "burst_id", "good", "bad")
 
 
 def sampled_pairs(frames: DataFrame, label: str, n: int, seed: int = 42, key: str = "path") -> DataFrame:
-    """At most n random (good, bad) pairs: both classes are dealt to n slots by hash, the least of each slot by another hash
-    is taken, whatever its key, and the two are joined on the slot. n is the number of pairs where both classes are much larger."""
-    slot = lambda side: F.pmod(F.xxhash64(key, F.lit(seed), F.lit(side)), F.lit(n))
-    good = frames.where(F.col(label) == 1).select(F.col(key).alias("good"), slot("g").alias("slot"))
-    bad = frames.where(F.col(label) == 0).select(F.col(key).alias("bad"), slot("b").alias("slot"))
-    one = lambda df, c: df.groupBy("slot").agg(F.min_by(c, F.struct(F.xxhash64(c, F.lit(seed + 1)), c)).alias(c))
-    return one(good, "good").join(one(bad, "bad"), "slot").drop("slot")
+    """n seeded random (slot, good, bad) pairs, drawn with repeats over all frames of both classes (none if one is empty)."""
+    slots = frames.sparkSession.range(n).withColumnRenamed("id", "slot")
+    for name, y in (("good", 1), ("bad", 0)):
+        placed = row_numbers(frames.where(F.col(label) == y).select(F.col(key).alias(name)), [name], "_i")
+        total = placed.agg(F.count(F.lit(1)).alias("_n"))  # one row
+        turn = drawn(F.lit(seed), F.lit(name), F.col("slot")) % F.col("_n") + 1
+        slots = slots.crossJoin(F.broadcast(total)).where("_n > 0").withColumn("_i", turn).join(placed, "_i").drop("_i", "_n")
+    return slots
+
+
+def training_pairs(frames: DataFrame, label: str, n: int = 4096, within: float = 0.0, must_find: float = 0.0, seed: int = 42, key: str = "path") -> DataFrame:
+    """Seeded (good, bad, kind) pairs: a share `must_find` sets frames marked must_find against bad ones, and of the others
+    a share `within` comes from bursts that hold both. Shares that have no frames to draw from go to the plain kind."""
+    n_top = round(n * must_find) if "must_find" in frames.columns else 0
+    n_top = 0 if not n_top or frames.where("must_find").isEmpty() else n_top
+    n_in = round((n - n_top) * within) if "burst_id" in frames.columns else 0
+    n_in = 0 if not n_in or mixed_bursts(frames, label).isEmpty() else n_in
+    out = sampled_pairs(frames, label, n - n_top - n_in, seed, key).select("good", "bad", F.lit("good_bad").alias("kind"))
+    if n_in:
+        out = out.unionByName(within_burst_pairs(frames, label, n_in, seed, key).select("good", "bad", F.lit("within_burst").alias("kind")))
+    if n_top:
+        top = frames.where(F.col("must_find") | (F.col(label) == 0)).withColumn(label, F.col("must_find").cast("int"))
+        out = out.unionByName(sampled_pairs(top, label, n_top, seed + 7, key).select("good", "bad", F.lit("must_find").alias("kind")))
+    return out
 
 
 def feature_vector(parts: list, quality) -> F.Column:
@@ -84,18 +118,131 @@ def fit_ranker(pairs: DataFrame, dim: int, rounds: int = 30, rate: float = 1.0,
     return w
 
 
-def forward(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+Layers = list[tuple[np.ndarray, np.ndarray]]
+#: Hidden widths, full-batch steps, AdamW's rate and weight decay, and the margin (0: softplus loss, else hinge).
+HIDDEN, STEPS, RATE, DECAY = (256, 256), 60, 1e-3, 1e-4
+ERF = np.vectorize(math.erf, otypes=[float])
+#: The error function for training, by linear interpolation to 2e-8.
+KNOTS = np.linspace(-6, 6, 24_001)
+TABLE = ERF(KNOTS)
+
+
+def forward(x: np.ndarray, layers: Layers) -> np.ndarray:
     """Scores of a multi-layer perceptron with exact GELU between layers."""
-    erf = np.vectorize(math.erf)
     for i, (w, b) in enumerate(layers):
         x = x @ w + b
         if i + 1 < len(layers):
-            x = 0.5 * x * (1 + erf(x / math.sqrt(2)))
+            x = 0.5 * x * (1 + ERF(x / math.sqrt(2)))
     return x[:, 0]
 
 
-def score_mlp(frames: DataFrame, features: str, layers: list[tuple[np.ndarray, np.ndarray]], keep: list[str]) -> DataFrame:
-    """frames' keep columns with score; weights travel once per executor."""
+def traced(x: np.ndarray, layers: Layers) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Scores, and of each layer its input and the slope of what follows it."""
+    trace = []
+    for i, (w, b) in enumerate(layers):
+        z = x @ w + b
+        if i + 1 == len(layers):
+            trace.append((x, np.ones_like(z)))
+            return z[:, 0], trace
+        below = 0.5 * (1 + np.interp(z / math.sqrt(2), KNOTS, TABLE))
+        trace.append((x, below + z * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)))
+        x = z * below
+    raise ValueError("a network has at least one layer")
+
+
+def gradients(trace: list[tuple[np.ndarray, np.ndarray]], layers: Layers, by_score: np.ndarray) -> list[np.ndarray]:
+    """Gradients of all weights and biases from a trace and the loss's derivative by each row's score."""
+    back, out = by_score[:, None], []
+    for (x, slope), (w, _) in zip(reversed(trace), reversed(layers), strict=True):
+        back = back * slope
+        out += [back.sum(axis=0), x.T @ back]
+        back = back @ w.T
+    return out[::-1]
+
+
+def fit_network(good: np.ndarray, bad: np.ndarray, hidden: tuple[int, ...] = HIDDEN, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, margin: float = 0.0, seed: int = 42) -> Layers:
+    """A network whose scores put good above bad, by AdamW on the pairwise loss softplus(bad - good), or a hinge."""
+    rng, widths = np.random.default_rng(seed), [good.shape[1], *hidden, 1]
+    params = [p for a, b in zip(widths, widths[1:], strict=False) for p in (rng.uniform(-1, 1, (a, b)) / math.sqrt(a), np.zeros(b))]
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for t in range(1, steps + 1):
+        layers = list(zip(params[::2], params[1::2], strict=True))
+        (up, trace_up), (down, trace_down) = traced(good, layers), traced(bad, layers)
+        d = up - down
+        slope = (-(d < margin).astype(float) if margin > 0 else -1 / (1 + np.exp(np.clip(d, -35, 35)))) / len(d)
+        total = [a + b for a, b in zip(gradients(trace_up, layers, slope), gradients(trace_down, layers, -slope), strict=True)]
+        for i, g in enumerate(total):
+            first[i], second[i] = 0.9 * first[i] + 0.1 * g, 0.999 * second[i] + 0.001 * g * g
+            params[i] = params[i] * (1 - rate * decay) - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
+    return list(zip(params[::2], params[1::2], strict=True))
+
+
+def fit_networks(pairs: DataFrame, by: str, **options) -> dict[int, Layers]:
+    """One network for each value of `by` from its pairs (good_x, bad_x: arrays), each fitted in a task of its own.
+
+    The caller bounds the pairs (see training_pairs): a group is one task's work. The models reach the driver, one per value.
+    """
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["good", "bad"])  # the same result however rows arrive
+        layers = fit_network(np.stack(pdf["good_x"].to_list()), np.stack(pdf["bad_x"].to_list()), **options)
+        return pd.DataFrame({"by": [int(key[0])], "model": [json.dumps([[w.tolist(), b.tolist()] for w, b in layers])]})
+
+    rows = pairs.groupBy(by).applyInPandas(fit, "by long, model string").collect()  # one row per value
+    return {r["by"]: [(np.array(w), np.array(b)) for w, b in json.loads(r["model"])] for r in rows}
+
+
+def with_vectors(pairs: DataFrame, frames: DataFrame, features: str, key: str = "path") -> DataFrame:
+    good, bad = (frames.select(F.col(key).alias(c), F.col(features).cast("array<double>").alias(f"{c}_x")) for c in ("good", "bad"))
+    return pairs.join(good, "good").join(bad, "bad")
+
+
+def holdout(rows: DataFrame, key: str, label: str, share: float = 0.2) -> DataFrame:
+    """rows with held_out: in each class the first share of a hash order, one at least and never all; share 0 or 1: none."""
+    if not 0 < share < 1:
+        return rows.withColumn("held_out", F.lit(False))
+    turns = row_numbers(rows.select(key, label, F.md5(F.concat(F.lit("holdout"), F.col(key).cast("string")).cast("binary")).alias("_h")), [F.asc_nulls_first(label), F.asc("_h"), F.asc(key)], "_turn")
+    sizes = turns.groupBy(label).agg(F.min("_turn").alias("_first"), F.count(F.lit(1)).alias("_n")).select(F.col(label).alias("_class"), "_first", "_n")
+    most = F.when(F.col("_n") >= 2, F.least(F.greatest(F.lit(1), F.round(F.col("_n") * share)), F.col("_n") - 1)).otherwise(0)
+    dealt = turns.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_class"))).select(F.col(key).alias("_key"), (F.col("_turn") - F.col("_first") < most).alias("held_out"))  # a row per class
+    return rows.join(dealt, F.col(key).eqNullSafe(F.col("_key"))).select(*rows.columns, "held_out")
+
+
+def cross_validate(frames: DataFrame, label: str, features: str, folds: int = 5, share: float = 0.2, n_pairs: int = 4096, within: float = 0.0, must_find: float = 0.0, key: str = "path", **options) -> tuple[DataFrame, Layers]:
+    """(AUC by part, final network): folds inside the training part, a model of that part on the held-out one, and the fit on all rows.
+
+    Parts are 'fold 0', ..., 'cv_mean', 'holdout', 'train' and 'all'. Each model sees at most n_pairs pairs; all are fitted in parallel.
+    """
+    dealt = written(holdout(frames, key, label, share))
+    inner = written(stratified_folds(dealt.where("NOT held_out"), key, label, folds))
+    classes = inner.groupBy(label).count().collect()  # two rows
+    k = min([folds, *[r["count"] for r in classes]]) if len(classes) == 2 and 0 < share < 1 else 0
+    if k < folds:
+        inner = written(stratified_folds(dealt.where("NOT held_out"), key, label, max(k, 1)))
+    sets = {i: inner.where(F.col("fold") != i).drop("fold", "held_out") for i in range(k if k >= 2 else 0)}
+    if 0 < share < 1:
+        sets[-1] = dealt.where("NOT held_out").drop("held_out")
+    sets[-2] = frames
+    pairs = None
+    for i, rows in sets.items():
+        own = with_vectors(training_pairs(rows, label, n_pairs, within, must_find, key=key), rows, features, key).withColumn("by", F.lit(i))
+        pairs = own if pairs is None else pairs.unionByName(own)
+    models = fit_networks(pairs, "by", **options)
+    tested = [(f"fold {i}", inner.where(F.col("fold") == i), models[i]) for i in sets if i >= 0]
+    if -1 in sets:
+        tested += [("holdout", dealt.where("held_out"), models[-1]), ("train", dealt.where("NOT held_out"), models[-1])]
+    tested.append(("all", frames, models[-2]))
+    out = None
+    for name, rows, layers in tested:
+        own = auc(score_mlp(rows, features, layers, [key, label]), "score", label).select(F.lit(name).alias("part"), "auc")
+        out = own if out is None else out.unionByName(own)
+    out = written(out)
+    mean = out.where("part LIKE 'fold%' AND NOT isnan(auc)").agg(F.avg("auc").alias("auc")).select(F.lit("cv_mean").alias("part"), "auc")
+    return out.unionByName(mean), models[-2]
+
+
+def score_mlp(frames: DataFrame, features: str, layers: Layers, keep: list[str]) -> DataFrame:
+    """frames' keep columns with score; the weights (their size is that of the network, whatever the table) travel once per executor."""
     sent = frames.sparkSession.sparkContext.broadcast(layers)
 
     def run(batches):
@@ -108,13 +255,13 @@ def score_mlp(frames: DataFrame, features: str, layers: list[tuple[np.ndarray, n
     return frames.select(*keep, features).mapInPandas(run, kinds + ", score double")
 
 
-def model_json(weights: np.ndarray, flags: dict) -> str:
-    return json.dumps({"flags": flags, "weights": weights.tolist()}, sort_keys=True)
+def model_json(layers: Layers, flags: dict) -> str:
+    return json.dumps({"flags": flags, "layers": [[w.tolist(), b.tolist()] for w, b in layers]}, sort_keys=True)
 
 
-def model_from(text: str, flags: dict) -> np.ndarray:
-    """Weights of a saved model; other feature flags than it was trained with are an error."""
+def model_from(text: str, flags: dict) -> Layers:
+    """Layers of a saved model; other feature flags than it was trained with are an error."""
     got = json.loads(text)
     if got["flags"] != flags:
         raise ValueError(f"the model was trained with {got['flags']}, not {flags}")
-    return np.array(got["weights"])
+    return [(np.array(w), np.array(b)) for w, b in got["layers"]]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lightsift.functions import scalars as S
@@ -15,6 +15,7 @@ from lightsift.operators import dedup as D
 from lightsift.operators import learn as L
 from lightsift.operators import picks as P
 from lightsift.operators import quality as Q
+from lightsift.operators.downloads import archive_names
 from lightsift.operators.search import search
 from lightsift.sources import manifest as M
 from lightsift.session import written
@@ -274,7 +275,7 @@ EDGES = "edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN em
 
 
 def edges(spark, d):
-    return D.alike_edges(X.table(spark, d, "embeddings"), "vec_id", "embedding", X.NEAR, parts=4)
+    return D.alike_edges(X.table(spark, d, "embeddings"), "vec_id", "embedding", X.NEAR, block=512)
 
 
 @query("near_dup_edges", f"WITH {EDGES} SELECT a, b FROM edges")
@@ -287,7 +288,7 @@ def near_dup_edges(spark, d):
     SELECT unnest(kept) AS vec_id FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)""")
 def near_dup_greedy(spark, d):
     v = X.table(spark, d, "embeddings")
-    return D.greedy(v, "vec_id", written(edges(spark, d)), written)
+    return D.greedy(v, "vec_id", written(edges(spark, d)))
 
 
 @query("train_dedup", "SELECT sha1(d.text) AS sha1, min(d.doc_id) AS path, max(quality) AS y FROM documents d JOIN labels USING (doc_id) GROUP BY ALL")
@@ -332,8 +333,8 @@ def safe_names(spark, d):
 
 @query("zip_names", "SELECT doc_id, CASE WHEN n = 1 THEN source || '.txt' ELSE source || '_' || n || '.txt' END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
 def zip_names(spark, d):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return X.table(spark, d, "documents").select("doc_id", F.when(n == 1, F.concat("source", F.lit(".txt"))).otherwise(F.concat("source", F.lit("_"), n.cast("string"), F.lit(".txt"))).alias("name"))
+    files = X.table(spark, d, "documents").select("doc_id", F.concat("source", F.lit(".txt")).alias("name"))
+    return archive_names(files, written, order="doc_id").select("doc_id", F.col("archived").alias("name"))
 
 
 # --- incremental arrival ----------------------------------------------------------------------
@@ -393,21 +394,62 @@ def mixed_bursts(spark, d):
     return L.mixed_bursts(labelled(spark, d), "y")
 
 
-@query("within_burst_pairs", f"WITH {LABELLED} SELECT burst_id, a.path AS good, b.path AS bad FROM lb a JOIN lb b USING (burst_id) WHERE a.y = 1 AND b.y = 0")
+@query("within_burst_pairs", f"""WITH {LABELLED}, mixed AS (SELECT burst_id, count(*) FILTER (y = 1) AS n_good, count(*) FILTER (y = 0) AS n_bad FROM lb GROUP BY burst_id HAVING n_good > 0 AND n_bad > 0),
+    places AS (SELECT *, row_number() OVER (ORDER BY burst_id) AS i, count(*) OVER () AS n FROM mixed), members AS (SELECT *, row_number() OVER (PARTITION BY burst_id, y ORDER BY path) AS r FROM lb),
+    slots AS (SELECT slot, CAST('0x' || substr(md5('42:burst:' || slot), 1, 15) AS BIGINT) AS b, CAST('0x' || substr(md5('42:good:' || slot), 1, 15) AS BIGINT) AS g, CAST('0x' || substr(md5('42:bad:' || slot), 1, 15) AS BIGINT) AS w FROM (SELECT unnest(range(0, 4096)) AS slot))
+    SELECT slot, p.burst_id, x.path AS good, z.path AS bad FROM slots s JOIN places p ON p.i = s.b % p.n + 1 JOIN members x ON x.burst_id = p.burst_id AND x.y = 1 AND x.r = s.g % n_good + 1 JOIN members z ON z.burst_id = p.burst_id AND z.y = 0 AND z.r = s.w % n_bad + 1""")
 def within_burst_pairs(spark, d):
-    return L.within_burst_pairs(labelled(spark, d), "y")
+    return L.within_burst_pairs(labelled(spark, d), "y", 4096)
+
+
+@query("random_pairs", f"""WITH {LABELLED}, g AS (SELECT path, row_number() OVER (ORDER BY path) AS i, count(*) OVER () AS n FROM lb WHERE y = 1), b AS (SELECT path, row_number() OVER (ORDER BY path) AS i, count(*) OVER () AS n FROM lb WHERE y = 0),
+    slots AS (SELECT slot, CAST('0x' || substr(md5('42:good:' || slot), 1, 15) AS BIGINT) AS x, CAST('0x' || substr(md5('42:bad:' || slot), 1, 15) AS BIGINT) AS z FROM (SELECT unnest(range(0, 4096)) AS slot))
+    SELECT slot, g.path AS good, b.path AS bad FROM slots JOIN g ON g.i = x % g.n + 1 JOIN b ON b.i = z % b.n + 1""")
+def random_pairs(spark, d):
+    return L.sampled_pairs(labelled(spark, d), "y", 4096)
+
+
+def labelled_vectors(spark, d):
+    """The given embeddings as features; a label below 5 is good, one of 9 must be found, and runs of eight are a burst."""
+    c = F.col
+    return X.table(spark, d, "embeddings").select(c("vec_id").alias("path"), c("embedding").cast("array<double>").alias("x"), F.when((c("label") < 5) | (c("label") == 9), 1).otherwise(0).alias("y"), (c("label") == 9).alias("must_find"), F.floor(c("vec_id") / 8).alias("burst_id"))
 
 
 @query("ranknet_scores")
 def ranknet_scores(spark, d):
-    """A linear pairwise ranker on the given embeddings (label below 5 is good), scored on all of them."""
-    v = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("path"), F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("label") < 5, 1).otherwise(0).alias("y"))
-    pairs = L.sampled_pairs(v, "y", 2000).join(v.select(F.col("path").alias("good"), F.col("x").alias("xg")), "good").join(v.select(F.col("path").alias("bad"), F.col("x").alias("xb")), "bad")
-    diff = pairs.select(F.zip_with("xg", "xb", lambda a, b: a - b).alias("d"))
+    """The network fitted on sampled pairs of the given embeddings, scored on all of them."""
+    v = labelled_vectors(spark, d)
+    pairs = L.with_vectors(L.training_pairs(v, "y", 1024, within=0.3, must_find=0.1), v, "x").withColumn("by", F.lit(0))
+    layers = L.fit_networks(pairs, "by", hidden=(64, 64))[0]
+    return L.score_mlp(v, "x", layers, ["path", "y"])
+
+
+@query("linear_ranker_scores")
+def linear_ranker_scores(spark, d):
+    """The linear pairwise ranker, whose gradients are summed by the cluster, on the same embeddings."""
+    v = labelled_vectors(spark, d)
+    diff = L.with_vectors(L.sampled_pairs(v, "y", 2000), v, "x").select(F.zip_with("good_x", "bad_x", lambda a, b: a - b).alias("d"))
     w = L.fit_ranker(diff, 64)
     return v.select("path", "y", F.aggregate(F.zip_with("x", F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
 
 
+@query("ranknet_cv")
+def ranknet_cv(spark, d):
+    """AUC of each fold, their mean, and of the held-out, training and all rows."""
+    return L.cross_validate(labelled_vectors(spark, d), "y", "x", n_pairs=512, within=0.3, must_find=0.1, hidden=(32, 32))[0]
+
+
+@query("holdout_split", "SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('holdout' || doc_id), doc_id) <= CASE WHEN count(*) OVER c >= 2 THEN least(greatest(1, round(count(*) OVER c * 0.2)), count(*) OVER c - 1) ELSE 0 END AS held_out FROM labels WINDOW c AS (PARTITION BY quality)")
+def holdout_split(spark, d):
+    return L.holdout(X.table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "quality")
+
+
+@query("pair_losses", "SELECT l_orderkey, l_linenumber, round(greatest(-d, 0) + ln(1 + exp(-abs(d))), 6) AS softplus, round(greatest(1 - d, 0), 6) AS hinge FROM (SELECT *, l_discount * 20 - l_tax * 20 AS d FROM lineitem)")
+def pair_losses(spark, d):
+    x = F.col("l_discount") * 20 - F.col("l_tax") * 20
+    return X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.pair_loss(x), 6).alias("softplus"), F.round(S.pair_loss(x, 1.0), 6).alias("hinge"))
+
+
 # --- streams ----------------------------------------------------------------------------------
 LISTINGS = "ls AS (SELECT t.tick, doc_id AS path, n_chars + CASE WHEN doc_id % 4 = 0 THEN least(t.tick, 2) ELSE 0 END AS size, doc_id AS mtime FROM documents, (SELECT unnest(range(0, 5)) AS tick) t WHERE NOT (doc_id % 9 = 0 AND t.tick > 3) AND doc_id % 3 <= t.tick)"
 

@@ -21,11 +21,12 @@ def path_parts(path: Column) -> dict[str, Column]:
     return {"dir": F.regexp_extract(path, r"^(.*)/[^/]*$", 1), "name": name, "stem": F.regexp_replace(name, r"\.[^.]+$", ""), "ext": ext}
 
 
-def scan_images(spark: SparkSession, root: str, recursive: bool = True, content: bool = False) -> DataFrame:
-    """Image files under root without RAW files that have another format beside them; bytes only if asked for."""
+def scan_images(spark: SparkSession, root: str, recursive: bool = True, content: bool = False, paired: bool = False) -> DataFrame:
+    """Image files under root without RAW files that have another format beside them (unless paired); bytes only if asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     cols = ["path", "modificationTime", "length", *(["content"] if content else [])]
-    return without_paired_raw(files.select(*cols).withColumns(path_parts(F.col("path"))).where(F.col("ext").isin(*EXTENSIONS)))
+    images = files.select(*cols).withColumns(path_parts(F.col("path"))).where(F.col("ext").isin(*EXTENSIONS))
+    return images if paired else without_paired_raw(images)
 
 
 def repaired(content: Column, lead: int = 8) -> Column:
@@ -37,16 +38,22 @@ def repaired(content: Column, lead: int = 8) -> Column:
 
 
 def decoded(files: DataFrame, decode: Callable[[bytes], dict], schema: str, keep: tuple[str, ...] = ("path",)) -> DataFrame:
-    """keep columns and what decode(content) gives for each file; files it fails on are left out."""
+    """keep columns, what decode(content) gives, and error: null, or why the decoder failed (its columns are null then).
+
+    schema names the decoder's columns. Callers take rows without error, and count or report the others.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for rec in b.to_dict("records"):
+                own = {k: rec[k] for k in keep}
                 try:
-                    rows.append({k: rec[k] for k in keep} | decode(bytes(rec["content"])))
-                except Exception:  # noqa: BLE001  any decoder error means: not decodable
-                    continue
-            yield pd.DataFrame(rows) if rows else pd.DataFrame()
+                    rows.append(own | decode(bytes(rec["content"])) | {"error": None})
+                except Exception as e:  # noqa: BLE001  any decoder error means: not decodable
+                    rows.append(own | dict.fromkeys(names) | {"error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(rows, columns=[*keep, *names, "error"]).astype(object)
 
-    return files.select(*keep, "content").mapInPandas(run, schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema.fields)
+    return files.select(*keep, "content").mapInPandas(run, f"{kinds}, {schema}, error string")

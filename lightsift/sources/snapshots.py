@@ -18,6 +18,11 @@ def _fs(spark: SparkSession, root: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, of = _fs(spark, path)
+    return bool(fs.exists(of(path)))
+
+
 def signature(spark: SparkSession, path: str) -> str:
     """Digest of names, sizes and times of the files under a path."""
     fs, of = _fs(spark, path)

@@ -1,21 +1,60 @@
-"""Watched folder: files count once they stay unchanged for some listings; each batch derives the run anew."""
+"""Watched folder: files count once they stay unchanged for some listings; each batch derives the run anew.
+
+What is known of each path lives in a table, one immutable generation per step, so the rule holds across
+micro-batches, restarts and repeated batches.
+"""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lightsift.sources import snapshots
+from lightsift.sources.images import scan_images
+
 STABLE_TICKS = 2
+#: path, its last signature, the listing since which that holds, the last listing with it, and
+#: pending (still arriving), ready (waits for the next batch), known (part of the run) or unusable (can't be decoded).
+STATE = "path string, size long, mtime long, since long, tick long, status string"
 
 
-def manifest(listings: DataFrame, stable_ticks: int = STABLE_TICKS) -> DataFrame:
-    """State of every path after all listings (tick, path, size, mtime): its signature, unchanged listings, ready, gone.
+def listing(spark: SparkSession, root: str, tick: int) -> DataFrame:
+    """tick, path, size and mtime (microseconds) of the image files under root now."""
+    files = scan_images(spark, root, paired=True)
+    return files.select(F.lit(tick).cast("long").alias("tick"), "path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
 
-    A changed signature starts the count anew, also for files that were ready (a plain file stream would
-    miss those); a path that the last listing lacks is gone.
+
+def step(state: DataFrame, listings: DataFrame, usable: Callable[[DataFrame], DataFrame] | None = None, stable_ticks: int = STABLE_TICKS) -> DataFrame:
+    """The state after some more listings (tick, path, size, mtime; ticks count on by one and none is empty).
+
+    A new signature starts the count anew, also for known, ready and unusable files (a plain file stream would
+    miss those); a path that the last listing lacks is forgotten. A pending file unchanged for stable_ticks
+    listings is ready, or unusable if `usable`, which gets those files and returns the decodable paths, leaves it out.
     """
+    kept = state.select("path", "size", "mtime", "tick", F.col("since").alias("_since"), "status")
+    seen = listings.select(F.col("path").cast(state.schema["path"].dataType), "size", "mtime", "tick", F.lit(None).cast("long").alias("_since"), F.lit(None).cast("string").alias("status"))
+    by = Window.partitionBy("path").orderBy("tick")
+    same = (F.lag("size").over(by) == F.col("size")) & (F.lag("mtime").over(by) == F.col("mtime")) & (F.lag("tick").over(by) == F.col("tick") - 1)
+    rows = kept.unionByName(seen).withColumn("_fresh", F.when(F.col("status").isNull() & ~F.coalesce(same, F.lit(False)), F.col("tick")).otherwise(F.col("_since")))
+    rows = rows.withColumn("since", F.last("_fresh", ignorenulls=True).over(by))
+    last = rows.groupBy("path").agg(F.max_by(F.struct("size", "mtime", "since", "tick"), "tick").alias("s"), F.max(F.when(F.col("status").isNotNull(), F.struct("status", F.col("_since").alias("was_since")))).alias("was")).select("path", "s.*", "was.*")
+    end = listings.agg(F.max("tick").alias("_end"))  # one row
+    now = last.crossJoin(F.broadcast(end)).where(F.col("tick") == F.col("_end"))
+    status = F.when(F.col("since") == F.col("was_since"), F.col("status")).otherwise("pending")
+    now = now.select("path", "size", "mtime", "since", "tick", F.coalesce(status, F.lit("pending")).alias("status"))
+    settled = (F.col("status") == "pending") & (F.col("tick") - F.col("since") >= stable_ticks)
+    if usable is None:
+        return now.withColumn("status", F.when(settled, "ready").otherwise(F.col("status")))
+    good = usable(now.where(settled)).select("path", F.lit(True).alias("_good"))
+    return now.join(good, "path", "left").withColumn("status", F.when(settled, F.when(F.col("_good"), "ready").otherwise("unusable")).otherwise(F.col("status"))).drop("_good")
+
+
+def manifest(listings: DataFrame, stable_ticks: int = STABLE_TICKS) -> DataFrame:
+    """State of every path after all listings (tick, path, size, mtime): its signature, unchanged listings, ready, gone."""
     by = Window.partitionBy("path").orderBy("tick")
     new = F.coalesce((F.lag("size").over(by) != F.col("size")) | (F.lag("mtime").over(by) != F.col("mtime")) | (F.lag("tick").over(by) != F.col("tick") - 1), F.lit(True))
     since = listings.withColumn("_since", F.max(F.when(new, F.col("tick"))).over(by))
@@ -25,18 +64,109 @@ def manifest(listings: DataFrame, stable_ticks: int = STABLE_TICKS) -> DataFrame
     return out.select("path", "size", "mtime", (F.col("tick") - F.col("_since")).cast("long").alias("unchanged"), ((F.col("tick") - F.col("_since") >= stable_ticks) & (F.col("tick") == F.col("_end"))).alias("ready"), (F.col("tick") < F.col("_end")).alias("gone"))
 
 
-def watch(listings: DataFrame, known: Callable[[], DataFrame], ingest: Callable[[DataFrame], None], checkpoint: str, stable_ticks: int = STABLE_TICKS):
-    """Run ingest(known and newly ready files) for each micro-batch of listings; a failed batch is given again.
+@dataclass
+class Watcher:
+    """Decides when and what to ingest; `ingest(files)` gets known and ready files and returns False to decline.
 
-    ingest must replace the run's outputs as a whole (see snapshots.publish), so repeats do no harm.
+    root holds the generations of the state. ingest must replace the run's outputs as a whole (see
+    snapshots.publish): a batch that failed or was declined stays ready, and is given again with later arrivals.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        ready = manifest(df, stable_ticks).where("ready")
-        if not ready.isEmpty():
-            ingest(known().select("path", "size", "mtime").unionByName(ready.select("path", "size", "mtime")).distinct())
-
-    return listings.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    spark: SparkSession
+    root: str
+    ingest: Callable[[DataFrame], bool]
+    usable: Callable[[DataFrame], DataFrame] | None = None
+    stable_ticks: int = STABLE_TICKS
+    cooldown: float = 20.0
+    scan_every: float = 5.0
+    scan_idle: float = 30.0
+    idle_after: float = 600.0
+    stop_after: float = 6 * 3600.0
+    clock: Callable[[], float] = time.time
+    progress: Callable[[dict], None] | None = None
+    cancelled: Callable[[], bool] = lambda: False
+    last_attempt: float = float("-inf")
+    last_ingest: float = 0.0
+    last_error: str = ""
+    last_new: float = field(default=0.0)
+    n_ingested: int = 0
+
+    def __post_init__(self) -> None:
+        self.last_new = self.clock()
+
+    def state(self) -> DataFrame:
+        if not snapshots.current(self.spark, self.root):
+            return self.spark.createDataFrame([], STATE)
+        return snapshots.read(self.spark, self.root, "state")
+
+    def last_tick(self) -> int:
+        return self.state().agg(F.coalesce(F.max("tick"), F.lit(-1))).first()[0]
+
+    def publish(self, state: DataFrame) -> None:
+        snapshots.publish(self.spark, self.root, {"state": state})
+
+    def scan(self, listings: DataFrame) -> None:
+        """Take listings into the state; those it has already seen (a batch given again) are left out."""
+        before = self.state()
+        new = listings.where(F.col("tick") > self.last_tick())
+        if new.isEmpty():
+            return
+        self.publish(step(before, new, self.usable, self.stable_ticks))
+        after = self.state()
+        moved = after.join(before.select("path", "since", "status"), ["path", "since", "status"], "left_anti")
+        if not moved.where("status IN ('pending', 'ready')").isEmpty():
+            self.last_new = self.clock()
+
+    def maybe_ingest(self) -> bool:
+        """Run a batch if any file is ready and the last attempt is `cooldown` seconds ago."""
+        state, now = self.state(), self.clock()
+        n = state.where("status = 'ready'").count()
+        if not n or now - self.last_attempt < self.cooldown or self.cancelled():
+            return False
+        self.last_attempt = now
+        try:
+            if self.ingest(state.where("status IN ('known', 'ready')").select("path", "size", "mtime")) is False:
+                return False
+        except Exception as e:  # noqa: BLE001  the watch goes on; the error is reported and the files stay ready
+            self.last_error = f"{type(e).__name__}: {e}"
+            return False
+        self.publish(state.withColumn("status", F.when(F.col("status") == "ready", "known").otherwise(F.col("status"))))
+        self.last_error, self.last_ingest, self.n_ingested = "", now, self.n_ingested + n
+        return True
+
+    def tick(self, listings: DataFrame) -> None:
+        self.scan(listings)
+        self.maybe_ingest()
+        if self.progress is not None:
+            self.progress(self.status())
+
+    def status(self) -> dict:
+        by = {r["status"]: r["n"] for r in self.state().groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
+        return {f"n_{s}": by.get(s, 0) for s in ("pending", "ready", "known", "unusable")} | {"n_ingested": self.n_ingested, "last_ingest": self.last_ingest, "last_error": self.last_error, "idle_seconds": self.clock() - self.last_new, "scan_interval": self.interval()}
+
+    def interval(self) -> float:
+        """Seconds to the next listing: longer after a quiet while; a file at first sight ends that."""
+        return self.scan_idle if self.clock() - self.last_new > self.idle_after else self.scan_every
+
+    def watch_folder(self, folder: str, wait: Callable[[float], None] = time.sleep) -> str:
+        """List the folder again and again until cancelled or nothing new came for `stop_after` seconds; says why it ended."""
+        while not self.cancelled():
+            try:
+                now = listing(self.spark, folder, self.last_tick() + 1)
+                if now.isEmpty() and not self.state().isEmpty():
+                    self.publish(self.spark.createDataFrame([], STATE))  # the folder was emptied
+                self.tick(now)
+            except Exception as e:  # noqa: BLE001  one bad pass must not end the watch
+                self.last_error = f"{type(e).__name__}: {e}"
+            if self.clock() - self.last_new > self.stop_after:
+                self.last_error = "stopped: no new photos for a long time"
+                return self.last_error
+            wait(self.interval())
+        return "cancelled"
+
+    def watch_stream(self, listings: DataFrame, checkpoint: str):
+        """The same over a stream of listings, one step per micro-batch; a batch given again does no harm."""
+        return listings.writeStream.foreachBatch(lambda df, _: self.tick(df)).option("checkpointLocation", checkpoint)
 
 
 def session_bursts(events: DataFrame, gap: str = "2500 milliseconds", late: str = "1 hour") -> DataFrame:
@@ -45,7 +175,3 @@ def session_bursts(events: DataFrame, gap: str = "2500 milliseconds", late: str
     if timed.isStreaming:
         timed = timed.withWatermark("t", late)
     return timed.groupBy("camera_id", F.session_window("t", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_frames")).select("camera_id", F.col("w.start").alias("first_at"), "n_frames")
-
-
-def stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
