@@ -2,70 +2,28 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
 from .common import ids_of, long_array, slices, text_buffer, text_rows
+from .licenses import TEMPLATES
 
-# Notices of common licenses.
-TEMPLATES: dict[str, list[str]] = {
-    "AGPL-3.0": [
-        "This work is licensed under the GNU Affero General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
-    ],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "CC0-1.0": [
-        "Licensed under CC0 1.0 Universal",
-        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
-        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
-    ],
-    "EPL-1.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"],
-    "EPL-2.0": [
-        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
-        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution",
-    ],
-    "GPL-2.0": [
-        "This work is licensed under the GNU General Public License, version 2",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "LGPL-2.1": [
-        "This work is licensed under the GNU Lesser General Public License, version 2.1",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
-    ],
-    "LGPL-3.0": [
-        "This work is licensed under the GNU Lesser General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "MIT": [
-        "Released under the MIT License",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-    ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
-}
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Bands of rows: a window that holds a template to CONTAINMENT has Jaccard similarity 0.47 or more with it,
 #: so it shares a band with probability 1 - (1 - 0.47**ROWS)**BANDS > 0.9995.
 BANDS, ROWS = 32, 2
 MOST = np.uint32(0xFFFFFFFF)
+#: Templates go to every task, so a table of them may hold so many bytes of text at most.
+TEMPLATE_BYTES = 8 << 20
+#: A license named by its identifier has too few words for a shingle: it is read as it stands.
+TAG = re.compile(rb"spdx-license-identifier:[ \t]*([a-z0-9][a-z0-9.+-]*)")
 _rng = np.random.default_rng(77)
 _SCALE = _rng.integers(1 << 16, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFT = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -161,25 +119,47 @@ def minhash(h: np.ndarray, f: int, short: bool = False) -> np.ndarray:
 
 
 def best(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
-    """(license, start, end, containment) of one text without those that overlap a better one of another license."""
+    """(license, start, end, containment) of one text without those that overlap a better, or as good but longer, one of another license."""
     out: list[tuple[str, int, int, float]] = []
-    for name, lo, hi, share in sorted(found, key=lambda x: -x[3]):
-        if not any(n != name and s > share and lo < b and a < hi for n, a, b, s in out):
+    for name, lo, hi, share in sorted(found, key=lambda x: (-x[3], x[1] - x[2])):
+        if not any(n != name and (s, b - a) > (share, hi - lo) and lo < b and a < hi for n, a, b, s in out):
             out.append((name, lo, hi, share))
     return out
 
 
+def tags(texts: pa.Array) -> dict[int, list[dict]]:
+    """SPDX tags of each text that has any, with the words they stand at."""
+    out: dict[int, list[dict]] = {}
+    held = pc.fill_null(pc.match_substring(texts, "spdx-license-identifier:", ignore_case=True), False)
+    for d in np.flatnonzero(held.to_numpy(zero_copy_only=False)).tolist():
+        raw = texts[d].as_py().encode()
+        starts, ends, _ = H.word_spans(buf := H.LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(buf)]), H.ALNUM)
+        for m in TAG.finditer(buf.tobytes()):
+            name = raw[m.start(1) : m.end(1)].decode()
+            out.setdefault(d, []).append({"license": NAMES.get(name.lower(), name), "start": int(np.searchsorted(starts, m.start())), "end": int(np.searchsorted(starts, m.end())), "containment": 1.0})
+    return out
+
+
+NAMES = {n.lower(): n for n in TEMPLATES}
 MATCH = "array<struct<license:string,start:long,end:long,containment:double>>"
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | DataFrame | None = None) -> DataFrame:
     """id, n_words and matches (license, word interval [start, end), containment) of each whole text.
 
     A-Z is lower-cased; words are runs of digits, letters a-z and anything beyond ASCII. A match is a
     window that holds at least 0.8 of a template's distinct five-word shingles; matches of one license
-    that overlap are one, and where licenses overlap the one of the highest containment stays. Null texts and texts of under five words have none. Templates (a dozen
-    kilobytes) go to the executors; documents are not shuffled.
+    that overlap are one, and where licenses overlap the one of the highest containment stays. An SPDX tag is a
+    match of containment 1 whatever else is there. Null texts and texts of under five words have no other matches.
+    Templates, a table (license, text) of at most TEMPLATE_BYTES or the given ones, go to the executors; documents
+    are not shuffled. Templates of fewer than five words can't be told and are an error. One row per input row.
     """
+    if isinstance(templates, DataFrame):
+        size = templates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if size > TEMPLATE_BYTES:
+            raise ValueError(f"templates of {size} bytes are too many to send to every task")
+        by = templates.where("license IS NOT NULL AND text IS NOT NULL").groupBy("license").agg(F.array_sort(F.collect_set("text")).alias("texts"))
+        templates = {r["license"]: r["texts"] for r in by.collect()}  # at most TEMPLATE_BYTES
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates))
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
 
@@ -189,8 +169,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             every: list[list[tuple[str, int, int, float]]] = [[] for _ in range(b.num_rows)]
             for d, k, lo, hi, share in scanner.value.find(hashes, first) if len(hashes) else ():
                 every[d].append((scanner.value.names[k], lo, hi + SHINGLE - 1, share))
+            told = tags(b.column(1))
             out = []
-            for windows in every:
+            for d, windows in enumerate(every):
                 found: dict[str, list] = {}
                 for name, lo, hi, share in best(windows):
                     found.setdefault(name, []).append((lo, hi, share))
@@ -203,7 +184,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                             merged[-1]["containment"] = max(merged[-1]["containment"], share)
                         else:
                             merged.append({"license": name, "start": lo, "end": hi, "containment": share})
-                out.append(merged)
+                out.append(merged + told.get(d, []))
             yield pa.RecordBatch.from_arrays([long_array(ids_of(b.column(0))), b.column(2), pa.array(n_words), pa.array(out, kind)], names=["id", "key", "n_words", "matches"])
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, f"id long, key long, n_words long, matches {MATCH}").drop("key")

@@ -21,6 +21,7 @@ from lightsift.llm.decontaminate import clean, decontaminate
 from lightsift.llm.exact_dedup import exact_dedup
 from lightsift.llm.html_text import extract_text, main_text
 from lightsift.llm.license_scan import scan_licenses
+from lightsift.llm.licenses import TEMPLATES
 from lightsift.llm.mixing import mix_documents, mix_sources
 from lightsift.llm.simhash_dedup import anchors, links, simhash_dedup
 from lightsift.llm.substring_dedup import substring_dedup
@@ -399,6 +400,49 @@ def test_license_rivals(spark):
     assert got == {i: [n] for i, (n, _) in enumerate(cases)}
 
 
+def test_license_texts_and_tags(spark):
+    cases = [(n, t) for n, texts in TEMPLATES.items() for t in texts if len(re.findall(r"\w+", t)) >= 8]
+    cases += [("MIT", "// SPDX-License-Identifier: MIT\n"), ("Apache-2.0", "# spdx-license-identifier: apache-2.0 "), ("Own-1.0", "SPDX-License-Identifier: Own-1.0")]
+    rows = [(i, prose(20) + "\n" + (t if "dentifier" in t else t.replace(" ", "\n", 3)) + "\n" + prose(20)) for i, (_, t) in enumerate(cases)]
+    got = {r.id: {m.license for m in r.matches} for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: {n} for i, (n, _) in enumerate(cases)}
+
+
+def test_licenses_like_brute_force(spark):
+    """Given templates as a table, with words left out and changed; rows that repeat, null ids and texts, clashing columns."""
+    r = random.Random(21)
+    own = lambda n: " ".join(f"v{r.randrange(500)}" for _ in range(n))
+    templates = {f"L{k}": own(n) for k, n in enumerate((5, 9, 14, 30, 75))}
+    rows = []
+    for i in range(120):
+        words = templates[f"L{i % 5}"].split()
+        for _ in range(r.randrange(3)):
+            words[r.randrange(len(words))] = "other"
+        rows.append((i, own(r.randrange(60)) + " " + " ".join(words) + " " + own(r.randrange(60))))
+    rows += [rows[3], rows[3], (None, rows[9][1]), (None, None), (500, ""), (501, "v1 v2"), (502, own(20_000) + " " + templates["L4"])]
+    table = spark.createDataFrame(list(templates.items()), "license string, text string")
+    docs = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, id int, `a.b` int").repartition(3)
+    got = sorted(((big(x.id), sorted(m.license for m in x.matches)) for x in scan_licenses(docs, templates=table).collect()), key=repr)
+    assert scan_licenses(docs.limit(0), templates=table).count() == 0
+
+    def found(text, longer):
+        w = (text or "").split()
+        s = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+        out = []
+        for name, t in templates.items():
+            tw = t.split()
+            want = {tuple(tw[j : j + 5]) for j in range(len(tw) - 4)}
+            n = int(len(tw) * longer)
+            if any(len(want & set(s[j : j + n])) >= 0.8 * len(want) for j in range(max(1, len(s) - n + 1))):
+                out.append(name)
+        return out
+
+    least, most = (sorted(((big(i), found(t, f)) for i, t in rows), key=repr) for f in (1, 2))
+    assert len(got) == len(rows) and sum(len(x[1]) for x in least) > 70
+    for g, a, b in zip(got, least, most):
+        assert g[0] == a[0] and set(a[1]) <= set(g[1]) <= set(b[1])
+
+
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
