@@ -32,9 +32,11 @@ _local: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for written intermediates: the one the cluster names in spark.checkpoint.dir, else (tests) a local one."""
+    """Folder for written intermediates: the one the cluster names in spark.checkpoint.dir, else (a local master only) a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         root = _local[0]
@@ -108,12 +110,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
 def rows_where(docs: DataFrame, text_col: str, rule: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
     """The rows of docs, all columns, for whose texts the predicate is true. rule() makes it in each task; it gets bytes and offsets."""
 
+    at, plain = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = rule()
-        for b in slices(batches, text_col):
-            yield b.filter(pa.array(keep(*text_buffer(b.column(b.schema.get_field_index(text_col)))), pa.bool_()))
+        for b in slices(batches, plain[at]):
+            yield b.filter(pa.array(keep(*text_buffer(b.column(at))), pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    named = small_batches(docs).toDF(*plain)  # names with dots can't be passed on as they are
+    return named.mapInArrow(run, named.schema).toDF(*docs.columns)
 
 
 def ids_of(col: pa.Array) -> np.ndarray:

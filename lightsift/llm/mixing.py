@@ -27,11 +27,14 @@ def copies_of(u: Column) -> Column:
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """The mixture itself: the rows of docs, all columns, each as often as `mix_sources` takes it. Texts are not shuffled
-    as long as Spark finds the table of sources small enough to send to every task."""
+    """The mixture itself: the rows of docs, all columns, each as often as `mix_sources` takes it, repeated rows each for itself.
+
+    Documents without words (and null texts) have no size and are taken by their hash like any other. Texts are not
+    shuffled as long as Spark finds the table of sources small enough to send to every task.
+    """
     _, limits = mix_limits(docs, id_col, text_col, source_col, weights, share, most)
     l = limits.select(F.col("source").alias("__source__"), "times", "need", "cut")  # noqa: E741
-    joined = docs.select(F.struct(*docs.columns).alias("__row__"), hash_of(id_col).alias("__u__"), F.col(source_col).cast("string").alias("__of__")).join(l, F.col("__of__").eqNullSafe(F.col("__source__")))
+    joined = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row__"), hash_of(id_col).alias("__u__"), F.col(source_col).cast("string").alias("__of__")).join(l, F.col("__of__").eqNullSafe(F.col("__source__")))
     times = joined.select("__row__", copies_of(F.col("__u__")).alias("__n__")).where("__n__ > 0")
     return times.select("__row__", F.explode(F.sequence(F.lit(1), "__n__"))).select("__row__.*")
 

@@ -151,6 +151,9 @@ def accepted(docs: DataFrame, weights: list[tuple[int, float]], text_col: str =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """id, held_out, score and predicted of every row; without any labelled row every score is 0.5 and predicted is 1."""
+    """id, held_out, score and predicted of every row, repeated rows and null ids (never held out) included.
+
+    Null and empty texts have the bias alone as their score. Without any labelled row every score is 0.5 and predicted is 1.
+    """
     out = score(docs, learnt(docs, labels, id_col, text_col, label_col), id_col, text_col)
     return out.select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

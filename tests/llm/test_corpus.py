@@ -443,6 +443,143 @@ def test_licenses_like_brute_force(spark):
         assert g[0] == a[0] and set(a[1]) <= set(g[1]) <= set(b[1])
 
 
+CLASHING = ["id", "key", "fp", "grp", "bucket", "u", "size", "taken", "score", "y", "turn", "spans", "items", "a.b", "__row__", "pos", "names", "copies", "matches", "shas"]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Rows that repeat id and text, null ids, texts and sources, empty and long texts, and extra columns of clashing names."""
+    rows = ROWS[:12] + ROWS[40:] + [ROWS[41]] * 2 + [(None, None, None, 7)] * 3 + [(None, PASSAGE, "c", 7)] * 2 + [(300, "", None, 7)] * 2 + [(301, "word " * 9000, "a", 7)] * 2
+    kind = "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in CLASHING)
+    return spark.createDataFrame([(*r[:3], *range(len(CLASHING))) for r in rows], kind).repartition(4), rows
+
+
+def operators(spark, root):
+    import public_tokenizers
+
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(12)] * 2 + [(None, 1), (3, None)], "doc_id long, toxic int")
+
+    def tokens(d):
+        write_tokens(d, root, public_tokenizers.path("byte_bpe_50k.json"), 2)
+        return verify_tokens(spark, root)
+
+    return {
+        "exact": exact_dedup, "toxicity": lambda d: toxicity(d, labels), "substring": substring_dedup, "simhash": simhash_dedup, "tokens": tokens,
+        "mixing": mix_sources, "suffix": suffix_dedup, "decontamination": lambda d: decontaminate(d, items), "licenses": scan_licenses,
+        "html": lambda d: extract_text(d, "doc_id", "text", keep=()),
+    }
+
+
+@pytest.mark.parametrize("name", ["exact", "toxicity", "substring", "simhash", "tokens", "mixing", "suffix", "decontamination", "licenses", "html"])
+def test_awkward_tables(spark, awkward, tmp_path, name):
+    docs, rows = awkward
+    run = operators(spark, f"file://{tmp_path}/s")[name]
+    out = run(docs)
+    got = [big(r.id) for r in out.collect()]
+    assert sorted(got) == sorted(big(r[0]) for r in rows)
+    if name == "tokens":
+        run = operators(spark, f"file://{tmp_path}/e")[name]
+    assert run(docs.limit(0)).count() == 0
+    none = spark.createDataFrame([(None, None, None)] * 3, "doc_id long, text string, source string")
+    if name == "tokens":
+        run = operators(spark, f"file://{tmp_path}/n")[name]
+    assert run(none).count() == 3
+
+
+def test_awkward_simhash_and_suffix_rows(awkward):
+    """Repeats are answered like the rows they repeat; both lose what they share."""
+    docs, rows = awkward
+    label = {}
+    prints = [(big(i), plain_print(t)) for i, t, *_ in rows]
+    for i, f in prints:
+        label[i, f] = min(label.get((i, f), math.inf), i)
+    for _ in range(6):
+        for a in label:
+            label[a] = min(label[b] for b in label if (a[1] ^ b[1]).bit_count() <= 2)
+    got = sorted((big(r.id), r.fp & (1 << 64) - 1, big(r.component_id)) for r in simhash_dedup(docs).collect())
+    assert got == sorted((i, f, label[i, f]) for i, f in prints)
+    count, want = {}, []
+    texts = [(big(i), (t or "").encode()) for i, t, *_ in rows]
+    for _, b in texts:
+        for j in range(len(b) - 199):
+            count[b[j : j + 200]] = count.get(b[j : j + 200], 0) + 1
+    for i, b in texts:
+        gone = np.zeros(len(b), bool)
+        for j in range(len(b) - 199):
+            if count[b[j : j + 200]] > 1:
+                gone[j : j + 200] = True
+        want.append((i, len(b), int(gone.sum())))
+    out = suffix_dedup(docs).collect()
+    assert sorted((big(r.id), r.n_bytes, sum(s.end - s.start for s in r.spans)) for r in out) == sorted(want)
+
+
+@pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
+def test_awkward_stages(spark, awkward, tmp_path, stage):
+    docs, rows = awkward
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(12)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = dict(corpus_pipeline.STAGES)[stage]
+    out = run(spark, docs, str(tmp_path))
+    held = out.collect()
+    assert run(spark, docs.limit(0), str(tmp_path)).count() == 0
+    if stage == "token_store":
+        assert len(held) == len(rows)
+        return
+    assert out.columns == docs.columns
+    key = lambda r: (big(r[0]), r[1], r[2])
+    left = [key(r) for r in held]
+    all_ = [key(r) for r in rows]
+    if stage == "simhash_dedup":
+        groups = {}
+        for i, t, _ in set(all_):
+            groups.setdefault(plain_print(t), []).append(i)
+        assert len(left) == len(set(left)) and len(left) <= len(groups)
+    elif stage == "decontamination":
+        assert sorted(left, key=repr) == sorted((k for k in all_ if PASSAGE[:100] not in (k[1] or "")), key=repr)
+    elif stage == "mixing":
+        assert set(left) <= set(all_) and all(left.count(k) in (0, all_.count(k), 2 * all_.count(k)) for k in set(all_))
+    else:
+        assert set(left) <= set(all_) and all(left.count(k) in (0, all_.count(k)) for k in set(all_))
+
+
+def test_toxicity_like_plain_ftrl(spark):
+    """Scores against a dictionary version of the updates, feature strings instead of hashes, row by row."""
+    from lightsift.llm import toxicity as T
+
+    r = random.Random(4)
+    rows = [(i, prose(r.randrange(3, 25)) + (" vile WORDS here" if i % 4 == 0 else "")) for i in range(120)] + [(500, None), (501, "")]
+    labels = [(i, int(i % 4 == 0)) for i in range(120)]
+
+    def feats(text):
+        w = re.findall("[^\\x00-/:-`{-\\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {*w, *zip(w, w[1:]), *((a, None, b) for a, b in zip(w, w[2:]))}
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    turns = {x.id: x.h for x in docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", F.lit(1)).alias("h")).collect()}
+    z, n, texts = {}, {}, dict(rows)
+
+    def weight(f):
+        l1 = 0 if f == "bias" else T.L1
+        zf = z.get(f, 0.0)
+        return 0.0 if abs(zf) <= l1 else (math.copysign(l1, zf) - zf) / ((T.BETA + math.sqrt(n.get(f, 0.0))) / T.ALPHA + T.L2)
+
+    order = sorted((i for i, _ in labels if zlib.crc32(str(i).encode()) % 5), key=lambda i: (turns[i], i))
+    for _ in range(T.EPOCHS):
+        for i in order:
+            fs, y = [*feats(texts[i]), "bias"], dict(labels)[i]
+            w = {f: weight(f) for f in fs}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (T.TOXIC_WEIGHT if y else 1)
+            for f in fs:
+                was = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / T.ALPHA * w[f]
+                n[f] = was + g * g
+    got = {x.id: x.score for x in toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    for i, t in rows:
+        want = 1 / (1 + math.exp(-sum(map(weight, [*feats(t), "bias"]))))
+        assert abs(got[i] - want) < 1e-6, (i, got[i], want)
+
+
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
