@@ -6,12 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import ids_of, long_array, rows_where, slices, text_buffer, text_rows
+from .common import ids_of, long_array, rows_where, slices, small_batches, text_buffer, text_rows, written
 
 SPAN = "array<struct<start:long,end:long>>"
 
@@ -99,49 +98,129 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A-Z is lower-cased; words are runs of digits, letters a-z and anything beyond ASCII. Of each window
     the least of its gram hashes is kept, in documents and items alike; equal hashes are looked up and
     extended to the windows around them, so every shared window is found. An item of fewer words (but
-    not none) is one window. The index of items is sent to the executors in blocks whose item texts
-    hold at most `block_bytes` in total (a larger single item is a block); a benchmark of more than
-    one block is taken block by block, and hits are merged by document.
+    not none) is one window. The index of a benchmark of at most `block_bytes` is sent to the executors;
+    beyond that fingerprints and windows are joined (see `joined_hits`), with the same result.
 
     Returns id, n_words, spans (hit word intervals [start, end)) and items (item ids as strings,
-    sorted). Null texts have no words; a null item id is named ''; items that repeat an id are one item.
+    sorted), one row per input row. Null texts have no words; a null item id is named ''; items that repeat an id are one item.
     """
-    spark = docs.sparkSession
     rows = text_rows(docs, id_col, text_col)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     total = int(items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0)
-    blocks = -(-total // block_bytes)
-    if blocks <= 1:
+    if total <= block_bytes:
         found = in_block(rows, [(r["item"], r["text"]) for r in items.collect()], window, gram)  # at most block_bytes
         return found.drop("key")
-    parts = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(2 * blocks)))
-    out = None
-    for k in range(2 * blocks):
-        part = in_block(rows, [(r["item"], r["text"]) for r in parts.where(F.col("block") == k).collect()], window, gram)
-        out = part if out is None else out.unionByName(part)
-    merged = out.groupBy("id", "key").agg((F.count(F.lit(1)) / (2 * blocks)).cast("int").alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits, owners = joined_hits(rows, items, window, gram)
+    names = hits.select("key", "length", "h").distinct().join(owners, ["length", "h"]).select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    places = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("end")))).alias("spans"))
     step = "CASE WHEN size(a) > 0 AND s.start <= element_at(a, -1).end THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))) ELSE concat(a, array(s)) END"
-    return merged.select(F.explode(F.sequence(F.lit(1), "copies")).alias("_"), "id", "n_words", F.expr(f"aggregate(spans, cast(array() as {SPAN}), (a, s) -> {step})").alias("spans"), "items").drop("_")
+    merged = places.withColumn("spans", F.expr(f"aggregate(spans, cast(array() as {SPAN}), (a, s) -> {step})")).join(names, "key")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return counted(rows).join(merged, "key", "left").select("id", "n_words", none("spans", SPAN), none("items", "array<string>"))
+
+
+def joined_hits(rows: DataFrame, items: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(key, start, length, h) of the document windows that items have, and (length, h, item), by joins alone.
+
+    Distinct fingerprints of the items (winnowed grams, and whole items shorter than a window by their length) meet the
+    distinct ones of each document; documents that share any send the windows around those, and windows meet by hash.
+    A fingerprint of the items is one row on its side however many items have it, so a frequent one multiplies nothing;
+    the documents that hold it are split by Spark's skew join.
+    """
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            words, first = hashed_words(*text_buffer(b.column(1)))
+            n = np.diff(first)
+            for length in sorted({window, *n[(n > 0) & (n < window)].tolist()}):
+                start, doc = H.inside(first, length)
+                ok = n[doc] == length if length < window else np.ones(len(doc), bool)
+                h = H.window_hashes(words, length)[start[ok]] if len(start) else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), length, np.int32)), pa.array(h.view(np.int64)), b.column(0).take(pa.array(doc[ok]))], names=["length", "h", "item"])
+
+    def prints_of(batches: Iterator[pa.RecordBatch], lengths: list[int], which: int, key: bool) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            words, first = hashed_words(*text_buffer(b.column(which)))
+            for length in [window, *lengths]:
+                start, doc = H.inside(first, length)
+                if not len(start):
+                    continue
+                if length == window:
+                    grams = H.window_hashes(words, gram)
+                    at = winnow(grams, start, window - gram + 1)
+                    h, doc = grams[at], np.searchsorted(first, at, "right") - 1
+                else:
+                    h = H.window_hashes(words, length)[start]
+                pair = np.unique(np.rec.fromarrays([doc, h], names="d,h"))
+                cols = [pa.array(np.full(len(pair), length, np.int32)), pa.array(np.ascontiguousarray(pair.h).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*cols, b.column(2).take(pa.array(np.ascontiguousarray(pair.d)))] if key else cols, names=["length", "h", "key"] if key else ["length", "h"])
+
+    owners = written(items.mapInArrow(of_items, "length int, h long, item string").distinct(), "windows")
+    short = sorted(r["length"] for r in owners.where(F.col("length") < window).select("length").distinct().collect())  # fewer than a window's words
+    prints = items.mapInArrow(lambda b: prints_of(b, [], 1, False), "length int, h long").unionByName(owners.where(F.col("length") < window).select("length", "h")).distinct()
+    met = rows.mapInArrow(lambda b: prints_of(b, short, 1, True), "length int, h long, key long").distinct().join(prints, ["length", "h"])
+    near = written(met.groupBy("key").agg(F.collect_list(F.struct("length", "h")).alias("prints")), "prints")
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            words, first = hashed_words(*text_buffer(b.column(1)))
+            grams = H.window_hashes(words, gram)
+            for d, found in enumerate(b.column(3).to_pylist()):
+                own = first[d : d + 2]
+                for length in {p["length"] for p in found}:
+                    keys = np.unique(np.array([p["h"] for p in found if p["length"] == length], np.int64).view(np.uint64))
+                    start, _ = H.inside(own - own[0], length)
+                    start = start + own[0]
+                    if length == window:
+                        at = winnow(grams, start, window - gram + 1)
+                        at = at[sorted_in(grams[at], keys)]
+                        places = (at[:, None] - np.arange(window - gram + 1)).ravel()
+                        start = np.intersect1d(places, start)
+                    h = H.window_hashes(words, length)[start]
+                    if length < window:
+                        start, h = start[sorted_in(h, keys)], h[sorted_in(h, keys)]
+                    n = len(start)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b.column(2)[d].as_py(), np.int64)), pa.array(start - own[0]), pa.array(np.full(n, length, np.int32)), pa.array(h.view(np.int64))], names=["key", "start", "length", "h"])
+
+    distinct = rows.dropDuplicates(["key"])
+    some = distinct.join(near, "key").select("id", "text", "key", "prints").mapInArrow(around, "key long, start long, length int, h long")
+    return written(some.join(owners.select("length", "h").distinct(), ["length", "h"], "left_semi"), "hits"), owners
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """id, key and n_words of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            _, first = hashed_words(*text_buffer(b.column(1)))
+            yield pa.RecordBatch.from_arrays([long_array(ids_of(b.column(0))), b.column(2), pa.array(np.diff(first))], names=["id", "key", "n_words"])
+
+    return rows.mapInArrow(run, "id long, key long, n_words long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text", window: int = 10, gram: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of docs, all columns, without any run of words that `decontaminate` would report."""
-    items = benchmark.select(F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).distinct()
-    blocks = max(1, -(-int(items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // block_bytes))
-    parts = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks if blocks == 1 else 2 * blocks)))
-    for k in range(blocks if blocks == 1 else 2 * blocks):
-        index = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex([("", r["text"]) for r in parts.where(F.col("block") == k).collect()], window, gram))
-
-        def rule(index: Broadcast = index) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-            def keep(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-                hit = np.ones(len(off) - 1, bool)
-                hit[index.value.find(buf, off)[2]] = False
-                return hit
-
-            return keep
-
-        docs = rows_where(docs, text_col, rule)
-    return docs
+    """The rows of docs, all columns, without any run of words that `decontaminate` would report.
+
+    Repeated rows stay or go together; null and empty texts stay. A benchmark beyond block_bytes is joined, not sent.
+    """
+    items = benchmark.select(F.lit("").alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).distinct()
+    total = int(items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0)
+    if total > block_bytes:
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        rows = small_batches(docs).select(F.lit(None).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
+        hits, _ = joined_hits(rows, items, window, gram)
+        marked = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row__"), F.xxhash64(text).alias("__key__"))
+        return marked.join(hits.select(F.col("key").alias("__key__")).distinct(), "__key__", "left_anti").select("__row__.*")
+    index = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex([("", r["text"]) for r in items.collect()], window, gram))  # at most block_bytes
+
+    def rule() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        def keep(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+            hit = np.ones(len(off) - 1, bool)
+            hit[index.value.find(buf, off)[2]] = False
+            return hit
+
+        return keep
+
+    return rows_where(docs, text_col, rule)
 
 
 def in_block(rows: DataFrame, items: list[tuple[str, str]], window: int, gram: int) -> DataFrame:

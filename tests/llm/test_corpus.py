@@ -543,6 +543,19 @@ def test_awkward_stages(spark, awkward, tmp_path, stage):
         assert set(left) <= set(all_) and all(left.count(k) in (0, all_.count(k)) for k in set(all_))
 
 
+def test_benchmark_that_shares_a_preamble(spark):
+    """Many items with one window, a text that repeats it, equal results whether the index is sent or joined."""
+    pre = "in this task you are to name what comes next"
+    items = [(i, f"{pre} case{i} end{i}") for i in range(2000)] + [(3000 + i, f"short{i} item") for i in range(5)]
+    rows = [(1, f"{pre} " * 60), (2, f"x {pre} case7 end7 y"), (3, "a short2 item b"), (4, "short2 thing"), (5, None), (2, f"x {pre} case7 end7 y"), (None, "short2 item")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    sent, joined = (sorted(((big(r.id), r.n_words, [(s.start, s.end) for s in r.spans], r["items"]) for r in decontaminate(docs, bench, block_bytes=b).collect()), key=repr) for b in (8 << 20, 1000))
+    assert sent == joined and len(sent) == len(rows)
+    by = {r[0]: r for r in sent}
+    assert len(by[1][3]) == 2000 and by[1][2] == [(0, 600)] and by[3][3] == ["3002"] and by[4][3] == [] and by[2][2] == [(1, 13)]
+    assert sorted(big(r.doc_id) for r in clean(docs, bench, block_bytes=1000).collect()) == [4, 5]
+
+
 def test_toxicity_like_plain_ftrl(spark):
     """Scores against a dictionary version of the updates, feature strings instead of hashes, row by row."""
     from lightsift.llm import toxicity as T
