@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = norm.select("id", "key", F.sha2("text", 256).alias("sha"), F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(cut).alias("cut"))
     blocks = blocks.select("id", "key", "sha", F.size("cut").alias("n"), F.posexplode("cut").alias("pos", "block"))
     blocks = blocks.withColumn("sha", F.when(F.col("pos") == 0, F.col("sha"))).withColumn("copies", F.when(F.col("pos") == 0, F.lit(1).cast("long")))
-    state = whole(named(blocks, ["block"]))
+    state = whole(named(written(blocks, "cut"), ["block"]))  # range bounds are sampled from what was written: one scan of the texts
     done = []
     while True:
         open_ = F.size("names") > 1
