@@ -30,10 +30,15 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("subject_class", S.subject_of(area)).withColumn("is_hero", S.hero_of(area, most, second, back))
 
 
-def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return burst_ids(frames(spark, sf_dir), SHORT, LONG, ALIKE)
 
 
+def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with their bursts, from the published run."""
+    return run(spark, sf_dir).select("path", "camera_id", "captured_at", "score", "emb", "subject_class", "is_hero", "burst_id")
+
+
 def prototypes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "emb")
     return prototype(v.where("label = 0")), prototype(v.where("label = 1"))
@@ -49,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _published:
         wide, close = prototypes(spark, sf_dir)
         root = scratch("run", spark)
-        snapshots.publish(spark, root, {"frames": shot_tags(ranked(bursts(spark, sf_dir)), wide, close)})
+        snapshots.publish(spark, root, {"frames": shot_tags(ranked(cut(spark, sf_dir)), wide, close)})
         _published[key] = root
     return snapshots.read(spark, _published[key], "frames")
 

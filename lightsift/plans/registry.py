@@ -83,7 +83,7 @@ def r6(c: str, name: str | None = None) -> F.Column:
 # --- bursts and ranks -------------------------------------------------------------------------
 @query("burst_ids", f"WITH {FRAMES}, {BURSTS} SELECT path, camera_id, burst_id FROM bursts")
 def burst_ids(spark, d):
-    return X.bursts(spark, d).select("path", "camera_id", "burst_id")
+    return X.cut(spark, d).select("path", "camera_id", "burst_id")
 
 
 @query("burst_time_only", f"WITH {FRAMES}, {bursts_sql('')} SELECT path, camera_id, burst_id FROM bursts")
@@ -101,12 +101,12 @@ COLS = ["path", "score", "rank", "burst_id", "within_burst_rank", "is_representa
 
 @query("frames_ranked", f"WITH {FRAMES}, {BURSTS}, {RANKED} SELECT {', '.join(COLS)} FROM ranked")
 def frames_ranked(spark, d):
-    return BU.ranked(X.bursts(spark, d)).select(*COLS)
+    return X.run(spark, d).select(*COLS)
 
 
 @query("burst_reps", f"WITH {FRAMES}, {BURSTS}, {RANKED} SELECT burst_id, path, score, burst_rank FROM ranked WHERE is_representative")
 def burst_reps(spark, d):
-    return BU.ranked(X.bursts(spark, d)).where("is_representative").select("burst_id", "path", "score", "burst_rank")
+    return X.run(spark, d).where("is_representative").select("burst_id", "path", "score", "burst_rank")
 
 
 @query("bursts_table", f"{ALL} SELECT burst_rank, burst_id, burst_size, path, shot_type, subject_class, is_hero, score FROM run WHERE is_representative")
@@ -275,7 +275,7 @@ EDGES = "edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN em
 
 
 def edges(spark, d):
-    return D.alike_edges(X.table(spark, d, "embeddings"), "vec_id", "embedding", X.NEAR, block=512)
+    return D.alike_edges(X.table(spark, d, "embeddings"), "vec_id", "embedding", X.NEAR)
 
 
 @query("near_dup_edges", f"WITH {EDGES} SELECT a, b FROM edges")
