@@ -48,7 +48,7 @@ def alike_edges(vectors: DataFrame, key: str, emb: str, threshold: float = ALIKE
     """
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
     unit = written(vectors.select(F.col(key).alias("k"), normalized(F.col(emb)).alias("v")).where("v IS NOT NULL"))
-    n = unit.count()
+    n, kind = unit.count(), unit.schema["k"].dataType.simpleString()
     if axes is None:
         axes = 0 if width > 0.5 or n <= block else 2 if n < 10_000_000 else 3
     size = unit.select(F.size("v").alias("n")).first() if axes else None
@@ -67,13 +67,14 @@ def alike_edges(vectors: DataFrame, key: str, emb: str, threshold: float = ALIKE
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["home"]], pdf[~pdf["home"]]
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "cos": []}).astype({"a": "int64", "b": "int64", "cos": "float64"})
+            none = pdf["k"].head(0)
+            return pd.DataFrame({"a": none, "b": none, "cos": np.zeros(0)})
         sims = np.stack(a["v"].to_list()) @ np.stack(b["v"].to_list()).T
         ka, kb = a["k"].to_numpy(), b["k"].to_numpy()
         x, y = np.nonzero((sims >= threshold) & (ka[:, None] < kb[None, :]))
         return pd.DataFrame({"a": ka[x], "b": kb[y], "cos": sims[x, y]})
 
-    return own.unionByName(others).groupBy("cell", "i", "j").applyInPandas(pairs, "a long, b long, cos double")
+    return own.unionByName(others).groupBy("cell", "i", "j").applyInPandas(pairs, f"a {kind}, b {kind}, cos double")
 
 
 def greedy(keys: DataFrame, key: str, edges: DataFrame) -> DataFrame:
