@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _local: list[str] = []
+_made: list[str] = []
 
 
 def scratch(tag: str, spark: SparkSession) -> str:
@@ -23,7 +24,17 @@ def scratch(tag: str, spark: SparkSession) -> str:
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         root = _local[0]
-    return f"{root.rstrip('/')}/lightsift-{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/lightsift-{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all tables that this process has written to the scratch folder; no DataFrame that reads them works afterwards."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def written(df: DataFrame) -> DataFrame:
