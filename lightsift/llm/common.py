@@ -11,8 +11,6 @@ Conventions that every operator follows unless its docstring says otherwise
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,29 +20,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lightsift.session import scratch
+
 #: Ordering value of a null id inside packed postings.
 NULL_ID = np.iinfo(np.int64).max
 #: Text bytes that a task turns into NumPy arrays at a time (a longer single document goes alone).
 SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and Python: 10,000 long texts (Spark's default bound of rows) are too many at once.
 BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
-_local: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for written intermediates: the one the cluster names in spark.checkpoint.dir, else (a local master only) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _local:
-            _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-        root = _local[0]
-    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/lightsift-{tag}-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster names in spark.checkpoint.dir (a local one for a local master without it)."""
+    return scratch(tag, spark)
 
 
 def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
