@@ -10,6 +10,9 @@ WIDE_BELOW, CLOSE_FROM = -0.038, 0.0
 PEOPLE_AREA, HERO_AREA, HERO_SECOND, HERO_BACKGROUND = 0.04, 0.06, 0.02, 0.05
 W_SHARP, W_EXPOSURE, W_EYES, W_COMPOSITION = 0.4, 0.4, 0.5, 0.2
 REJECTED_SCORE = -1e9
+# Rules of the hard reject, and the ranges that the technical components are scaled from.
+CLOSED_FACE, CLOSED_EAR, BLUR_FACE, BLUR_SHARPNESS, CLIPPED_SHARE = 0.05, 0.12, 0.005, 4.0, 0.40
+EXPOSURE_RANGE, EAR_RANGE, EYE_FACE_RANGE, FACE_RANGE, SHARP_SHARES = (0.0, 0.30), (0.10, 0.22), (0.005, 0.05), (0.0, 0.20), [0.05, 0.95]
 
 
 def unit(x: Column, lo: Column | float, hi: Column | float) -> Column:
@@ -32,13 +35,13 @@ def hero_of(area: Column, prominent: Column, second: Column, background: Column,
 
 def reject_reason(face_frac: Column, ear: Column, face: Column, sharpness: Column, clipped: Column) -> Column:
     """First rule that holds, '' for none."""
-    return F.when((face_frac > 0.05) & (ear < 0.12), "eyes_closed").when(face & (face_frac > 0.005) & (sharpness < 4.0), "severe_blur").when(face & (clipped > 0.40), "exposure_clipped").otherwise("")
+    return F.when((face_frac > CLOSED_FACE) & (ear < CLOSED_EAR), "eyes_closed").when(face & (face_frac > BLUR_FACE) & (sharpness < BLUR_SHARPNESS), "severe_blur").when(face & (clipped > CLIPPED_SHARE), "exposure_clipped").otherwise("")
 
 
 def camera_of(serial: Column, make: Column, model: Column, lens: Column, filename: Column) -> Column:
     """Body serial, else make, model and lens, else make and model, else the file itself."""
     s, mk, md, ln = (F.nullif(F.trim(c), F.lit("")) for c in (serial, make, model, lens))
-    return F.coalesce(F.concat(F.lit("body:"), s), F.concat(F.lit("rig:"), mk, F.lit("|"), md, F.lit("|"), ln), F.concat(F.lit("model:"), mk, F.lit("|"), md), F.concat(F.lit("unknown:"), filename))
+    return F.coalesce(F.concat(F.lit("body:"), s), F.concat(F.lit("rig:"), mk, F.lit("/"), md, F.lit("/"), ln), F.concat(F.lit("model:"), mk, F.lit("/"), md), F.concat(F.lit("unknown:"), filename))
 
 
 def capture_time(text: Column, subseconds: Column) -> Column:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lightsift.functions.face import quality_vector
 from lightsift.session import written
 
 from .ordering import row_numbers, running
@@ -86,9 +87,16 @@ def training_pairs(frames: DataFrame, label: str, n: int = 4096, within: float =
     return out
 
 
-def feature_vector(parts: list, quality) -> F.Column:
-    """Concatenated embeddings and the quality vector, as doubles."""
-    return F.concat(*[p.cast("array<double>") for p in parts], quality)
+#: Groups of a frame's features in the order they are put together, and which of them are used.
+GROUPS = {"emb_full": True, "emb_face": True, "emb_body": False, "va": False, "quality": True}
+
+
+def feature_vector(groups: dict[str, bool] | None = None) -> F.Column:
+    """The used groups of features of a frame back to back, as doubles; quality is a map of measurements."""
+    used = [g for g in GROUPS if (GROUPS | (groups or {}))[g]]
+    if not used:
+        raise ValueError("no group of features is used")
+    return F.concat(*[quality_vector(F.col(g)) if g == "quality" else F.col(g).cast("array<double>") for g in used])
 
 
 def fit_ranker(pairs: DataFrame, dim: int, rounds: int = 30, rate: float = 1.0, decay: float = 1e-4) -> np.ndarray:

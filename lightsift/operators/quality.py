@@ -35,13 +35,13 @@ def box_summary(images: DataFrame, boxes: str = "areas", floor: float = 0.02) ->
 def tech_scores(frames: DataFrame) -> DataFrame:
     """Component scores and the technical score; the sharpness range is the run's 5 to 95 percent quantiles."""
     log_sharp = F.log1p(F.greatest(F.col("sharpness"), F.lit(0.0)))
-    q = quantiles(frames, log_sharp, [0.05, 0.95]).select(F.coalesce(F.get("q", 0), F.lit(0.0)).alias("lo"), F.coalesce(F.get("q", 1), F.lit(1.0)).alias("hi"))
+    q = quantiles(frames, log_sharp, S.SHARP_SHARES).select(F.coalesce(F.get("q", 0), F.lit(0.0)).alias("lo"), F.coalesce(F.get("q", 1), F.lit(1.0)).alias("hi"))
     ff = F.col("face_frac")
     out = frames.crossJoin(F.broadcast(q)).withColumns({
         "tech_sharpness_norm": S.unit(log_sharp, F.col("lo"), F.col("hi")),
-        "tech_exposure_penalty": S.unit(F.col("clipped"), 0.0, 0.30),
-        "tech_eye_open_penalty": (1 - S.unit(F.col("ear"), 0.10, 0.22)) * S.unit(ff, 0.005, 0.05),
-        "tech_composition_bonus": 0.5 * S.unit(ff, 0.0, 0.20) + 0.5 * F.col("centeredness"),
+        "tech_exposure_penalty": S.unit(F.col("clipped"), *S.EXPOSURE_RANGE),
+        "tech_eye_open_penalty": (1 - S.unit(F.col("ear"), *S.EAR_RANGE)) * S.unit(ff, *S.EYE_FACE_RANGE),
+        "tech_composition_bonus": 0.5 * S.unit(ff, *S.FACE_RANGE) + 0.5 * F.col("centeredness"),
     })
     score = S.W_SHARP * F.col("tech_sharpness_norm") - S.W_EXPOSURE * F.col("tech_exposure_penalty") - S.W_EYES * F.col("tech_eye_open_penalty") + S.W_COMPOSITION * F.col("tech_composition_bonus")
     return out.withColumn("tech_score", score).drop("lo", "hi")

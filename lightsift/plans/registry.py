@@ -308,7 +308,7 @@ def raw_jpeg_pairs(spark, d):
 
 # --- metadata ---------------------------------------------------------------------------------
 @query("camera_identity", """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN ' S' || c_custkey || ' ' END AS serial, CASE WHEN c_custkey % 7 <> 0 THEN n_name END AS make, CASE WHEN c_custkey % 5 <> 0 THEN 'M' || c_custkey % 10 ELSE '  ' END AS model, CASE WHEN c_custkey % 2 = 0 THEN 'L1' END AS lens, 'f' || c_custkey AS filename FROM customer JOIN nation ON c_nationkey = n_nationkey)
-    SELECT c_custkey, CASE WHEN nullif(trim(serial), '') IS NOT NULL THEN 'body:' || trim(serial) WHEN make IS NOT NULL AND nullif(trim(model), '') IS NOT NULL AND lens IS NOT NULL THEN 'rig:' || trim(make) || '|' || trim(model) || '|' || lens WHEN make IS NOT NULL AND nullif(trim(model), '') IS NOT NULL THEN 'model:' || trim(make) || '|' || trim(model) ELSE 'unknown:' || filename END AS camera FROM c""")
+    SELECT c_custkey, CASE WHEN nullif(trim(serial), '') IS NOT NULL THEN 'body:' || trim(serial) WHEN make IS NOT NULL AND nullif(trim(model), '') IS NOT NULL AND lens IS NOT NULL THEN 'rig:' || trim(make) || '/' || trim(model) || '/' || lens WHEN make IS NOT NULL AND nullif(trim(model), '') IS NOT NULL THEN 'model:' || trim(make) || '/' || trim(model) ELSE 'unknown:' || filename END AS camera FROM c""")
 def camera_identity(spark, d):
     c = X.table(spark, d, "customer").join(X.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
