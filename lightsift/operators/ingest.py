@@ -14,6 +14,7 @@ from lightsift.sources import snapshots
 from . import bursts as BU
 from . import dedup as D
 from . import quality as Q
+from .browse import thresholds
 
 #: What a frame needs: its file, content, vector, ranker's score, face numbers, person boxes and capture data.
 FRAME = "path, sha1, emb, score_s1, face_detected, face_frac, ear, sharpness, clipped, centeredness, areas, bg_bright, camera_id, captured_at, modified_at"
@@ -55,6 +56,6 @@ def ingest(spark: SparkSession, root: str, frames: DataFrame, progress: Callable
     progress(5, "Deriving the run")
     run = written(derived(frames, prior=prior, **options))
     progress(90, "Writing outputs")
-    version = snapshots.publish(spark, root, {"frames": run, "bursts": bursts_table(run), "index": run.select("path", "emb")})
+    version = snapshots.publish(spark, root, {"frames": run, "bursts": bursts_table(run), "index": run.select("path", "emb"), "thresholds": thresholds(run)})
     progress(100, f"Done: version {version}")
     return version

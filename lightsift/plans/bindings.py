@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lightsift.operators.browse import thresholds
 from lightsift.operators.bursts import burst_ids, ranked
 from lightsift.operators.quality import prototype, shot_tags
 from lightsift.functions import scalars as S
-from lightsift.session import scratch
+from lightsift.session import scratch, written
 from lightsift.sources import snapshots
 
 SHORT, LONG, ALIKE, NEAR = 1800.0, 14400.0, 0.15, 0.35
@@ -48,15 +49,25 @@ def prototypes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _published: dict[tuple[str, str, str], str] = {}
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The run's main table: ranked frames with bursts and tags, published once and read by every page and search."""
+def published(spark: SparkSession, sf_dir: str) -> str:
     key = spark.sparkContext.applicationId, sf_dir, ",".join(snapshots.signature(spark, f"{sf_dir}/{t}.parquet") for t in ("events", "embeddings"))
     if key not in _published:
         wide, close = prototypes(spark, sf_dir)
         root = scratch("run", spark)
-        snapshots.publish(spark, root, {"frames": shot_tags(ranked(cut(spark, sf_dir)), wide, close)})
+        frames = written(shot_tags(ranked(cut(spark, sf_dir)), wide, close))
+        snapshots.publish(spark, root, {"frames": frames, "thresholds": thresholds(frames)})
         _published[key] = root
-    return snapshots.read(spark, _published[key], "frames")
+    return _published[key]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's main table: ranked frames with bursts and tags, published once and read by every page and search."""
+    return snapshots.read(spark, published(spark, sf_dir), "frames")
+
+
+def known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's quality thresholds by percentage."""
+    return snapshots.read(spark, published(spark, sf_dir), "thresholds")
 
 
 def picks(spark: SparkSession, sf_dir: str) -> DataFrame:

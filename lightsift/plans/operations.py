@@ -95,7 +95,7 @@ def download_total(spark, d):
 def burst_detail_time(spark, d):
     run = X.run(spark, d)
     pos = F.row_number().over(Window.partitionBy("burst_id").orderBy(*B.detail_order(run, "time"))).cast("long")
-    return B.burst_detail(run, 20, sort="time").select("burst_id", "path", pos.alias("pos"))
+    return B.burst_detail(run, 20, sort="time", known=X.known(spark, d)).select("burst_id", "path", pos.alias("pos"))
 
 
 @query("starred_by_time", f"{ALL} SELECT r.path, burst_rank, n_picks, mine FROM run r JOIN flags f ON r.path = f.path WHERE mine ORDER BY captured_at NULLS LAST, r.path LIMIT 300")

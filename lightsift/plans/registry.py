@@ -130,7 +130,7 @@ def page_sql(sort: str, unfurl: bool) -> str:
 
 def page(sort: str, unfurl: bool) -> Query:
     q = B.BrowseQuery(shot="wide,close", subject="people", top_pct=TOP, sort=sort, unfurl=unfurl, viewer=ME, limit=PAGE)
-    return lambda spark, d: q.page(X.run(spark, d), X.picks(spark, d)).select(*PAGE_COLS)
+    return lambda spark, d: q.page(X.run(spark, d), X.picks(spark, d), X.known(spark, d)).select(*PAGE_COLS)
 
 
 for _sort in ORDER_SQL:
@@ -150,14 +150,14 @@ def quality_cut(spark, d):
 
 @query("burst_detail_nonempty", f"WITH {FRAMES}, {BURSTS} SELECT path, burst_id FROM (SELECT *, score >= (SELECT quantile_cont(score, 0.8) FROM frames) AS ok FROM bursts) QUALIFY ok OR count(*) FILTER (ok) OVER (PARTITION BY burst_id) = 0")
 def burst_detail_nonempty(spark, d):
-    return B.burst_detail(X.bursts(spark, d), 20).select("path", "burst_id")
+    return B.burst_detail(X.bursts(spark, d), 20, known=X.known(spark, d)).select("path", "burst_id")
 
 
 @query("run_stats", f"""{ALL}, cut AS (SELECT * FROM run WHERE score >= (SELECT quantile_cont(score, 0.6) FROM run)), vis AS (SELECT DISTINCT burst_id FROM cut WHERE shot_type = 'close')
     SELECT (SELECT count(*) FROM run) AS n_frames, (SELECT count(DISTINCT burst_id) FROM run) AS n_bursts, (SELECT count(DISTINCT burst_id) FROM run WHERE burst_size > 1) AS n_multi,
            (SELECT count(DISTINCT path) FROM picks) AS n_starred, (SELECT count(*) FROM cut SEMI JOIN vis USING (burst_id)) AS n_frames_shown""")
 def run_stats(spark, d):
-    return B.run_stats(X.run(spark, d), X.picks(spark, d), B.BrowseQuery(shot="close", top_pct=TOP))
+    return B.run_stats(X.run(spark, d), X.picks(spark, d), B.BrowseQuery(shot="close", top_pct=TOP), X.known(spark, d))
 
 
 # --- picks ------------------------------------------------------------------------------------
