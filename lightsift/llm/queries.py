@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import scratch_path
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_audit
 from .html_text import extract_text
 from .license_scan import scan_licenses
 from .mixing import mix_sources
@@ -81,7 +82,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"), F.to_json("matches").alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_substring_dedup, op4_html_text, op5_simhash_dedup, op6_token_store, op7_mix_sources, op8_suffix_dedup, op9_decontaminate, op10_license_scan)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_substring_dedup, op4_html_text, op5_simhash_dedup, op6_token_store, op7_mix_sources, op8_suffix_dedup, op9_decontaminate, op10_license_scan, op13_filter_audit)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -124,4 +129,23 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN o ON d.doc_id = o.doc_id""",
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                          doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS again FROM documents),
+        f AS (SELECT doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * len(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * len(body),
+                          regexp_matches(body, '[#$%&*|]'), again] AS fails FROM d),
+        m AS (SELECT part, fails[1]::INT + 2 * fails[2]::INT + 4 * fails[3]::INT + 8 * fails[4]::INT + 16 * fails[5]::INT AS mask,
+                     count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM f LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own, coalesce(list_sum([1 << (ascii(filter_order[i]) - 65) FOR i IN range(1, step)]), 0)::INT AS before FROM o, unnest(range(1, 6)) AS u(step)),
+        r AS (SELECT part, filter_order, CAST(step AS INT) AS step, own,
+                     CAST(coalesce(sum(n) FILTER (mask & (own | before) = 0), 0) AS BIGINT) AS kept,
+                     CAST(coalesce(sum(n) FILTER (mask & own > 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+                     CAST(coalesce(sum(n) FILTER (mask & own > 0 AND mask & before > 0), 0) AS BIGINT) AS redundant,
+                     CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+                     CAST(coalesce(sum(good) FILTER (mask & own > 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
+                     CAST(coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost
+              FROM s, m GROUP BY ALL)
+        SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
 }
