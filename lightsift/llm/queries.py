@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path
+from .cross_tokenizer import cross_tokenizer
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .filter_audit import filter_audit
@@ -82,11 +83,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"), F.to_json("matches").alias("spans"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return cross_tokenizer(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_substring_dedup, op4_html_text, op5_simhash_dedup, op6_token_store, op7_mix_sources, op8_suffix_dedup, op9_decontaminate, op10_license_scan, op13_filter_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_substring_dedup, op4_html_text, op5_simhash_dedup, op6_token_store, op7_mix_sources, op8_suffix_dedup, op9_decontaminate, op10_license_scan, op11_cross_tokenizer, op13_filter_audit)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""

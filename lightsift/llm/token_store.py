@@ -132,9 +132,12 @@ class Encoder:
             return [t.id for t in self.model.tokenize(SPACE + word if m[1] else word)]
         return [t.id for word, _ in self.words.pre_tokenize_str(piece) for t in self.model.tokenize(word)]
 
+    def starts(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        return piece_starts(buf, off)
+
     def in_pieces(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, and the offsets of the texts in them."""
-        start = piece_starts(buf, off)
+        start = self.starts(buf, off)
         end = np.append(start[1:], len(buf))
         sums = np.zeros(len(buf) + 1, np.uint32)
         np.cumsum(CHECKS[buf], out=sums[1:], dtype=np.uint32)
