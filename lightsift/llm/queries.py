@@ -13,6 +13,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .filter_audit import filter_audit
 from .html_text import extract_text
+from .jaccard_join import jaccard_join
 from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .simhash_dedup import simhash_dedup
@@ -89,11 +90,15 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_tokenizer(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_substring_dedup, op4_html_text, op5_simhash_dedup, op6_token_store, op7_mix_sources, op8_suffix_dedup, op9_decontaminate, op10_license_scan, op11_cross_tokenizer, op13_filter_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_substring_dedup, op4_html_text, op5_simhash_dedup, op6_token_store, op7_mix_sources, op8_suffix_dedup, op9_decontaminate, op10_license_scan, op11_cross_tokenizer, op12_jaccard_join, op13_filter_audit)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -136,6 +141,20 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN o ON d.doc_id = o.doc_id""",
+    "op12_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        i AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, len(ws) AS n FROM w),
+        h AS (SELECT doc_id, pos, n, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS x FROM i WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+        k AS (SELECT doc_id, list(DISTINCT x ORDER BY x) AS t FROM h WHERE pos <= greatest(n - 4, 1) GROUP BY doc_id),
+        s AS (SELECT w.doc_id, coalesce(k.t, []) AS t FROM w LEFT JOIN k ON k.doc_id = w.doc_id),
+        c AS MATERIALIZED (SELECT t, min(doc_id) AS rep, len(t) AS n FROM s WHERE len(t) > 0 GROUP BY t),
+        e AS MATERIALIZED (SELECT rep, n, unnest(t) AS x FROM c),
+        p AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep WHERE 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+              GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r AS (SELECT rep AS node, rep AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+        g AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+        SELECT doc_id, CAST(len(s.t) AS BIGINT) AS n_shingles, coalesce(g.root, doc_id) AS component_id FROM s LEFT JOIN c ON c.t = s.t LEFT JOIN g ON g.node = c.rep""",
     "op13_filter_audit": r"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
                           doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS again FROM documents),
