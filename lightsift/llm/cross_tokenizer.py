@@ -73,7 +73,9 @@ class Pieces(Encoder):
         return np.flatnonzero(cut)
 
     def asked(self, piece: str) -> list[int]:
-        return self.model.encode(piece[1:])
+        if piece.strip(" "):
+            return self.model.encode(piece[1:])
+        return self.model.encode("a" + piece)[len(self.model.encode("a")) :]  # spaces at the end of a text
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(i, "<u4") for i in self.model.encode([t[1:] for t in texts], num_threads=1)]
