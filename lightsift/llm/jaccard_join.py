@@ -1,12 +1,13 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Texts become sets of shingle hashes; equal sets are one class. A class can only link where enough of its least hashes are
-shared: sets that share o tokens share the first l of them (in any one order) within their prefixes of size - o + l, so a prefix
-travels instead of the set, and classes whose prefix shares too little are settled at once. The others are
-put in order of their least hashes (similar sets have the same) and cut into groups; a group keeps the union of its members'
-tokens and who has which. Sets of a group and of the one before meet directly. Beyond that a set asks the
-groups that its rarest prefix tokens name: the overlap with a group's union bounds that with each member, and
-only a group that the bound can't rule out is opened. Sets known to be connected don't ask for each other.
+Texts become sets of shingle hashes; equal sets are one class. How many classes have a token is counted over the whole
+corpus (by as many leading bits as tell its tokens apart). A token that no other class has is a set's own: a set with more own
+tokens than it may miss links to nothing and is settled at once, and two sets can't link if their own tokens alone are more than
+they may differ by. The others are put in order (similar sets have the same least hash) and cut into groups; a group keeps
+the union of its members' tokens and who has which. Sets of a group and of the one before meet directly. Beyond that a set
+asks the groups that its rarest tokens name: the overlap with a group's union bounds that with each member, and only a
+group that the bound can't rule out is opened. First each part of a crowd asks a few groups; after that only sets that aren't
+known to be connected ask for each other.
 """
 
 from __future__ import annotations
@@ -24,11 +25,16 @@ from . import hashing as H
 from . import postings as P
 from .common import ids_of, long_array, scratch_path, slices, text_buffer, text_rows, total_bytes, written
 from .components import components
+from .simhash_dedup import spanning
 
-#: Sets and tokens of a group; texts of a document group in bytes; keys that a task sorts at a time; what one group is asked in a task.
-MEMBERS, TOKENS, GROUP_BYTES, FLUSH, ASKED = 32, 1 << 18, 8 << 20, 500_000, 4096
-#: Part of the required overlap that has to lie in the prefixes.
-SHARE = 0.15
+#: Sets and tokens of a group; texts of a document group in bytes; keys that a task sorts at a time; what one group is asked in a task; similar sets put in order in one place.
+MEMBERS, TOKENS, GROUP_BYTES, FLUSH, ASKED, CROWD = 32, 1 << 18, 8 << 20, 500_000, 4096, 256
+#: Parts of the keys, each used in a turn of few questions before all are asked; and turns.
+TURNS, FIRST = 4, 2
+#: Parts of the keys, each used in a turn of few questions before all are asked; and turns.
+TURNS, FIRST = 4, 2
+#: Part of the required overlap that has to lie in the prefixes: more of it travels and settles more sets, here all with less than 70 % of shared tokens.
+SHARE = 0.6
 
 
 def token_sets(buf: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,23 +70,9 @@ def required(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def part(need: np.ndarray) -> np.ndarray:
-    return np.maximum(1, (SHARE * need).astype(np.int64))
-
-
-def prefix_sizes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size of the prefix of a set of n, and how many tokens of it any set that it links to has in its own prefix, at least."""
-    need = required(n, percent)
-    return n - need + part(need), part(required(need, percent))
-
-
-def prefixes(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the prefix tokens of all sets, the set of each, and the number each set has to share. Sets too small to link to others have none."""
-    n = np.diff(at)
-    size, least = prefix_sizes(n, percent)
-    size = np.where(can_link(n, percent), size, 0)
-    doc = np.repeat(np.arange(len(n)), size)
-    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + at[:-1][doc], doc, least
+def may_differ(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that only one of two linked sets of n and m has, at most."""
+    return (n + m) * (100 - percent) // (100 + percent)
 
 
 def can_link(n: np.ndarray, percent: int) -> np.ndarray:
@@ -162,13 +154,13 @@ def sets_of(rows: bytes, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray,
 CELL = "bucket int, grp int, tokens binary, counts binary"
 
 
-def shared_tokens(texts: DataFrame, shingle: int, percent: int, buckets: int) -> DataFrame:
-    """(grp, tokens, counts): of each group's prefix tokens those that several classes have in their prefix, and how many."""
+def shared_tokens(texts: DataFrame, shingle: int, shift: int, buckets: int) -> DataFrame:
+    """(grp, tokens, counts): of each group's tokens (their leading bits) those that several classes have, and how many do."""
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for grp, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = [h[prefixes(h, at, percent)[0]] for _, h, at in sets_of(rows, shingle)]
+                found = [h >> np.uint64(shift) for _, h, _ in sets_of(rows, shingle)]
                 tokens, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
                 bucket = (tokens % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -196,12 +188,12 @@ def cell_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "grp", "tokens", "counts"])
 
 
-OPEN = "class long, first long, second long, spread int, tokens binary, keys binary"
+OPEN = "class long, first long, own long, spread int, tokens binary, keys binary"
 
 
-def open_sets(texts: DataFrame, shared: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The classes that share enough of their prefix, with all tokens and the keys to ask by: the rarest of the shared prefix
-    tokens, as many as may lack in a set that links. spread: how many places a crowd of such sets is dealt to."""
+def open_sets(texts: DataFrame, shared: DataFrame, shingle: int, shift: int, percent: int) -> DataFrame:
+    """The classes with no more own tokens than they may miss, with all tokens and the keys to ask by: the rarest of the shared
+    tokens, as many as may lack in a set that links and one more. spread: how many places a crowd of such sets is dealt to."""
 
     def decided(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -211,48 +203,49 @@ def open_sets(texts: DataFrame, shared: DataFrame, shingle: int, percent: int) -
         known, df = known[order], np.concatenate([c for _, c in cells])[order] if cells else np.zeros(0, np.int64)
         for rows in left.column(1).to_pylist() if len(known) else ():
             for of, h, at in sets_of(rows, shingle):
-                place, doc, least = prefixes(h, at, percent)
-                token = h[place]
+                size = np.diff(at)
+                doc, token = np.repeat(np.arange(len(of)), size), h >> np.uint64(shift)
                 i = np.minimum(np.searchsorted(known, token), len(known) - 1)
                 many = np.where(known[i] == token, df[i], 1)
-                size = np.bincount(doc, minlength=len(of))
-                alive = (np.bincount(doc, many > 1, minlength=len(of)) >= least) & (size > 0)
+                own = np.bincount(doc, many == 1, minlength=len(of)).astype(np.int64)
+                spare = size - required(size, percent)
                 order = np.lexsort((token, many, doc))
                 turn = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-                key = (turn <= (size - least)[doc[order]]) & (many[order] > 1) & alive[doc[order]]
+                key = (turn <= spare[doc[order]]) & (many[order] > 1) & (own <= spare)[doc[order]]
                 keys, key_doc, key_many = token[order][key], doc[order][key], many[order][key]
                 edges = np.searchsorted(key_doc, np.arange(len(of) + 1))
                 for d in np.flatnonzero(np.diff(edges)).tolist():
-                    own = h[at[d] : at[d + 1]].view(np.int64)
+                    tokens = h[at[d] : at[d + 1]].view(np.int64)
                     mine = slice(edges[d], edges[d + 1])
-                    out.append((int(of[d]), int(own[0]), int(own[1 % len(own)]), -(-int(key_many[mine].max()) // 4096), P.pack(own), P.pack(np.sort(keys[mine]).view(np.int64))))
+                    out.append((int(of[d]), int(tokens[0]), int(own[d]), -(-int(key_many[mine].max()) // CROWD), P.pack(tokens), P.pack(np.sort(keys[mine]).view(np.int64))))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(("class", "first", "second", "spread", "tokens", "keys"), kinds, strict=True))})
+        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(("class", "first", "own", "spread", "tokens", "keys"), kinds, strict=True))})
 
     return texts.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(decided, OPEN)
 
 
-GROUP = "gid long, classes binary, labels binary, sizes binary, tokens binary, places binary, n_keys binary, keys binary"
-FORMED = f"kind int, {GROUP}, a long, b long"
+GROUP, KEYED, LINK = "gid long, classes binary, sizes binary, tokens binary, places binary", "class long, of long, label long, n long, own long, keys binary", "a long, b long"
+FORMED = f"kind int, {GROUP}, {KEYED}, {LINK}"
 FORMED_NAMES = [x.split()[0] for x in FORMED.split(", ")]
-FORMED_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 7, pa.int64(), pa.int64()]
+FORMED_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 4, *[pa.int64()] * 5, pa.binary(), pa.int64(), pa.int64()]
 
 
 def packed_places(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").tobytes())
 
 
-def formed_groups(sets: DataFrame, percent: int, n_members: int) -> tuple[DataFrame, DataFrame]:
-    """Groups of similar sets (the token-group matrix: tokens of the union, and for each member its places in it), and links found while forming them."""
+def formed_groups(sets: DataFrame, percent: int, n_members: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups of similar sets (the token-group matrix: tokens of the union, and for each member its places in it), the members
+    with their keys and a label (sets with one label are connected), and links found while forming the groups."""
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gid = TaskContext.get().partitionId() << 32
         before: list[tuple[int, int, np.ndarray]] = []  # label, class and tokens of the last group's members
-        held: list[tuple[int, np.ndarray, bytes]] = []
+        held: list[tuple[int, np.ndarray, bytes, int]] = []
 
         def close() -> pa.RecordBatch:
             nonlocal gid, before
-            own = [(0, c, t) for c, t, _ in held]
+            own = [(0, c, t) for c, t, *_ in held]
             every = before + own
             label = [x[0] for x in before] + [c for _, c, _ in own]
             sizes = np.array([len(t) for *_, t in every])
@@ -270,10 +263,9 @@ def formed_groups(sets: DataFrame, percent: int, n_members: int) -> tuple[DataFr
                         label = [new if x == old else x for x in label]
             union = np.unique(np.concatenate([t for *_, t in own]))
             places = [np.searchsorted(union, t) for *_, t in own]
-            keys = [P.unpack(k) for *_, k in held]
             labels = label[len(before) :]
-            group = (0, gid, P.pack(np.array([c for _, c, _ in own])), P.pack(np.array(labels)), P.pack(sizes[len(before) :]), P.pack(union.view(np.int64)), packed_places(np.concatenate(places)), P.pack(np.array([len(k) for k in keys])), P.pack(np.concatenate(keys)), None, None)
-            out = [group, *[(1, *[None] * 8, a, b) for a, b in links]]
+            group = (0, gid, P.pack(np.array([c for _, c, _ in own])), P.pack(sizes[len(before) :]), P.pack(union.view(np.int64)), packed_places(np.concatenate(places)), *[None] * 8)
+            out = [group, *[(1, *[None] * 5, c, gid, x, len(t), mine, k, None, None) for (c, t, k, mine), x in zip(held, labels, strict=True)], *[(2, *[None] * 11, a, b) for a, b in links]]
             before = [(x, c, t) for x, (_, c, t) in zip(labels, own, strict=True)]
             gid += 1
             held.clear()
@@ -281,33 +273,35 @@ def formed_groups(sets: DataFrame, percent: int, n_members: int) -> tuple[DataFr
 
         n = 0
         for b in batches:
-            for c, t, k in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            for c, mine, t, k in zip(*(b.column(i).to_pylist() for i in (0, 2, 4, 5)), strict=True):
                 tokens = P.unpack(t).view(np.uint64)
                 if held and (len(held) == n_members or n + len(tokens) > TOKENS):
                     yield close()
                     n = 0
-                held.append((c, tokens, k))
+                held.append((c, tokens, k, mine))
                 n += len(tokens)
         if held:
             yield close()
 
     path = scratch_path(sets.sparkSession, "token-groups")
-    near = sets.repartition("first", F.pmod(F.xxhash64("class"), F.col("spread"))).sortWithinPartitions("first", "second", "class")
+    near = sets.repartition("first", F.pmod(F.xxhash64("class"), F.col("spread"))).sortWithinPartitions("first", "own", "class")
     near.mapInArrow(form, FORMED).write.option("compression", "zstd").partitionBy("kind").parquet(path)
     stored = lambda kind, schema: sets.sparkSession.read.schema(schema + ", kind int").parquet(path).where(F.col("kind") == kind).drop("kind")
-    return stored(0, GROUP), stored(1, "a long, b long")
+    return stored(0, GROUP), stored(1, KEYED), stored(2, LINK)
 
 
-def questions(groups: DataFrame, buckets: int) -> DataFrame:
-    """(gid, q, g), distinct: member q of group gid has a key in common with a member of group g > gid that isn't known to be connected with it."""
-    cell = "bucket int, tokens binary, sets binary, classes binary, gids binary, labels binary"
+def questions(keyed: DataFrame, buckets: int, percent: int, turn: int | None = None) -> DataFrame:
+    """(gid, q, g), distinct: member q of group gid has a key in common with a member of group g that isn't known to be connected
+    with, and their own tokens don't rule a link out; all such, each pair of groups one way. With a turn only a few of them: on a quarter of the keys one member of each label asks
+    one group of the next label and up to three of the largest, so a crowd asks in proportion to its size."""
+    cell = "bucket int, tokens binary, sets binary, classes binary, gids binary, labels binary, ns binary, owns binary"
     names = [x.split()[0] for x in cell.split(", ")]
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            keys, of, gid, label = (np.concatenate([h[i] for h in held]) for i in range(4))
+            keys, *rest = (np.concatenate([h[i] for h in held]) for i in range(6))
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((keys, bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -315,37 +309,40 @@ def questions(groups: DataFrame, buckets: int) -> DataFrame:
             for i, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
                 if hi > lo:
                     w = order[lo:hi]
-                    _, first, which = np.unique(of[w], return_index=True, return_inverse=True)
-                    out.append((i, P.pack(keys[w].view(np.int64)), packed_places(which), *[P.pack(x[w][first]) for x in (of, gid, label)]))
+                    _, ones, which = np.unique(rest[0][w], return_index=True, return_inverse=True)
+                    out.append((i, P.pack(keys[w].view(np.int64)), packed_places(which), *[P.pack(x[w][ones]) for x in rest]))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if not i else pa.binary()) for i in range(6)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if not i else pa.binary()) for i in range(8)], names=names)
 
         for b in batches:
-            for r in b.to_pylist():
-                n = P.unpack(r["n_keys"])
-                held.append((P.unpack(r["keys"]).view(np.uint64), np.repeat(P.unpack(r["classes"]), n), np.full(int(n.sum()), r["gid"]), np.repeat(P.unpack(r["labels"]), n)))
+            for *told, raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                keys = P.unpack(raw).view(np.uint64)
+                keys = keys if turn is None else keys[H.mix(keys) % np.uint64(TURNS) == turn]
+                held.append((keys, *(np.full(len(keys), x) for x in told)))
             if sum(len(h[0]) for h in held) >= FLUSH:
                 yield flush()
         if held:
             yield flush()
 
     def asked(table: pa.Table) -> pa.Table:
-        parts: list[list[np.ndarray]] = [[], [], [], []]
+        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
         for r in table.to_pylist():
             which = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["sets"]), "<u4")
-            for out, x in zip(parts, (P.unpack(r["tokens"]).view(np.uint64), *(P.unpack(r[c])[which] for c in ("classes", "gids", "labels"))), strict=True):
+            for out, x in zip(parts, (P.unpack(r["tokens"]).view(np.uint64), *(P.unpack(r[c])[which] for c in ("classes", "gids", "labels", "ns", "owns"))), strict=True):
                 out.append(x)
-        token, of, gid, label = (np.concatenate(p) for p in parts)
-        order = np.lexsort((gid, token))
-        token, of, gid, label = token[order], of[order], gid[order], label[order]
+        token, of, gid, label, n, own = (np.concatenate(p) for p in parts)
+        order = np.lexsort((own, gid, token)) if turn is None else np.lexsort((own, label, token))
+        token, of, gid, label, n, own = (x[order] for x in (token, of, gid, label, n, own))
+        if turn is not None:
+            return asked_first(token, of, gid, label)
         edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         sizes = np.diff(edges)
         found: list[np.ndarray] = []
         total = 0
 
-        def add(i: np.ndarray, j: np.ndarray) -> None:
+        def add(i: np.ndarray, j: np.ndarray, most: np.ndarray | None = None) -> None:
             nonlocal total
-            take = (label[i] != label[j]) & (gid[i] < gid[j])
+            take = (label[i] != label[j]) & (gid[i] < gid[j]) & (own[i] + own[j] <= may_differ(n[i], n[j] if most is None else most, percent))
             if take.any():
                 found.append(np.unique(np.stack([gid[i[take]], of[i[take]], gid[j[take]]]), axis=1))
                 total += found[-1].shape[1]
@@ -358,19 +355,41 @@ def questions(groups: DataFrame, buckets: int) -> DataFrame:
             i = np.flatnonzero(some[:-d] & (token[d:] == token[:-d]) & some[d:]) if d < len(token) else np.zeros(0, np.int64)
             add(i, i + d)
         for lo, hi in zip(edges[:-1][sizes > 32].tolist(), edges[1:][sizes > 32].tolist(), strict=True):
-            # long runs: every entry against one entry of each (group, label)
+            # long runs: every entry against one of each (group, label), that with the fewest own tokens, as if it had the most tokens
             if (label[lo:hi] == label[lo]).all():
                 continue
-            ones = lo + np.unique(np.stack([gid[lo:hi], label[lo:hi]]), axis=1, return_index=True)[1]
+            _, ones, of_one = np.unique(np.stack([gid[lo:hi], label[lo:hi]]), axis=1, return_index=True, return_inverse=True)
+            most = np.zeros(len(ones), np.int64)
+            np.maximum.at(most, of_one.ravel(), n[lo:hi])
             for s in range(lo, hi, 1024):
                 i = np.arange(s, min(hi, s + 1024))
                 for t in range(0, len(ones), 1024):
-                    j = ones[t : t + 1024]
-                    add(np.repeat(i, len(j)), np.tile(j, len(i)))
+                    j, m = lo + ones[t : t + 1024], most[t : t + 1024]
+                    add(np.repeat(i, len(j)), np.tile(j, len(i)), np.tile(m, len(i)))
         rows = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("gid", "q", "g"), rows, strict=True)})
 
-    return groups.mapInArrow(posted, cell).groupBy("bucket").applyInArrow(asked, "gid long, q long, g long").distinct()
+    return keyed.select("class", "of", "label", "n", "own", "keys").mapInArrow(posted, cell).groupBy("bucket").applyInArrow(asked, "gid long, q long, g long").distinct()
+
+
+def asked_first(token: np.ndarray, of: np.ndarray, gid: np.ndarray, label: np.ndarray) -> pa.Table:
+    """The few questions of a turn, from entries in order of token and label."""
+    ones = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (label[1:] != label[:-1])])) if len(token) else np.zeros(0, np.int64)
+    many = np.diff(ones, append=len(token))
+    i, j = ones[:-1], ones[1:]
+    parts = [np.stack([i, j])[:, token[i] == token[j]]]
+    runs = np.flatnonzero(np.concatenate([[True], token[ones][1:] != token[ones][:-1], [True]])) if len(ones) else np.zeros(1, np.int64)
+    for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+        if hi - lo > 1 and (top := lo + int(np.argmax(many[lo:hi]))) >= 0 and many[top] > 1:
+            # groups of the largest label, picked by the asking set so that it picks alike for every key
+            own = ones[top] + np.unique(gid[ones[top] : ones[top] + many[top]], return_index=True)[1]
+            asking = np.delete(ones[lo:hi], top - lo)
+            picks = H.mix(of[asking].view(np.uint64))
+            parts += [np.stack([asking, own[(picks >> np.uint64(16 * t)) % np.uint64(len(own))]]) for t in range(3)]
+    i, j = np.concatenate(parts, axis=1)
+    ask = gid[i] != gid[j]
+    rows = np.unique(np.stack([gid[i[ask]], of[i[ask]], gid[j[ask]]]), axis=1)
+    return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("gid", "q", "g"), rows, strict=True)})
 
 
 def dealt(rows: DataFrame, groups: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -382,7 +401,7 @@ def dealt(rows: DataFrame, groups: DataFrame, key: str) -> tuple[DataFrame, Data
 
 
 def answers(asked: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the links of the asking sets with members of the groups asked."""
+    """(a, b): links of the asking sets with members of the groups asked, of each task as many as connect what its links connect."""
 
     def fetched(left: pa.Table, right: pa.Table) -> pa.Table:
         r = {n: right.column(n)[0].as_py() for n in ("classes", "sizes", "tokens", "places")}
@@ -408,7 +427,8 @@ def answers(asked: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
             ok = linked(np.add.reduceat(row[places], starts), sizes, len(own), percent)
             a += [c] * int(ok.sum())
             b += of[ok].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        x, y = spanning(np.array(a, np.int64), np.array(b, np.int64)) if a else (a, b)
+        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     left, right = dealt(asked, groups.select("gid", "classes", "sizes", "tokens", "places"), "gid")
     sets = left.groupBy("gid", "part").cogroup(right.groupBy("gid", "part")).applyInArrow(fetched, "g long, q long, tokens binary")
@@ -428,10 +448,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = max(1, size // GROUP_BYTES)
     rows = written(members(docs, id_col, text_col, shingle), "members")
     texts = written(class_texts(docs, id_col, text_col, shingle, percent, n), "class-texts")
-    sets = open_sets(texts, shared_tokens(texts, shingle, percent, n), shingle, percent)
-    groups, near = formed_groups(sets, percent, n_members)
-    far = answers(written(questions(groups, n), "questions"), groups, percent)
-    root = components(written(near.unionByName(far), "links"), "a", "b")
+    shift = max(0, 64 - max(40, size.bit_length() + 8))  # leading bits that tell the corpus's tokens apart but for one in a thousand
+    sets = open_sets(texts, shared_tokens(texts, shingle, shift, n), shingle, shift, percent)
+    groups, keyed, near = formed_groups(sets, percent, n_members)
+    links, known = near, keyed
+    for turn in [*range(FIRST), None]:
+        links = written(links.unionByName(answers(written(questions(known, n, percent, turn), "questions"), groups, percent)), "links")
+        root = components(links, "a", "b")
+        known = keyed.join(root, F.col("class") == root.node, "left").select("class", "of", F.coalesce("root", "class").alias("label"), "n", "own", "keys")
     least = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least")).join(root, F.col("class") == root.node, "left")
     least = written(least.select("class", "least", F.coalesce("root", "class").alias("root")), "roots")
     first = least.groupBy("root").agg(F.min("least").alias("component_id"))
