@@ -98,21 +98,14 @@ def test_jaccard_empty_tables(spark, docs):
     assert [(r.id, r.n_shingles, r.component_id) for r in J.jaccard_join(none).collect()] == [(None, 0, None)] * 3
 
 
-def test_no_pair_is_ruled_out_by_the_prefix():
-    """Any two sets that link share enough of their prefixes, whatever their sizes."""
-    r = np.random.default_rng(3)
-    for _ in range(3000):
-        n = int(r.integers(1, 60))
-        both = r.choice(2**62, n, replace=False).astype(np.uint64)
-        more = [np.sort(np.unique(np.concatenate([both, r.choice(2**62, int(r.integers(0, 1 + n // 4)), replace=False).astype(np.uint64)]))) for _ in range(2)]
-        a, b = more
-        common = len(np.intersect1d(a, b))
-        if not J.linked(np.int64(common), np.int64(len(a)), np.int64(len(b)), 80) or (len(a) == len(b) == common):
-            continue
-        h, at = np.concatenate(more), np.array([0, len(a), len(a) + len(b)])
-        place, doc, least = J.prefixes(h, at, 80)
-        shared = len(np.intersect1d(h[place[doc == 0]], h[place[doc == 1]]))
-        assert shared >= max(least)
+def test_bounds_hold_for_all_sizes():
+    """Whatever two sets link: neither misses more than it may, and they differ by no more than they may."""
+    for n in range(1, 60):
+        for m in range(n, 80):
+            for both in range(n + 1):
+                if J.linked(np.int64(both), np.int64(n), np.int64(m), 80):
+                    assert all(x - both <= x - J.required(np.int64(x), 80) for x in (n, m)) and n + m - 2 * both <= J.may_differ(np.int64(n), np.int64(m), 80)
+                    assert n == m == both or (J.can_link(np.array([n, m]), 80)).all()
 
 
 def test_crowds_ask_group_by_group(spark):
