@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lightsift.session import written
-
 from .ordering import quantiles, value_ranks
 from .picks import pick_flags
 
@@ -16,7 +14,7 @@ from .picks import pick_flags
 def thresholds(run: DataFrame) -> DataFrame:
     """(top_pct, threshold) for each whole percentage below 100 of a ranked run: published beside it, so no page computes
     it again. The two scores around each place are looked up by rank."""
-    total = run.agg(F.count(F.lit(1)).alias("n"))  # one row
+    total = run.agg(F.count_if(F.col("score").isNotNull() & ~F.isnan("score")).alias("n"))  # one row; frames without a score rank last
     at = (1 - F.col("top_pct") / 100.0) * (F.col("n") - 1)
     wanted = run.sparkSession.range(1, 100).select(F.col("id").cast("int").alias("top_pct")).crossJoin(F.broadcast(total))
     wanted = wanted.select("top_pct", (F.col("n") - F.floor(at)).alias("low"), (F.col("n") - F.ceil(at)).alias("high"), (at - F.floor(at)).alias("part"))
@@ -78,7 +76,8 @@ class BrowseQuery:
         """One row per burst, or all frames if unfurled (then ranked over the whole run); with pick flags if picks are given."""
         shown = frames
         if self.unfurl:
-            placed = frames if "score_rank" in frames.columns else frames.join(value_ranks(frames, "score", "score_rank"), "score")
+            ranks = value_ranks(frames, "score", "score_rank").withColumnRenamed("score", "_score")
+            placed = frames if "score_rank" in frames.columns else frames.join(ranks, F.col("score").eqNullSafe(F.col("_score"))).drop("_score")
             shown = placed.withColumn("burst_rank", F.col("score_rank"))
         out = self.matching(shown, known)
         out = out if picks is None else pick_flags(out, picks, self.viewer)
@@ -98,8 +97,10 @@ class BrowseQuery:
         at, many = max(0, int(self.offset)), min(500, max(1, int(self.limit)))
         if self.sort == "stars":
             return self.rows(frames, picks, known).orderBy(*self.order()).offset(at).limit(many)
-        page = written(self.chosen(frames, None, known).orderBy(*self.order()).offset(at).limit(many))
-        own = picks.join(F.broadcast(page.select("path").distinct()), "path", "left_semi")  # at most 500 paths
+        chosen = self.chosen(frames, None, known)
+        rows = chosen.orderBy(*self.order()).offset(at).limit(many).collect()  # at most 500
+        page = frames.sparkSession.createDataFrame(rows, chosen.schema)
+        own = picks.where(F.col("path").isin([r["path"] for r in rows]))
         return pick_flags(page, own, self.viewer).orderBy(*self.order())
 
     def total(self, frames: DataFrame, known: DataFrame | None = None) -> int:
@@ -110,8 +111,9 @@ def burst_detail(frames: DataFrame, top_pct: float, burst_ids: list[int] | None
     """Frames of bursts above the run's threshold, a burst that would be empty whole; by rank in the burst, or by time."""
     limit = quality_threshold(frames, top_pct, known)
     some = frames if burst_ids is None else frames.where(F.col("burst_id").isin(burst_ids))
-    kept = some.crossJoin(F.broadcast(limit)).withColumn("_ok", F.col("score") >= F.col("threshold"))
-    return kept.withColumn("_n", F.count_if("_ok").over(Window.partitionBy("burst_id"))).where("_ok OR _n = 0").drop("_ok", "_n", "threshold").orderBy("burst_id", *detail_order(frames, sort))
+    kept = some.crossJoin(F.broadcast(limit)).withColumn("_ok", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
+    shown = kept.select("burst_id", "_ok").groupBy("burst_id").agg(F.max("_ok").alias("_any")).where("_any")
+    return kept.join(shown, "burst_id", "left").where("_ok OR _any IS NULL").select(*frames.columns).orderBy("burst_id", *detail_order(frames, sort))
 
 
 def detail_order(frames: DataFrame, sort: str) -> list:

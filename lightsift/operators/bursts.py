@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lightsift.functions.vectors import cosine
@@ -27,7 +27,8 @@ def burst_ids(frames: DataFrame, short: float = SHORT_GAP, long: float = LONG_GA
     Keys alone are sorted, in ranges, so one camera with all frames is the work of many tasks; vectors are
     fetched for the gaps between `short` and `long` only.
     """
-    keys = frames.where(F.col("captured_at").isNotNull()).select("camera_id", "captured_at", "path")
+    narrow = written(frames.select("camera_id", "captured_at", "path"))  # frames may be the result of joins: they are read for keys once
+    keys = narrow.where(F.col("captured_at").isNotNull())
     placed = row_numbers(keys, [F.asc_nulls_first("camera_id"), F.asc("captured_at"), F.asc("path")], "_i")
     before = placed.select((F.col("_i") + 1).alias("_i"), F.col("camera_id").alias("_camera"), F.col("captured_at").alias("_at"), F.col("path").alias("_path"))
     pairs = placed.join(before, "_i", "left").withColumn("_gap", F.when(F.col("_path").isNotNull() & F.col("camera_id").eqNullSafe(F.col("_camera")), gap_seconds(F.col("_at"), F.col("captured_at"))))
@@ -41,7 +42,7 @@ def burst_ids(frames: DataFrame, short: float = SHORT_GAP, long: float = LONG_GA
     starts = pairs.select("path", "_i", start.otherwise(1).cast("long").alias("_start"))
     ids = running(starts, ["_i"], {"burst_id": "_start"}).select("path", (F.col("burst_id") + F.col("_start") - 1).alias("burst_id"), "_start")
     total = ids.agg(F.coalesce(F.sum("_start"), F.lit(0)).alias("_total"))  # one row
-    untimed = row_numbers(frames.where(F.col("captured_at").isNull()).select("path"), ["path"], "burst_id")
+    untimed = row_numbers(narrow.where(F.col("captured_at").isNull()).select("path"), ["path"], "burst_id")
     single = untimed.crossJoin(F.broadcast(total)).select("path", (F.col("burst_id") + F.col("_total") - 1).alias("burst_id"))
     return frames.join(ids.select("path", "burst_id").unionByName(single), "path").select(*frames.columns, "burst_id")
 
@@ -56,16 +57,20 @@ def ranked(frames: DataFrame) -> DataFrame:
 
     rank is the place by score and path, score_rank that by score alone (ties share the best). The representative of
     a burst is its best frame that is not rejected, and bursts are ranked by the score of theirs, ties sharing the
-    best rank. Only keys and scores are sorted, in ranges; no task sees all frames.
+    best rank. A frame without a score (null or NaN) comes after all others. Keys alone are sorted, in ranges, and a burst is only
+    aggregated: neither all frames nor those of one burst meet in a task.
     """
-    reject = "tech_hard_reject" if "tech_hard_reject" in frames.columns else None
-    keys = frames.select("path", "score", "burst_id", (F.col(reject) if reject else F.lit(False)).alias("_reject"))
-    own = Window.partitionBy("burst_id")
-    keys = keys.withColumn("within_burst_rank", F.row_number().over(own.orderBy(F.desc("score"), "path")).cast("long"))
-    keys = keys.withColumn("is_representative", F.row_number().over(own.orderBy("_reject", F.desc("score"), "path")) == 1)
-    keys = written(keys.withColumn("burst_size", F.count(F.lit(1)).over(own)))
-    best = keys.where("is_representative").select("burst_id", "score")
-    bursts = best.join(value_ranks(best, "score", "burst_rank"), "score").select("burst_id", "burst_rank")
-    places = row_numbers(keys.select("path", "score"), [F.desc("score"), F.asc("path")], "rank").select("path", "rank")
-    out = keys.join(places, "path").join(value_ranks(keys, "score", "score_rank"), "score").join(bursts, "burst_id")
-    return frames.join(out.select("path", "rank", "score_rank", "within_burst_rank", "is_representative", "burst_size", "burst_rank"), "path")
+    reject = F.coalesce(F.col("tech_hard_reject"), F.lit(False)) if "tech_hard_reject" in frames.columns else F.lit(False)
+    score = F.when(~F.isnan("score"), F.col("score"))
+    keys = written(frames.select("path", score.alias("score"), "burst_id", reject.alias("_reject")))
+    in_burst = row_numbers(keys, [F.asc("burst_id"), F.desc_nulls_last("score"), F.asc("path")], "_at")
+    best = F.min(F.struct("_reject", F.col("score").isNull().alias("_last"), (-F.col("score")).alias("_minus"), "path", "score"))
+    sizes = written(in_burst.groupBy("burst_id").agg(F.count(F.lit(1)).alias("burst_size"), F.min("_at").alias("_first"), best.alias("_best")))
+    firsts = sizes.select("burst_id", F.col("_best.score").alias("score"))
+    of_burst = firsts.join(value_ranks(firsts, "score", "burst_rank").withColumnRenamed("score", "_score"), F.col("score").eqNullSafe(F.col("_score"))).select("burst_id", "burst_rank")
+    bursts = sizes.join(of_burst, "burst_id").select("burst_id", "burst_size", "_first", F.col("_best.path").alias("_best"), "burst_rank")
+    places = row_numbers(keys.select("path", "score"), [F.desc_nulls_last("score"), F.asc("path")], "rank")
+    scores = value_ranks(keys, "score", "score_rank").withColumnRenamed("score", "_score")
+    places = places.join(scores, F.col("score").eqNullSafe(F.col("_score"))).select("path", "rank", "score_rank")
+    out = in_burst.join(bursts, "burst_id").select("path", (F.col("_at") - F.col("_first") + 1).alias("within_burst_rank"), (F.col("path") == F.col("_best")).alias("is_representative"), "burst_size", "burst_rank")
+    return frames.join(out.join(places, "path").select("path", "rank", "score_rank", "within_burst_rank", "is_representative", "burst_size", "burst_rank"), "path")

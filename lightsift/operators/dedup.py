@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightsift.functions.vectors import dot, normalized
 from lightsift.session import written
 
+from .graph import components
+from .ordering import running
+
 ALIKE = 0.9995
 RAW = ("cr2", "cr3", "nef", "arw", "raf", "rw2", "orf", "dng")
 
@@ -38,16 +43,27 @@ def without_paired_raw(files: DataFrame) -> DataFrame:
 BLOCK = 2048
 
 
-def alike_edges(vectors: DataFrame, key: str, emb: str, threshold: float = ALIKE, block: int = BLOCK, axes: int | None = None) -> DataFrame:
-    """Pairs a < b whose cosine is at least threshold; exact.
+def unit_rows(vectors: DataFrame, key: str, emb: str) -> DataFrame:
+    """(k, v): keys and unit vectors, written once; rows without a vector are left out."""
+    return written(vectors.select(F.col(key).alias("k"), normalized(F.col(emb)).alias("v")).where("v IS NOT NULL"))
+
+
+def alike_edges(vectors: DataFrame, key: str, emb: str, threshold: float = ALIKE, block: int = BLOCK, axes: int | None = None, recall: float | None = None) -> DataFrame:
+    """Pairs a < b whose cosine is at least threshold, with it. One row per key.
 
-    Alike unit vectors lie within sqrt(2 - 2 threshold) of each other, so along each of some fixed orthogonal
-    axes they fall into the same or neighbouring cells of that width: a vector is compared with those of the cells
-    around its own only. Where that width is too large to tell vectors apart (over a half) there is one cell, and
-    every pair is compared. Blocks of about `block` rows meet in a task, however many rows a cell or the table has.
+    Without `recall` exact: alike unit vectors lie within sqrt(2 - 2 threshold) of each other, so along each of some fixed
+    orthogonal axes they fall into the same or neighbouring cells of that width: a vector is compared with those of the cells
+    around its own only. That tells few vectors apart where they have hundreds of dimensions, and none where the width is over a half.
+    With `recall` (below 1) candidates come from hash tables, see `hashed_edges`: each pair at the threshold is found with at
+    least that probability, nearer ones with a higher one, and whatever is found is checked by its cosine.
     """
+    unit = unit_rows(vectors, key, emb)
+    return exact_edges(unit, threshold, block, axes) if recall is None else hashed_edges(unit, threshold, recall)
+
+
+def exact_edges(unit: DataFrame, threshold: float, block: int = BLOCK, axes: int | None = None) -> DataFrame:
+    """All pairs; blocks of about `block` rows meet in a task, however many rows a cell or the table has."""
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    unit = written(vectors.select(F.col(key).alias("k"), normalized(F.col(emb)).alias("v")).where("v IS NOT NULL"))
     n, kind = unit.count(), unit.schema["k"].dataType.simpleString()
     if axes is None:
         axes = 0 if width > 0.5 or n <= block else 2 if n < 10_000_000 else 3
@@ -77,21 +93,153 @@ def alike_edges(vectors: DataFrame, key: str, emb: str, threshold: float = ALIKE
     return own.unionByName(others).groupBy("cell", "i", "j").applyInPandas(pairs, f"a {kind}, b {kind}, cos double")
 
 
-def greedy(keys: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+#: Bits of a table's hash from which one is chosen, the most tables, and bits of the sketch that candidates are compared by.
+BITS, TABLES, SKETCH = (8, 12, 16, 20, 24, 28, 32), 48, 256
+#: Rows of a bucket that meet in one task.
+CROWD = 8192
+
+
+def table_count(threshold: float, bits: int, recall: float) -> int:
+    """Hash tables that find a pair at the threshold with probability `recall`: a random plane through the origin parts
+    two vectors with the probability of their angle over pi."""
+    same = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-same))) if same < 1 else 1
+
+
+def plane_matrix(dim: int, tables: int) -> np.ndarray:
+    """Fixed random planes: 32 for each table, then those of the sketch."""
+    return np.random.default_rng(23).normal(size=(32 * tables + SKETCH, dim))
+
+
+def hash_rows(unit: DataFrame, dim: int, tables: int) -> DataFrame:
+    """(k, codes, sketch): for each table 32 sign bits, and SKETCH more."""
+    kind = unit.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = plane_matrix(dim, tables)
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                bits = np.packbits(v @ planes.T > 0, axis=1, bitorder="little")
+                codes = pa.array(list(bits[:, : 4 * tables].copy().view("<u4").astype(np.int64)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), codes, pa.array([r.tobytes() for r in bits[:, 4 * tables :]], pa.binary())], names=["k", "codes", "sketch"])
+
+    return unit.mapInArrow(run, f"k {kind}, codes array<long>, sketch binary")
+
+
+def table_plan(hashed: DataFrame, threshold: float, recall: float) -> tuple[int, int, float] | None:
+    """(bits, tables, share): how many bits of a hash to use and how many tables, so that the fewest pairs are compared, and the
+    share of all pairs that are. None if comparing all of them is no more work. Counted over all rows of one table."""
+    n = F.col("n").cast("double")
+    by = hashed.groupBy(F.col("codes")[0].alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    total = by.agg(F.sum("n")).first()[0] or 0
+    best = None
+    for bits in BITS:
+        tables = table_count(threshold, bits, recall)
+        if tables <= TABLES:
+            met = by.groupBy(F.col("c") % (1 << bits)).agg(F.sum("n").alias("n")).agg(F.sum(n * n)).first()[0] or 0.0
+            share = tables * met / max(1, total) ** 2
+            if best is None or share < best[2]:
+                best = bits, tables, share
+    return best if best and (best[2] < 1 or total <= 1) else None
+
+
+def hashed_edges(unit: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Pairs a < b of unit vectors with cosine at least threshold, each found with probability `recall` or higher.
+
+    Sign bits of random projections go to tables, keys and a short sketch meet in the tables' buckets, pairs whose sketches differ in
+    more bits than any pair at the threshold plausibly does (six standard deviations) are dropped, and the vectors are fetched for
+    what is left, once for each pair. A bucket of any size is compared block by block. Vectors don't travel to the tables.
+    """
+    first = unit.select(F.size("v").alias("n")).first()
+    kind = unit.schema["k"].dataType.simpleString()
+    if first is None:
+        return unit.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cos double")
+    most = max((table_count(threshold, b, recall) for b in BITS if table_count(threshold, b, recall) <= TABLES), default=0)
+    if not most:
+        return exact_edges(unit, threshold)
+    hashed = written(hash_rows(unit, first["n"], most))
+    plan = table_plan(hashed, threshold, recall)
+    if plan is None:
+        return exact_edges(unit, threshold)
+    bits, tables, _ = plan
+    part = math.acos(min(1.0, threshold)) / math.pi
+    apart = int(SKETCH * part + 6 * math.sqrt(SKETCH * part * (1 - part)) + 3)
+    spread = hashed.select("k", "sketch", F.posexplode(F.slice("codes", 1, tables)).alias("t", "c")).select("k", "sketch", "t", (F.col("c") % (1 << bits)).alias("c"))
+    sizes = spread.groupBy("t", "c").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    homes = spread.join(sizes, ["t", "c"]).withColumn("i", F.pmod(F.xxhash64("k"), "parts").cast("int"))
+    # block i meets block j >= i: a row goes to (i, j) as a home and to (j, i) as another
+    cells = F.explode(F.expr("transform(sequence(0, parts - 1), j -> struct(least(i, j) AS lo, greatest(i, j) AS hi))"))
+    dealt = homes.select("t", "c", "k", "sketch", "i", cells.alias("p")).select("t", "c", "p.lo", "p.hi", "k", "sketch", "i")
+
+    def near(table: pa.Table) -> pa.Table:
+        keys, own = table.column("k").to_numpy(zero_copy_only=False), table.column("i").to_numpy()
+        words = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(len(keys), -1)
+        lo, hi = int(table.column("lo")[0].as_py()), int(table.column("hi")[0].as_py())
+        x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        a, b = [], []
+        for s in range(0, len(x), 256):
+            for t in range(0, len(y), 2048):
+                i, j = x[s : s + 256], y[t : t + 2048]
+                far = np.zeros((len(i), len(j)), np.int64)
+                for w in range(words.shape[1]):
+                    far += np.bitwise_count(words[i, w][:, None] ^ words[j, w][None, :])
+                p, q = np.nonzero(far <= apart)
+                u, v = keys[i[p]], keys[j[q]]
+                less = u < v
+                ok = less if lo == hi else u != v
+                a.append(np.where(less, u, v)[ok])
+                b.append(np.where(less, v, u)[ok])
+        typ = table.schema.field("k").type
+        cat = lambda z: pa.array(np.concatenate(z).tolist(), typ) if z else pa.array([], typ)
+        return pa.table({"a": cat(a), "b": cat(b)})
+
+    pairs = dealt.groupBy("t", "c", "lo", "hi").applyInArrow(near, f"a {kind}, b {kind}").distinct()
+    left, right = unit.select(F.col("k").alias("a"), F.col("v").alias("va")), unit.select(F.col("k").alias("b"), F.col("v").alias("vb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", dot(F.col("va"), F.col("vb")).alias("cos")).where(F.col("cos") >= threshold)
+
+
+#: Edges of a component that one task walks at a time.
+WALK = 2_000_000
+
+
+def greedy(keys: DataFrame, key: str, edges: DataFrame, walk: int = WALK) -> DataFrame:
     """Keys that a pass in ascending order keeps: a key stays unless a smaller key that stays is its neighbour.
 
-    Rounds over the edges alone: an open key without open smaller neighbours stays, its neighbours go.
-    Each round's edge table is written, which ends its lineage.
+    Components of the edges don't depend on each other: each is walked in order in a task, many small ones in one. Of a component
+    with more than `walk` edges one stretch of keys is walked after the other, given what the stretches before have dropped; only
+    such components need more than one round, and the length of a chain doesn't matter.
     """
-    open_ = written(edges.select("a", "b"))
-    dropped = None
-    while True:
-        lowest = open_.select(F.col("a").alias("n")).distinct().join(open_.select(F.col("b").alias("n")).distinct(), "n", "left_anti")
-        gone = written(open_.join(lowest, open_.a == lowest.n, "left_semi").select(F.col("b").alias("n")).distinct())
-        if gone.isEmpty():
-            break
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        done = gone.unionByName(lowest)
-        open_ = written(open_.join(done, open_.a == done.n, "left_anti").join(done, F.col("b") == done.n, "left_anti"))
+    root = components(edges)
+    placed = edges.select("a", "b").distinct().join(root, F.col("b") == root.node).select("root", "a", "b")
+    counts = placed.groupBy("root", "b").agg(F.count(F.lit(1)).alias("n"))
+    upto = written(running(counts, ["root", "b"], {"before": "n"}))
+    start = upto.groupBy("root").agg(F.min("before").alias("start"))
+    stretch = upto.join(start, "root").select("root", "b", F.floor((F.col("before") - F.col("start")) / walk).cast("int").alias("stretch"))
+    open_ = written(placed.join(stretch, ["root", "b"]))
+    rounds = open_.agg(F.coalesce(F.max("stretch") + 1, F.lit(0))).first()[0]
+    kind = edges.schema["b"].dataType.simpleString()
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges come by component, larger key and smaller key; one whose smaller key stays drops the larger."""
+        now, dropped = None, set()
+        for batch in batches:
+            out = []
+            for r, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if r != now:
+                    now, dropped = r, set()
+                if a not in dropped and b not in dropped:
+                    dropped.add(b)
+                    out.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field(2).type)], names=["n"])
+
+    gone = None
+    for i in range(rounds):
+        own = open_.where(F.col("stretch") == i).select("root", "a", "b")
+        if gone is not None:
+            own = own.join(gone, own.a == gone.n, "left_anti")
+        new = written(own.repartition("root").sortWithinPartitions("root", "b", "a").mapInArrow(walked, f"n {kind}"))
+        gone = new if gone is None else gone.unionByName(new)
     kept = keys.select(F.col(key).alias("n"))
-    return (kept if dropped is None else kept.join(dropped, "n", "left_anti")).select(F.col("n").alias(key))
+    return (kept if gone is None else kept.join(gone, "n", "left_anti")).select(F.col("n").alias(key))

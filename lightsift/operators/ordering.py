@@ -48,9 +48,10 @@ def row_numbers(df: DataFrame, order: list[Column | str], name: str) -> DataFram
 
 
 def value_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """(value, rank): for each value of the column one more than the number of rows with a greater one; ties share it."""
+    """(value, rank): for each value of the column one more than the number of rows with a greater one; ties share it.
+    Null is the least value of all."""
     by = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    return running(by, [F.desc(value)], {name: "_n"}).select(value, (F.col(name) + 1).alias(name))
+    return running(by, [F.desc_nulls_last(value)], {name: "_n"}).select(value, (F.col(name) + 1).alias(name))
 
 
 def quantiles(df: DataFrame, value: Column, shares: list[float]) -> DataFrame:

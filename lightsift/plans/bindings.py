@@ -51,7 +51,7 @@ _published: dict[tuple[str, str, str], str] = {}
 
 def published(spark: SparkSession, sf_dir: str) -> str:
     key = spark.sparkContext.applicationId, sf_dir, ",".join(snapshots.signature(spark, f"{sf_dir}/{t}.parquet") for t in ("events", "embeddings"))
-    if key not in _published:
+    if key not in _published or not snapshots.exists(spark, _published[key]):
         wide, close = prototypes(spark, sf_dir)
         root = scratch("run", spark)
         frames = written(shot_tags(ranked(cut(spark, sf_dir)), wide, close))

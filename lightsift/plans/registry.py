@@ -114,6 +114,19 @@ def bursts_table(spark, d):
     return X.run(spark, d).where("is_representative").select("burst_rank", "burst_id", "burst_size", "path", "shot_type", "subject_class", "is_hero", "score").orderBy("burst_rank", "path")
 
 
+HOLES = "holes AS (SELECT * REPLACE (CASE WHEN path % 7 = 0 OR burst_id % 5 = 0 THEN NULL ELSE score END AS score) FROM bursts)"
+
+
+@query("ranked_without_scores", f"""WITH {FRAMES}, {BURSTS}, {HOLES}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, path) AS rank, rank() OVER (ORDER BY score DESC NULLS LAST) AS score_rank,
+        row_number() OVER (PARTITION BY burst_id ORDER BY score DESC NULLS LAST, path) AS within_burst_rank, count(*) OVER (PARTITION BY burst_id) AS burst_size FROM holes),
+    b AS (SELECT burst_id, rank() OVER (ORDER BY score DESC NULLS LAST) AS burst_rank FROM r WHERE within_burst_rank = 1)
+    SELECT path, rank, score_rank, within_burst_rank, within_burst_rank = 1 AS is_representative, burst_size, burst_rank FROM r JOIN b USING (burst_id)""")
+def ranked_without_scores(spark, d):
+    """Frames and whole bursts without a score rank after all others; none is lost."""
+    run = X.bursts(spark, d).select("path", "burst_id", F.when((F.col("path") % 7 != 0) & (F.col("burst_id") % 5 != 0), F.col("score")).alias("score"))
+    return BU.ranked(run).select("path", "rank", "score_rank", "within_burst_rank", "is_representative", "burst_size", "burst_rank")
+
+
 # --- pages ------------------------------------------------------------------------------------
 PAGE_COLS = ["path", "score", "burst_id", "burst_rank", "within_burst_rank", "shot_type", "subject_class", "is_hero", "n_picks", "mine", "others", "owners"]
 ORDER_SQL = {"rank": "score DESC, path", "time": "captured_at ASC NULLS LAST, within_burst_rank, rank", "stars": "n_picks DESC, score DESC, path"}
@@ -291,6 +304,31 @@ def near_dup_greedy(spark, d):
     return D.greedy(v, "vec_id", written(edges(spark, d)))
 
 
+NUDGED = """nudged AS (SELECT 2 * vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings
+    UNION ALL SELECT 2 * vec_id + 1, list_prepend(embedding[1]::DOUBLE + 0.002::DOUBLE * (vec_id % 40), embedding[2:]::DOUBLE[]) FROM embeddings),
+    tight AS (SELECT a.k AS a, b.k AS b FROM nudged a JOIN nudged b ON a.k < b.k AND list_cosine_similarity(a.v, b.v) >= 0.9995)"""
+
+
+def nudged(spark, d):
+    """The given vectors and a slightly changed one of each."""
+    v = X.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    other = F.transform("v", lambda x, i: x + F.when(i == 0, 0.002 * (F.col("vec_id") % 40)).otherwise(0.0))
+    return v.select((2 * F.col("vec_id")).alias("k"), "v").unionByName(v.select((2 * F.col("vec_id") + 1).alias("k"), other.alias("v")))
+
+
+@query("look_alikes", f"WITH {NUDGED} SELECT a, b FROM tight")
+def look_alikes(spark, d):
+    return D.alike_edges(nudged(spark, d), "k", "v", D.ALIKE, recall=0.9999).select("a", "b")
+
+
+@query("look_alikes_kept", f"""WITH RECURSIVE {NUDGED}, w(step, k, open) AS (SELECT 0, k, list(a) FILTER (a IS NOT NULL) FROM nudged LEFT JOIN tight ON b = k GROUP BY k),
+    nb AS (SELECT k, coalesce(open, []) AS ns FROM w), walk(i, gone) AS (SELECT -1::BIGINT, []::BIGINT[] UNION ALL SELECT nb.k, CASE WHEN len(list_filter(nb.ns, x -> NOT list_contains(walk.gone, x))) > 0 THEN list_append(walk.gone, nb.k) ELSE walk.gone END FROM walk JOIN nb ON nb.k = walk.i + 1)
+    SELECT k FROM nudged WHERE NOT list_contains((SELECT gone FROM walk ORDER BY i DESC LIMIT 1), k)""")
+def look_alikes_kept(spark, d):
+    v = nudged(spark, d)
+    return D.greedy(v, "k", written(D.alike_edges(v, "k", "v", D.ALIKE, recall=0.9999)))
+
+
 @query("train_dedup", "SELECT sha1(d.text) AS sha1, min(d.doc_id) AS path, max(quality) AS y FROM documents d JOIN labels USING (doc_id) GROUP BY ALL")
 def train_dedup(spark, d):
     rows = X.table(spark, d, "documents").join(X.table(spark, d, "labels"), "doc_id").select(F.sha1(F.col("text").cast("binary")).alias("sha1"), F.col("doc_id").alias("path"), F.col("quality").alias("y"))

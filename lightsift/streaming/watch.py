@@ -159,7 +159,7 @@ class Watcher:
             except Exception as e:  # noqa: BLE001  one bad pass must not end the watch
                 self.last_error = f"{type(e).__name__}: {e}"
             if self.clock() - self.last_new > self.stop_after:
-                self.last_error = "stopped: no new photos for a long time"
+                self.last_error = "watch ended: nothing arrived"
                 return self.last_error
             wait(self.interval())
         return "cancelled"
