@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lightsift.functions import face as G
 from lightsift.operators import browse as B
 from lightsift.operators import downloads as DL
+from lightsift.operators import incremental as I
 from lightsift.operators import picks as P
 from lightsift.operators import runs as R
 from lightsift.session import written
@@ -15,7 +16,7 @@ from lightsift.sources import features as FE
 from lightsift.streaming import watch as W
 
 from . import bindings as X
-from .registry import ALL, LISTINGS, ME, OLD, ORACLES, PICKS, QUERIES, files_of, old_manifest, query
+from .registry import ALL, BURSTS, COLS, FRAMES, LISTINGS, ME, OLD, ORACLES, PICKS, QUERIES, RANKED, files_of, old_manifest, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -207,3 +208,16 @@ def watch_states(spark, d):
     for tick in range(5):
         w.tick(ls.where(c("tick") == tick))
     return written(w.state()).select(c("path").cast("long").alias("path"), "size", "mtime", "since", "status")
+
+
+# --- a run that follows its folder -------------------------------------------------------------
+@query("incremental_run", f"WITH {FRAMES}, {BURSTS}, {RANKED} SELECT {', '.join(COLS)} FROM ranked")
+def incremental_run(spark, d):
+    """All frames in two batches, the second of which also takes back and gives again some of the first: as if derived at once."""
+    root, c = X.scratch("follow", spark), F.col
+    frames = written(X.frames(spark, d).select("path", "camera_id", "captured_at", "emb", "score"))
+    gaps = (X.SHORT, X.LONG, X.ALIKE)
+    early = frames.where(c("path") % 10 != 3).withColumn("score", F.when(c("path") % 50 == 0, c("score") + 1).otherwise(c("score")))
+    I.update_run(spark, root, early, gaps=gaps)
+    I.update_run(spark, root, frames.where((c("path") % 10 == 3) | (c("path") % 50 == 0)), gaps=gaps)
+    return I.read_run(spark, root, frames).select(*COLS)
