@@ -35,7 +35,14 @@ OUTSIDE = frozenset("nav footer aside header dialog menu".split())
 #: Whole tokens of class, id and role. Part of a longer token says little: has-sidebar, page-with-comments, social-science.
 NAME = r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:s|bar|menu|igation)?|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget"
 OUTSIDE_NAMES = re.compile(rf"(?:(?:site|page|global)[-_])?(?:{NAME})|(?:{NAME})[-_](?:area|list|section|box|bar|banner|links?|buttons?|icons?|posts?|signup|form|popup|modal|slot|unit|menu)", re.I)
-COMMENTS = re.compile(r"comments?(?:[-_].*)?|disqus", re.I)
+#: Words of such tokens (between - and _) that name a box whatever stands beside them, unless a word says that the token only tells of one.
+BOXES = frozenset("ad ads adsbygoogle adslot advert adverts advertisement advertising advertorial breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer menu modal nav navbar navigation newsletter notice popup promo promotion respond sidebar sponsor sponsored subscribe".split())
+TELLING = frozenset("has have with without no not page hide".split())
+COMMENTS = frozenset("comment comments disqus respond".split())
+#: Landmarks that are no part of an article.
+ROLES = frozenset("banner complementary contentinfo navigation search".split())
+PARTS = re.compile(r"[-_]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key ends an open element of its values.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}} | {t: {"p"} for t in BLOCKS - {"li", "dt", "dd", "td", "th", "tr", "option", "html", "body"}}
@@ -54,7 +61,7 @@ SHORT, LONG, LINKED = 70, 140, 0.33
 #: A page whose running text holds a smaller share of stop words is in none of their languages; blocks of fewer words tell nothing.
 UNLISTED, FEW = 0.08, 8
 STOP_LOW, STOP_HIGH = 0.10, 0.20
-GOOD, BAD, NEAR, OPEN = "good", "bad", "near", "open"
+GOOD, BAD, NEAR, OPEN, LINKS = "good", "bad", "near", "open", "links"
 
 
 class Block:
@@ -71,7 +78,7 @@ class Block:
 
     def first_pass(self) -> str:
         if self.linked > LINKED * self.size:
-            return BAD
+            return LINKS if self.scope and self.size < LONG else BAD
         if not self.text.isascii():
             self.size += 2 * len(DENSE.findall(self.text))
             if 2 * len(BEYOND.findall(self.text)) > sum(map(len, WORD.findall(self.text))):
@@ -94,6 +101,12 @@ class Wrapper:
         self.comments, self.main, self.article, self.good = comments, False, False, 0
 
 
+def box_words(name: str) -> frozenset[str]:
+    """The words of a token of class, id or role if it names a box that is no part of the article, else none."""
+    words = frozenset(PARTS.split(name.lower()))
+    return words if OUTSIDE_NAMES.fullmatch(name) or words & BOXES and not words & TELLING else frozenset()
+
+
 def attributes(raw: str) -> dict[str, str]:
     """Attributes of a start tag by lower-case name; the first of a name counts, one without a value is ''."""
     out: dict[str, str] = {}
@@ -138,7 +151,7 @@ def settle(found: list[Block], wrappers: list[Wrapper], articles: list[tuple[int
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order. scope: number of the article or main element around a block, 0 outside of any."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, in a part that is no article, scope, wrappers around
+    stack: list[tuple[str, bool, int, tuple[int, ...], bool]] = []  # tag, in a part that is no article, scope, wrappers around, in an article's header
     wrappers: list[Wrapper] = []
     articles: list[tuple[int, ...]] = []  # the wrappers around each article or main element
     parts: list[str] = []
@@ -208,10 +221,14 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
             stack.pop()
-        inner = stack[-1] if stack else ("", False, 0, ())
+        inner = stack[-1] if stack else ("", False, 0, (), False)
         attrs = attributes(m[4]) if m[4] else {}
         outside = inner[1] or tag in OUTSIDE or hidden(attrs)
         scope, within = inner[2], inner[3]
+        # of an article's header its headings are text
+        titles = (tag == "header" and scope > 0 and not inner[1] or inner[4] and tag not in OUTSIDE) and not hidden(attrs)
+        if inner[4] and titles and tag in HEADINGS:
+            outside = False
         if tag in ("article", "main"):
             if not outside:
                 scopes += 1
@@ -221,12 +238,12 @@ def blocks(page: str) -> list[Block]:
                     wrappers[w].article = True
                     wrappers[w].main |= tag == "main"
         elif tag not in ("body", "html"):
-            names = [x for a in ("class", "id", "role") for x in attrs.get(a, "").split() if OUTSIDE_NAMES.fullmatch(x)]
-            if names or tag == "form":
+            names = [w for a in ("class", "id", "role") for x in attrs.get(a, "").split() if (w := box_words(x))]
+            if names or tag == "form" or attrs.get("role", "").strip().lower() in ROLES:
                 within = (*within, len(wrappers))
-                wrappers.append(Wrapper(any(COMMENTS.fullmatch(x) for x in names)))
+                wrappers.append(Wrapper(any(w & COMMENTS for w in names)))
         if tag not in VOID:
-            stack.append((tag, outside, scope, within))
+            stack.append((tag, outside, scope, within, titles))
         heading = tag[0] == "h" and tag[1:].isdigit()
     if not unseen:
         add(page[at:])
@@ -239,24 +256,37 @@ def blocks(page: str) -> list[Block]:
 def main_text(page: str) -> str:
     """Text of the blocks that the two passes call good, joined by an empty line."""
     found = blocks(page)
+    for b, good in [(b, between_good(found, i)) for i, b in enumerate(found) if b.label == LINKS]:
+        b.label = f"inherited {GOOD}" if good else BAD
     for i, b in enumerate(found):
         if b.label in (NEAR, OPEN):
             b.label = second_pass(found, i)
     return "\n\n".join(b.text for b in found if b.label.endswith(GOOD))
 
 
+def between_good(found: list[Block], i: int) -> bool:
+    """Whether a short block of links of an article stands between good ones: its nearest decided neighbours there are both good."""
+    for step in (-1, 1):
+        j = i + step
+        while 0 <= j < len(found) and (found[j].label not in (GOOD, BAD) or found[j].scope != found[i].scope):
+            j += step
+        if not (0 <= j < len(found) and found[j].label == GOOD):
+            return False
+    return True
+
+
 def second_pass(found: list[Block], i: int) -> str:
     """An undecided block takes the label of the nearest decided neighbour on either side inside its article.
 
     Where the neighbours differ the nearer one counts; at equal distance, and where nothing is decided,
     near-good blocks, headings and blocks of an article are good. Labels given here are marked as
-    inherited, so they decide no other block.
+    inherited, so they decide no other block. A heading of an article doesn't ask the boxes beside it.
     """
     own = found[i]
     sides = []
     for step in (-1, 1):
         j = i + step
-        while 0 <= j < len(found) and (found[j].label not in (GOOD, BAD) or found[j].scope != own.scope):
+        while 0 <= j < len(found) and (found[j].label not in (GOOD, BAD) or found[j].scope != own.scope or own.heading and own.scope and found[j].outside):
             j += step
         sides.append((abs(j - i), found[j].label) if 0 <= j < len(found) else None)
     known = sorted(s for s in sides if s)
@@ -276,7 +306,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """id, the `keep` columns and text (main text, '' if there is none) of each page; null html counts as empty.
 
     One row per input row, also of repeated rows and null ids; columns not named are ignored, whatever
-    they are called. Pages are parsed whole where they are read; nothing is shuffled.
+    they are called. Pages of any length are parsed whole where they are read, in time proportional to it, and nothing is shuffled.
     """
     chosen = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), *[F.col(f"`{c}`").cast("string").alias(c) for c in keep], F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
