@@ -344,6 +344,20 @@ def test_html_keeps_short_linked_blocks():
     assert main_text("<article><p>%s</p><p>Read <a href=x>the whole report</a></p></article>" % GOOD_TEXT) == GOOD_TEXT
 
 
+BOXES = ["class=cookie-notice", "class=left-sidebar", "class=sidebar-left", "class=main-navigation", "class=google-ad", "class=ad-container", "class=adsbygoogle", "class=newsletter-wrapper", "class=comment-body", "class=user-comment", "id=cookie-consent", "id=respond", "role=complementary", "role=contentinfo", "role=search", "role=navigation", "role=banner"]
+
+
+def test_html_boxes_leave_and_the_article_stays(spark):
+    box = "<div %s><p>" + GOOD_TEXT.replace("cat", "hen") + "</p></div>"
+    title = "<header><h1>A title</h1><p>by the one who wrote all of it for the paper</p></header>"
+    linked = "<p>See <a href=x>the long report on the state of rivers</a> now.</p><ul><li><a href=y>The list</a></li></ul>"
+    pages = [(i, f"<article>{title}<p>{GOOD_TEXT}</p>{linked}<p>{GOOD_TEXT}</p></article>{box % b}") for i, b in enumerate(BOXES)]
+    pages += [(100 + i, f"{box % b}<div><p>{GOOD_TEXT} It is so.</p></div>") for i, b in enumerate(BOXES)]
+    got = {r.id: r.text for r in extract_text(spark.createDataFrame([(i, "u", p) for i, p in pages], "page_id long, url string, html string")).collect()}
+    article = "\n\n".join(["A title", GOOD_TEXT, "See the long report on the state of rivers now.", "The list", GOOD_TEXT])
+    assert got == {i: article if i < 100 else f"{GOOD_TEXT} It is so." for i, _ in pages}
+
+
 def test_html_raw_text_and_broken_markup():
     for page in (
         "<script>for(i=0;i<n;i++){x()}</script><article><p>%s</p></article>",
