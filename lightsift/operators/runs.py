@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lightsift.functions import scalars as S
+from lightsift.sources import commits
+from lightsift.sources.snapshots import _fs
+
 FIELDS = ["name", "folder", "status", "created_at", "n_images", "message"]
 #: One row per change: seq orders them; op is create, update or delete; null fields of an update keep their value.
 LOG = "run_id long, seq long, op string, name string, folder string, status string, created_at timestamp_ntz, n_images long, message string"
@@ -61,3 +68,76 @@ def may_delete(runs: DataFrame, root: str, busy: list[int] | None = None) -> Dat
     home = F.lit(root.rstrip("/"))
     inside = folder.startswith(F.concat(home, F.lit("/"))) & ~F.col("folder").rlike(r"(^|/)\.\.(/|$)") & ~F.col("folder").startswith("/")
     return runs.withColumn("refusal", F.when(F.col("run_id").isin(busy or []), "busy").when((folder == home) | F.coalesce(F.trim("folder"), F.lit("")).isin("", "."), "no_folder").when(~inside, "outside"))
+
+
+# --- a stored log ------------------------------------------------------------------------------
+def stored_log(spark: SparkSession, root: str) -> DataFrame:
+    """The log (see LOG) that `commit` appends to under root."""
+    if not commits.numbers(spark, root):
+        return spark.createDataFrame([], LOG)
+    return spark.read.schema(LOG).option("pathGlobFilter", "*.json").json(root)
+
+
+def commit(spark: SparkSession, root: str, run_id: int | None, op: str, check: Callable[[DataFrame], None] = lambda runs: None, **fields: object) -> int:
+    """Append one change of one run; of writers at the same time each gets its own place in the order. Returns the run's number.
+
+    A run is created with the number after all that were ever given (run_id None). Changing a run that isn't there is an error.
+    check gets the runs as they are just before the change and may raise; it is asked again whenever another writer came first.
+    """
+    if op == "create" and "folder" not in fields:
+        fields["folder"] = None  # named after the number
+
+    def make(n: int) -> dict:
+        log = stored_log(spark, root)
+        check(runs := current(log))
+        own = next_id(log).first()["run_id"] if run_id is None else run_id
+        if op != "create" and runs.where(F.col("run_id") == own).isEmpty():
+            raise KeyError(f"no run {own}")
+        row = change(log, own, op, **fields).withColumn("seq", F.lit(n).cast("long"))
+        if op == "create" and fields["folder"] is None:
+            row = row.withColumn("folder", S.folder_name(F.col("run_id"), F.coalesce("name", F.lit(""))))
+        return {k: v if v is None or isinstance(v, (int, str)) else v.isoformat() for k, v in row.first().asDict().items()}
+
+    return commits.append(spark, root, make)[1]["run_id"]
+
+
+def reporter(spark: SparkSession, root: str, run_id: int) -> Callable[[int, str], None]:
+    """A progress callback that records status and message of a run; 100 percent makes it ready."""
+
+    def report(percent: int, message: str) -> None:
+        commit(spark, root, run_id, "update", status="ready" if percent >= 100 else "running", message=message[:500])
+
+    return report
+
+
+class Refused(Exception):
+    """A run that may not be deleted; says why."""
+
+
+def delete_run(spark: SparkSession, root: str, runs_root: str, run_id: int, busy: list[int] | None = None) -> None:
+    """Delete a run's folder and record that, if the guards of `may_delete` allow it and the folder holds something.
+
+    The folder is first moved aside, by one rename; if the record can't be written it is moved back. So a refused or failed
+    deletion leaves files and log as they were.
+    """
+    def allowed(runs: DataFrame) -> str:
+        row = may_delete(runs, runs_root, busy).where(F.col("run_id") == run_id).first()
+        if row is None:
+            raise Refused("no such run")
+        if row["refusal"]:
+            raise Refused(row["refusal"])
+        return f"{runs_root.rstrip('/')}/{row['folder']}"
+
+    home = allowed(current(stored_log(spark, root)))
+    fs, of = _fs(spark, home)
+    if not fs.exists(of(home)) or not fs.listStatus(of(home)):
+        raise Refused("no_files")
+    aside = f"{runs_root.rstrip('/')}/.deleted-{uuid.uuid4().hex}"
+    if not fs.rename(of(home), of(aside)):
+        raise OSError(f"{home} can't be moved")
+    try:
+        commit(spark, root, run_id, "delete", check=allowed)
+    except BaseException:
+        fs.rename(of(aside), of(home))
+        raise
+    fs.delete(of(aside), True)

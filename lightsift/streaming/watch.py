@@ -1,25 +1,31 @@
 """Watched folder: files count once they stay unchanged for some listings; each batch derives the run anew.
 
-What is known of each path lives in a table, one immutable generation per step, so the rule holds across
-micro-batches, restarts and repeated batches.
+What is known of each path is a base table and the changes since, one small table per step, so what a step writes follows
+what changed and not what is known. A log entry names the tables, the last listing and the counts by status; the rule holds
+across micro-batches, restarts and repeated batches, and reporting starts no job.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lightsift.sources import snapshots
+from lightsift.sources import commits
 from lightsift.sources.images import scan_images
+from lightsift.sources.snapshots import _fs
 
 STABLE_TICKS = 2
 #: path, its last signature, the listing since which that holds, the last listing with it, and
 #: pending (still arriving), ready (waits for the next batch), known (part of the run) or unusable (can't be decoded).
 STATE = "path string, size long, mtime long, since long, tick long, status string"
+STATUS = ("pending", "ready", "known", "unusable")
+#: A stored change: the state of a path after a step, status null if it is gone. All paths of a state have the last listing's tick.
+CHANGE = "path string, size long, mtime long, since long, status string"
 
 
 def listing(spark: SparkSession, root: str, tick: int) -> DataFrame:
@@ -68,8 +74,9 @@ def manifest(listings: DataFrame, stable_ticks: int = STABLE_TICKS) -> DataFrame
 class Watcher:
     """Decides when and what to ingest; `ingest(files)` gets known and ready files and returns False to decline.
 
-    root holds the generations of the state. ingest must replace the run's outputs as a whole (see
+    root holds the state: its log, base and changes. ingest must replace the run's outputs as a whole (see
     snapshots.publish): a batch that failed or was declined stays ready, and is given again with later arrivals.
+    After compact_every changes the state is written as a new base.
     """
 
     spark: SparkSession
@@ -82,6 +89,7 @@ class Watcher:
     scan_idle: float = 30.0
     idle_after: float = 600.0
     stop_after: float = 6 * 3600.0
+    compact_every: int = 16
     clock: Callable[[], float] = time.time
     progress: Callable[[dict], None] | None = None
     cancelled: Callable[[], bool] = lambda: False
@@ -94,43 +102,96 @@ class Watcher:
     def __post_init__(self) -> None:
         self.last_new = self.clock()
 
-    def state(self) -> DataFrame:
-        if not snapshots.current(self.spark, self.root):
-            return self.spark.createDataFrame([], STATE)
-        return snapshots.read(self.spark, self.root, "state")
+    def entry(self) -> dict:
+        """The last log entry: tables of the state (base first), last tick and counts."""
+        n = (commits.numbers(self.spark, f"{self.root}/log") or [None])[-1]
+        return {"tables": [], "tick": -1, "counts": {}} if n is None else commits.read(self.spark, f"{self.root}/log", n)
 
-    def last_tick(self) -> int:
-        return self.state().agg(F.coalesce(F.max("tick"), F.lit(-1))).first()[0]
+    def state(self, entry: dict | None = None) -> DataFrame:
+        """The state after the last step: of each path the last of its stored changes."""
+        e = entry or self.entry()
+        out = self.spark.createDataFrame([], CHANGE).withColumn("_n", F.lit(0))
+        for i, name in enumerate(e["tables"]):
+            out = out.unionByName(self.spark.read.schema(CHANGE).parquet(f"{self.root}/{name}").withColumn("_n", F.lit(i)))
+        last = out.groupBy("path").agg(F.max_by(F.struct("size", "mtime", "since", "status"), "_n").alias("s")).select("path", "s.*").where("status IS NOT NULL")
+        return last.select("path", "size", "mtime", "since", F.lit(e["tick"]).cast("long").alias("tick"), "status")
 
-    def publish(self, state: DataFrame) -> None:
-        snapshots.publish(self.spark, self.root, {"state": state})
+    def last_tick(self) -> int:
+        return self.entry()["tick"]
+
+    def write(self, before: dict, changes: DataFrame, tick: int) -> dict[str, int]:
+        """Store changes (with status and was, the status before) and log the step; what was counted while writing."""
+        name, seen = f"change-{uuid.uuid4().hex}", Observation()
+        count = [F.count_if(F.col(c) == s).alias(f"{c}_{s}") for c in ("status", "was") for s in STATUS]
+        fresh = F.count_if(F.col("status").isin("pending", "ready") & (F.col("fresh"))).alias("fresh")
+        observed = changes.observe(seen, *count, fresh, F.count(F.lit(1)).alias("n"))
+        observed.select("path", "size", "mtime", "since", "status").write.parquet(f"{self.root}/{name}")
+        got = {k: v or 0 for k, v in seen.get.items()}
+        counts = {s: before["counts"].get(s, 0) + got[f"status_{s}"] - got[f"was_{s}"] for s in STATUS}
+        tables = [*before["tables"], name] if got["n"] else before["tables"]
+        if not got["n"]:
+            fs, path = _fs(self.spark, self.root)
+            fs.delete(path(f"{self.root}/{name}"), True)
+        self.log({"tables": tables, "tick": tick, "counts": counts})
+        return got
+
+    def log(self, entry: dict) -> None:
+        """One watcher writes this log: an entry is a step of it. The last few are kept."""
+        n, _ = commits.append(self.spark, f"{self.root}/log", lambda n: entry)
+        fs, path = _fs(self.spark, self.root)
+        for old in commits.numbers(self.spark, f"{self.root}/log"):
+            if old < n - 4:
+                fs.delete(path(commits.entry_path(f"{self.root}/log", old)), False)
+        if len(entry["tables"]) > self.compact_every:
+            self.compact(entry)
+
+    def compact(self, entry: dict) -> None:
+        """Write the state as a new base; the tables that only older entries name, and those entries, are deleted."""
+        name = f"base-{uuid.uuid4().hex}"
+        self.state(entry).drop("tick").write.parquet(f"{self.root}/{name}")
+        n, _ = commits.append(self.spark, f"{self.root}/log", lambda n: entry | {"tables": [name]})
+        fs, path = _fs(self.spark, self.root)
+        for table in entry["tables"]:
+            fs.delete(path(f"{self.root}/{table}"), True)
+        for old in commits.numbers(self.spark, f"{self.root}/log"):
+            if old < n:
+                fs.delete(path(commits.entry_path(f"{self.root}/log", old)), False)
 
     def scan(self, listings: DataFrame) -> None:
         """Take listings into the state; those it has already seen (a batch given again) are left out."""
-        before = self.state()
-        new = listings.where(F.col("tick") > self.last_tick())
-        if new.isEmpty():
+        before = self.entry()
+        new = listings.where(F.col("tick") > before["tick"])
+        end = new.agg(F.max("tick")).first()[0]
+        if end is None:
             return
-        self.publish(step(before, new, self.usable, self.stable_ticks))
-        after = self.state()
-        moved = after.join(before.select("path", "since", "status"), ["path", "since", "status"], "left_anti")
-        if not moved.where("status IN ('pending', 'ready')").isEmpty():
+        state = self.state(before)
+        after = step(state, new, self.usable, self.stable_ticks)
+        old = state.select("path", *[F.col(c).alias(f"_{c}") for c in ("size", "mtime", "since")], F.col("status").alias("was"))
+        both = after.drop("tick").join(old, "path", "full")
+        same = F.col("status").eqNullSafe(F.col("was")) & F.col("size").eqNullSafe(F.col("_size")) & F.col("mtime").eqNullSafe(F.col("_mtime")) & F.col("since").eqNullSafe(F.col("_since"))
+        if self.write(before, both.where(~same).withColumn("fresh", F.lit(True)), end)["fresh"]:
             self.last_new = self.clock()
 
+    def empty(self) -> None:
+        """The folder has no file any more: forget all."""
+        self.log({"tables": [], "tick": self.last_tick(), "counts": {}})
+
     def maybe_ingest(self) -> bool:
         """Run a batch if any file is ready and the last attempt is `cooldown` seconds ago."""
-        state, now = self.state(), self.clock()
-        n = state.where("status = 'ready'").count()
+        before, now = self.entry(), self.clock()
+        n = before["counts"].get("ready", 0)
         if not n or now - self.last_attempt < self.cooldown or self.cancelled():
             return False
         self.last_attempt = now
+        state = self.state(before)
         try:
             if self.ingest(state.where("status IN ('known', 'ready')").select("path", "size", "mtime")) is False:
                 return False
         except Exception as e:  # noqa: BLE001  the watch goes on; the error is reported and the files stay ready
             self.last_error = f"{type(e).__name__}: {e}"
             return False
-        self.publish(state.withColumn("status", F.when(F.col("status") == "ready", "known").otherwise(F.col("status"))))
+        taken = state.where("status = 'ready'").select("path", "size", "mtime", "since", F.lit("known").alias("status"), F.lit("ready").alias("was"), F.lit(False).alias("fresh"))
+        self.write(before, taken, before["tick"])
         self.last_error, self.last_ingest, self.n_ingested = "", now, self.n_ingested + n
         return True
 
@@ -141,8 +202,9 @@ class Watcher:
             self.progress(self.status())
 
     def status(self) -> dict:
-        by = {r["status"]: r["n"] for r in self.state().groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
-        return {f"n_{s}": by.get(s, 0) for s in ("pending", "ready", "known", "unusable")} | {"n_ingested": self.n_ingested, "last_ingest": self.last_ingest, "last_error": self.last_error, "idle_seconds": self.clock() - self.last_new, "scan_interval": self.interval()}
+        """From the last log entry: starts no job."""
+        by = self.entry()["counts"]
+        return {f"n_{s}": by.get(s, 0) for s in STATUS} | {"n_ingested": self.n_ingested, "last_ingest": self.last_ingest, "last_error": self.last_error, "idle_seconds": self.clock() - self.last_new, "scan_interval": self.interval()}
 
     def interval(self) -> float:
         """Seconds to the next listing: longer after a quiet while; a file at first sight ends that."""
@@ -153,8 +215,8 @@ class Watcher:
         while not self.cancelled():
             try:
                 now = listing(self.spark, folder, self.last_tick() + 1)
-                if now.isEmpty() and not self.state().isEmpty():
-                    self.publish(self.spark.createDataFrame([], STATE))  # the folder was emptied
+                if now.isEmpty() and self.entry()["tables"]:
+                    self.empty()
                 self.tick(now)
             except Exception as e:  # noqa: BLE001  one bad pass must not end the watch
                 self.last_error = f"{type(e).__name__}: {e}"
