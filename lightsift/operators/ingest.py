@@ -45,10 +45,11 @@ def bursts_table(run: DataFrame) -> DataFrame:
     return run.where("is_representative").select(*cols).orderBy("burst_rank", "path")
 
 
-def ingest(spark: SparkSession, root: str, frames: DataFrame, progress: Callable[[int, str], None] = lambda percent, message: None, **options: object) -> int:
+def ingest(spark: SparkSession, root: str, frames: DataFrame, progress: Callable[[int, str], None] = lambda percent, message: None, encoder: str | None = None, text_tower: bool = True, **options: object) -> int:
     """Derive the run anew from all its frames and publish it as the next generation, whose number is returned.
 
-    No frame, or a failure anywhere, leaves the generation before as it is. Times already known are taken from there.
+    No frame, or a failure anywhere, leaves the generation before as it is. Times already known are taken from there. With an
+    encoder's id the search index has it beside itself, and there is none without a text tower or where a frame lacks its vector.
     """
     if frames.isEmpty():
         raise ValueError("no frames to ingest")
@@ -56,6 +57,13 @@ def ingest(spark: SparkSession, root: str, frames: DataFrame, progress: Callable
     progress(5, "Deriving the run")
     run = written(derived(frames, prior=prior, **options))
     progress(90, "Writing outputs")
-    version = snapshots.publish(spark, root, {"frames": run, "bursts": bursts_table(run), "index": run.select("path", "emb"), "thresholds": thresholds(run)})
+    counts = run.agg(F.count(F.lit(1)).alias("n_frames"), F.count_distinct("burst_id").alias("n_bursts"), F.count_if(F.col("emb").isNull()).alias("n_missing"), F.coalesce(F.max(F.size("emb")), F.lit(0)).alias("dim")).first()
+    tables = {"frames": run, "bursts": bursts_table(run), "thresholds": thresholds(run)}
+    if encoder is None:
+        tables["index"] = run.select("path", "emb")
+    elif text_tower and not counts["n_missing"]:
+        tables["index"] = run.select("path", "emb")
+        tables["meta"] = spark.createDataFrame([(encoder, "emb_full", counts["dim"], counts["n_frames"])], "context_encoder string, kind string, dim int, n long")
+    version = snapshots.publish(spark, root, tables, {k: counts[k] for k in ("n_frames", "n_bursts")})
     progress(100, f"Done: version {version}")
     return version

@@ -99,9 +99,39 @@ def burst_detail_time(spark, d):
     return B.burst_detail(run, 20, sort="time", known=X.known(spark, d)).select("burst_id", "path", pos.alias("pos"))
 
 
-@query("starred_by_time", f"{ALL} SELECT r.path, burst_rank, n_picks, mine FROM run r JOIN flags f ON r.path = f.path WHERE mine ORDER BY captured_at NULLS LAST, r.path LIMIT 300")
+@query("starred_by_time", f"{ALL} SELECT r.path, burst_rank, n_picks, mine FROM run r JOIN flags f ON r.path = f.path WHERE mine")
 def starred_by_time(spark, d):
-    return P.starred(X.run(spark, d), X.picks(spark, d), "mine", ME, "time").limit(300).select("path", "burst_rank", "n_picks", "mine")
+    return P.starred(X.run(spark, d), X.picks(spark, d), "mine", ME, "time").select("path", "burst_rank", "n_picks", "mine")
+
+
+@query("starred_filtered", f"{ALL} SELECT r.path, burst_rank, within_burst_rank, n_picks FROM run r JOIN flags f ON r.path = f.path WHERE mine AND shot_type IN ('wide', 'close') AND subject_class = 'people' AND score IS NOT NULL")
+def starred_filtered(spark, d):
+    """My picks among close and wide shots of people, in the default order; no quality cut applies."""
+    only = B.BrowseQuery(shot="wide,close", subject="people").matching
+    return P.starred(X.run(spark, d), X.picks(spark, d), "mine", ME, matching=only).select("path", "burst_rank", "within_burst_rank", "n_picks")
+
+
+WISHES = "w AS (SELECT o_orderkey % (2 * (SELECT count(*) FROM events)) AS path, CAST(o_custkey % 5 AS VARCHAR) AS viewer, o_orderkey % 3 <> 0 AS wanted, o_orderkey AS seq FROM orders)"
+
+
+@query("picks_accepted", f"WITH {WISHES} SELECT path, viewer, wanted, seq, path IN (SELECT event_id FROM events) AS ok FROM w")
+def picks_accepted(spark, d):
+    n = X.table(spark, d, "events").agg((2 * F.count(F.lit(1))).alias("n"))  # one row
+    o = X.table(spark, d, "orders").crossJoin(F.broadcast(n))
+    wishes = o.select((F.col("o_orderkey") % F.col("n")).alias("path"), (F.col("o_custkey") % 5).cast("string").alias("viewer"), (F.col("o_orderkey") % 3 != 0).alias("wanted"), F.col("o_orderkey").alias("seq"))
+    return P.accepted(wishes, X.table(spark, d, "events").select(F.col("event_id").alias("path")))
+
+
+@query("clear_mine_count", f"WITH {PICKS} SELECT count(*) FILTER (viewer = '1') AS n_cleared FROM picks")
+def clear_mine_count(spark, d):
+    return P.cleared_count(X.picks(spark, d), ME)
+
+
+@query("names_by_last_write", "SELECT viewer, nullif(substr(trim(name), 1, 40), '') AS name FROM (SELECT CAST(c_custkey % 7 AS VARCHAR) AS viewer, arg_max(CASE WHEN c_custkey % 11 = 0 THEN '  ' ELSE ' ' || c_name || ' ' END, c_custkey) AS name FROM customer GROUP BY ALL) WHERE trim(name) <> ''")
+def names_by_last_write(spark, d):
+    c = F.col("c_custkey")
+    log = X.table(spark, d, "customer").select((c % 7).cast("string").alias("viewer"), F.when(c % 11 == 0, "  ").otherwise(F.concat(F.lit(" "), "c_name", F.lit(" "))).alias("name"), F.lit(0).alias("ts"), c.alias("seq"))
+    return P.latest_names(log)
 
 
 @query("browse_second_page", f"""{ALL} SELECT path, burst_rank FROM run WHERE is_representative ORDER BY score DESC, path LIMIT 50 OFFSET 50""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,11 @@ def current(spark: SparkSession, root: str) -> int:
     return (versions(spark, root) or [0])[-1]
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame] | Callable[[str], None]) -> int:
-    """Write all tables of the next generation, then make it current; a failure leaves the old one. Keeps two."""
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame] | Callable[[str], None], counts: dict[str, int] | None = None) -> int:
+    """Write all tables of the next generation, then make it current; a failure leaves the old one. Keeps two.
+
+    The marker file that makes it current holds the counts, see `poll`.
+    """
     fs, path = _fs(spark, root)
     v = next_version(current(spark, root))
     home = f"{root}/gen={v}"
@@ -58,7 +62,9 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame] | Calla
             df.write.parquet(f"{home}/{name}")
     fs.mkdirs(path(f"{root}/{POINTER}"))
     staged = path(f"{root}/{POINTER}/.{v}")
-    fs.create(staged, True).close()
+    out = fs.create(staged, True)
+    out.write(bytearray(json.dumps(counts or {}).encode()))
+    out.close()
     if not fs.rename(staged, path(f"{root}/{POINTER}/{v}")):
         raise OSError(f"version {v} can't be published")
     for old in versions(spark, root)[:-2]:
@@ -67,6 +73,20 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame] | Calla
     return v
 
 
+def poll(spark: SparkSession, root: str) -> dict[str, int]:
+    """The current version (0: none) with the counts it was published with; no table is read."""
+    v = current(spark, root)
+    if not v:
+        return {"version": 0}
+    fs, path = _fs(spark, root)
+    stream = fs.open(path(f"{root}/{POINTER}/{v}"))
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return {"version": v} | json.loads(text or "{}")
+
+
 def read(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
     """A table of one generation: the pointer is looked up once, files never change under a reader."""
     return spark.read.parquet(f"{root}/gen={current(spark, root) if version is None else version}/{name}")
