@@ -284,7 +284,7 @@ def exact_dedup(spark, d):
     return D.first_of_content(files, "sha1", [F.asc("doc_id")])
 
 
-EDGES = "edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35)"
+EDGES = "edges AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35)"
 
 
 def edges(spark, d):
@@ -296,7 +296,7 @@ def near_dup_edges(spark, d):
     return edges(spark, d).select("a", "b")
 
 
-@query("near_dup_greedy", f"""WITH RECURSIVE {EDGES}, nb AS (SELECT v.vec_id AS i, coalesce(list(a) FILTER (a IS NOT NULL), []) AS ns FROM embeddings v LEFT JOIN edges ON b = v.vec_id GROUP BY v.vec_id),
+@query("near_dup_greedy", f"""WITH RECURSIVE {EDGES}, nb AS MATERIALIZED (SELECT v.vec_id AS i, coalesce(list(a) FILTER (a IS NOT NULL), []) AS ns FROM embeddings v LEFT JOIN edges ON b = v.vec_id GROUP BY v.vec_id),
     walk(i, kept) AS (SELECT -1::BIGINT, []::BIGINT[] UNION ALL SELECT nb.i, CASE WHEN list_has_any(w.kept, nb.ns) THEN w.kept ELSE list_append(w.kept, nb.i) END FROM walk w JOIN nb ON nb.i = w.i + 1)
     SELECT unnest(kept) AS vec_id FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)""")
 def near_dup_greedy(spark, d):
@@ -304,9 +304,9 @@ def near_dup_greedy(spark, d):
     return D.greedy(v, "vec_id", written(edges(spark, d)))
 
 
-NUDGED = """nudged AS (SELECT 2 * vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings
+NUDGED = """nudged AS MATERIALIZED (SELECT 2 * vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings
     UNION ALL SELECT 2 * vec_id + 1, list_prepend(embedding[1]::DOUBLE + 0.002::DOUBLE * (vec_id % 40), embedding[2:]::DOUBLE[]) FROM embeddings),
-    tight AS (SELECT a.k AS a, b.k AS b FROM nudged a JOIN nudged b ON a.k < b.k AND list_cosine_similarity(a.v, b.v) >= 0.9995)"""
+    tight AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM nudged a JOIN nudged b ON a.k < b.k AND list_cosine_similarity(a.v, b.v) >= 0.9995)"""
 
 
 def nudged(spark, d):
@@ -321,9 +321,9 @@ def look_alikes(spark, d):
     return D.alike_edges(nudged(spark, d), "k", "v", D.ALIKE, recall=0.9999).select("a", "b")
 
 
-@query("look_alikes_kept", f"""WITH RECURSIVE {NUDGED}, w(step, k, open) AS (SELECT 0, k, list(a) FILTER (a IS NOT NULL) FROM nudged LEFT JOIN tight ON b = k GROUP BY k),
-    nb AS (SELECT k, coalesce(open, []) AS ns FROM w), walk(i, gone) AS (SELECT -1::BIGINT, []::BIGINT[] UNION ALL SELECT nb.k, CASE WHEN len(list_filter(nb.ns, x -> NOT list_contains(walk.gone, x))) > 0 THEN list_append(walk.gone, nb.k) ELSE walk.gone END FROM walk JOIN nb ON nb.k = walk.i + 1)
-    SELECT k FROM nudged WHERE NOT list_contains((SELECT gone FROM walk ORDER BY i DESC LIMIT 1), k)""")
+@query("look_alikes_kept", f"""WITH RECURSIVE {NUDGED}, nb AS MATERIALIZED (SELECT b AS k, list(a) AS ns, row_number() OVER (ORDER BY b) AS i FROM tight GROUP BY b),
+    walk(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT nb.i, CASE WHEN len([x FOR x IN nb.ns IF NOT list_contains(walk.gone, x)]) > 0 THEN list_append(walk.gone, nb.k) ELSE walk.gone END FROM walk JOIN nb ON nb.i = walk.i + 1)
+    SELECT k FROM nudged WHERE k NOT IN (SELECT unnest(gone) FROM (SELECT gone FROM walk ORDER BY i DESC LIMIT 1))""")
 def look_alikes_kept(spark, d):
     v = nudged(spark, d)
     return D.greedy(v, "k", written(D.alike_edges(v, "k", "v", D.ALIKE, recall=0.9999)))
