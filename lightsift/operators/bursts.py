@@ -52,6 +52,22 @@ def burst_summary(bursts: DataFrame) -> DataFrame:
     return sizes.agg(F.count(F.lit(1)).alias("n_bursts"), F.count_if(F.col("count") > 1).alias("n_multi"), F.count_if(F.col("count") == 1).alias("n_singleton"))
 
 
+def burst_columns(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of keys (path, burst_id, score without NaN, _reject): (path, within_burst_rank, is_representative, burst_size, burst_id),
+    and (burst_id, score of its representative). Rows are placed by burst in ranges; a burst is only aggregated."""
+    placed = row_numbers(keys, [F.asc("burst_id"), F.desc_nulls_last("score"), F.asc("path")], "_at")
+    best = F.min(F.struct("_reject", F.col("score").isNull().alias("_last"), (-F.col("score")).alias("_minus"), "path", "score"))
+    sizes = written(placed.groupBy("burst_id").agg(F.count(F.lit(1)).alias("burst_size"), F.min("_at").alias("_first"), best.alias("_best")))
+    own = sizes.select("burst_id", "burst_size", "_first", F.col("_best.path").alias("_best"))
+    rows = placed.join(own, "burst_id").select("path", (F.col("_at") - F.col("_first") + 1).alias("within_burst_rank"), (F.col("path") == F.col("_best")).alias("is_representative"), "burst_size", "burst_id")
+    return rows, sizes.select("burst_id", F.col("_best.score").alias("score"))
+
+
+def rank_keys(frames: DataFrame) -> DataFrame:
+    reject = F.coalesce(F.col("tech_hard_reject"), F.lit(False)) if "tech_hard_reject" in frames.columns else F.lit(False)
+    return written(frames.select("path", F.when(~F.isnan("score"), F.col("score")).alias("score"), "burst_id", reject.alias("_reject")))
+
+
 def ranked(frames: DataFrame) -> DataFrame:
     """frames with burst_id and score: rank, score_rank, within_burst_rank, is_representative, burst_size and burst_rank.
 
@@ -60,17 +76,11 @@ def ranked(frames: DataFrame) -> DataFrame:
     best rank. A frame without a score (null or NaN) comes after all others. Keys alone are sorted, in ranges, and a burst is only
     aggregated: neither all frames nor those of one burst meet in a task.
     """
-    reject = F.coalesce(F.col("tech_hard_reject"), F.lit(False)) if "tech_hard_reject" in frames.columns else F.lit(False)
-    score = F.when(~F.isnan("score"), F.col("score"))
-    keys = written(frames.select("path", score.alias("score"), "burst_id", reject.alias("_reject")))
-    in_burst = row_numbers(keys, [F.asc("burst_id"), F.desc_nulls_last("score"), F.asc("path")], "_at")
-    best = F.min(F.struct("_reject", F.col("score").isNull().alias("_last"), (-F.col("score")).alias("_minus"), "path", "score"))
-    sizes = written(in_burst.groupBy("burst_id").agg(F.count(F.lit(1)).alias("burst_size"), F.min("_at").alias("_first"), best.alias("_best")))
-    firsts = sizes.select("burst_id", F.col("_best.score").alias("score"))
-    of_burst = firsts.join(value_ranks(firsts, "score", "burst_rank").withColumnRenamed("score", "_score"), F.col("score").eqNullSafe(F.col("_score"))).select("burst_id", "burst_rank")
-    bursts = sizes.join(of_burst, "burst_id").select("burst_id", "burst_size", "_first", F.col("_best.path").alias("_best"), "burst_rank")
+    keys = rank_keys(frames)
+    rows, firsts = burst_columns(keys)
+    burst_rank = firsts.join(value_ranks(firsts, "score", "burst_rank").withColumnRenamed("score", "_score"), F.col("score").eqNullSafe(F.col("_score"))).select("burst_id", "burst_rank")
     places = row_numbers(keys.select("path", "score"), [F.desc_nulls_last("score"), F.asc("path")], "rank")
-    scores = value_ranks(keys, "score", "score_rank").withColumnRenamed("score", "_score")
-    places = places.join(scores, F.col("score").eqNullSafe(F.col("_score"))).select("path", "rank", "score_rank")
-    out = in_burst.join(bursts, "burst_id").select("path", (F.col("_at") - F.col("_first") + 1).alias("within_burst_rank"), (F.col("path") == F.col("_best")).alias("is_representative"), "burst_size", "burst_rank")
-    return frames.join(out.join(places, "path").select("path", "rank", "score_rank", "within_burst_rank", "is_representative", "burst_size", "burst_rank"), "path")
+    ties = places.groupBy(F.col("score").alias("_score")).agg(F.min("rank").alias("score_rank"))
+    places = places.join(ties, F.col("score").eqNullSafe(F.col("_score"))).select("path", "rank", "score_rank")
+    out = rows.join(burst_rank, "burst_id").drop("burst_id").join(places, "path")
+    return frames.join(out.select("path", "rank", "score_rank", "within_burst_rank", "is_representative", "burst_size", "burst_rank"), "path")

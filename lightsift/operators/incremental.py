@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lightsift.session import written
 from lightsift.sources import snapshots
 
-from .bursts import ALIKE, LONG_GAP, SHORT_GAP, burst_ids, ranked
+from .bursts import ALIKE, LONG_GAP, SHORT_GAP, burst_columns, burst_ids, rank_keys
 from .ordering import row_numbers, running, value_ranks
 
 FRAME = "path, camera_id, captured_at, emb, score"
@@ -78,7 +78,7 @@ def cut_cameras(frames: DataFrame, vectors: DataFrame, gaps: tuple[float, float,
     """Rows of the frames table for whole cameras; frames without a time have no local number and are bursts of their own."""
     timed = frames.where("captured_at IS NOT NULL")
     cut = written(burst_ids(timed.join(vectors, "path", "left"), *gaps).drop("emb"))
-    cols = ranked(cut).select("path", "within_burst_rank", "is_representative", "burst_size")
+    cols = burst_columns(rank_keys(cut))[0].drop("burst_id")
     first = cut.groupBy("camera_id").agg(F.min("burst_id").alias("_first")).withColumnRenamed("camera_id", "_camera")
     local = cut.join(first, F.col("camera_id").eqNullSafe(F.col("_camera"))).select("path", "camera_id", "captured_at", "score", (F.col("burst_id") - F.col("_first")).alias("local"))
     alone = frames.where("captured_at IS NULL").select("path", "camera_id", "captured_at", "score", F.lit(None).cast("long").alias("local"), F.lit(1).cast("long").alias("within_burst_rank"), F.lit(True).alias("is_representative"), F.lit(1).cast("long").alias("burst_size"))

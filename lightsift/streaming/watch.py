@@ -25,7 +25,7 @@ STABLE_TICKS = 2
 STATE = "path string, size long, mtime long, since long, tick long, status string"
 STATUS = ("pending", "ready", "known", "unusable")
 #: A stored change: the state of a path after a step, status null if it is gone. All paths of a state have the last listing's tick.
-CHANGE = "path string, size long, mtime long, since long, status string"
+CHANGE = "path string, size long, mtime long, since long, status string, step long"
 
 
 def listing(spark: SparkSession, root: str, tick: int) -> DataFrame:
@@ -105,15 +105,14 @@ class Watcher:
     def entry(self) -> dict:
         """The last log entry: tables of the state (base first), last tick and counts."""
         n = (commits.numbers(self.spark, f"{self.root}/log") or [None])[-1]
-        return {"tables": [], "tick": -1, "counts": {}} if n is None else commits.read(self.spark, f"{self.root}/log", n)
+        return {"tables": [], "tick": -1, "counts": {}, "step": 0} if n is None else commits.read(self.spark, f"{self.root}/log", n)
 
     def state(self, entry: dict | None = None) -> DataFrame:
         """The state after the last step: of each path the last of its stored changes."""
         e = entry or self.entry()
-        out = self.spark.createDataFrame([], CHANGE).withColumn("_n", F.lit(0))
-        for i, name in enumerate(e["tables"]):
-            out = out.unionByName(self.spark.read.schema(CHANGE).parquet(f"{self.root}/{name}").withColumn("_n", F.lit(i)))
-        last = out.groupBy("path").agg(F.max_by(F.struct("size", "mtime", "since", "status"), "_n").alias("s")).select("path", "s.*").where("status IS NOT NULL")
+        paths = [f"{self.root}/{name}" for name in e["tables"]]
+        out = self.spark.read.schema(CHANGE).parquet(*paths) if paths else self.spark.createDataFrame([], CHANGE)
+        last = out.groupBy("path").agg(F.max_by(F.struct("size", "mtime", "since", "status"), "step").alias("s")).select("path", "s.*").where("status IS NOT NULL")
         return last.select("path", "size", "mtime", "since", F.lit(e["tick"]).cast("long").alias("tick"), "status")
 
     def last_tick(self) -> int:
@@ -125,14 +124,15 @@ class Watcher:
         count = [F.count_if(F.col(c) == s).alias(f"{c}_{s}") for c in ("status", "was") for s in STATUS]
         fresh = F.count_if(F.col("status").isin("pending", "ready") & (F.col("fresh"))).alias("fresh")
         observed = changes.observe(seen, *count, fresh, F.count(F.lit(1)).alias("n"))
-        observed.select("path", "size", "mtime", "since", "status").write.parquet(f"{self.root}/{name}")
+        step = before.get("step", 0) + 1
+        observed.select("path", "size", "mtime", "since", "status", F.lit(step).cast("long").alias("step")).write.parquet(f"{self.root}/{name}")
         got = {k: v or 0 for k, v in seen.get.items()}
         counts = {s: before["counts"].get(s, 0) + got[f"status_{s}"] - got[f"was_{s}"] for s in STATUS}
         tables = [*before["tables"], name] if got["n"] else before["tables"]
         if not got["n"]:
             fs, path = _fs(self.spark, self.root)
             fs.delete(path(f"{self.root}/{name}"), True)
-        self.log({"tables": tables, "tick": tick, "counts": counts})
+        self.log({"tables": tables, "tick": tick, "counts": counts, "step": step})
         return got
 
     def log(self, entry: dict) -> None:
@@ -148,7 +148,7 @@ class Watcher:
     def compact(self, entry: dict) -> None:
         """Write the state as a new base; the tables that only older entries name, and those entries, are deleted."""
         name = f"base-{uuid.uuid4().hex}"
-        self.state(entry).drop("tick").write.parquet(f"{self.root}/{name}")
+        self.state(entry).withColumn("step", F.lit(entry["step"]).cast("long")).drop("tick").write.parquet(f"{self.root}/{name}")
         n, _ = commits.append(self.spark, f"{self.root}/log", lambda n: entry | {"tables": [name]})
         fs, path = _fs(self.spark, self.root)
         for table in entry["tables"]:
@@ -174,7 +174,8 @@ class Watcher:
 
     def empty(self) -> None:
         """The folder has no file any more: forget all."""
-        self.log({"tables": [], "tick": self.last_tick(), "counts": {}})
+        e = self.entry()
+        self.log({"tables": [], "tick": e["tick"], "counts": {}, "step": e.get("step", 0)})
 
     def maybe_ingest(self) -> bool:
         """Run a batch if any file is ready and the last attempt is `cooldown` seconds ago."""
