@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from lightsift.functions.face import quality_vector
 from lightsift.session import written
 
+from .network import EPOCHS, Layers, fit_networks, forward
 from .ordering import row_numbers, running
 
 
@@ -71,19 +71,25 @@ def sampled_pairs(frames: DataFrame, label: str, n: int, seed: int = 42, key: st
     return slots
 
 
-def training_pairs(frames: DataFrame, label: str, n: int = 4096, within: float = 0.0, must_find: float = 0.0, seed: int = 42, key: str = "path") -> DataFrame:
-    """Seeded (good, bad, kind) pairs: a share `must_find` sets frames marked must_find against bad ones, and of the others
-    a share `within` comes from bursts that hold both. Shares that have no frames to draw from go to the plain kind."""
+def training_pairs(frames: DataFrame, label: str, n: int = 4096, within: float = 0.0, must_find: float = 0.0, seed: int = 42, key: str = "path", epochs: int = 1) -> DataFrame:
+    """Seeded (good, bad, kind, epoch, slot) pairs, n new ones for each epoch, slots 0..n-1 in each: a share `must_find` sets
+    frames marked must_find against bad ones, and of the others a share `within` comes from bursts that hold both. Shares that
+    have no frames to draw from go to the plain kind."""
+
+    def kind(drawn_pairs: DataFrame, name: str, below: int) -> DataFrame:
+        return drawn_pairs.select("good", "bad", F.lit(name).alias("kind"), (F.col("slot") % epochs).cast("int").alias("epoch"), (F.floor(F.col("slot") / epochs) + below).alias("slot"))
+
     n_top = round(n * must_find) if "must_find" in frames.columns else 0
     n_top = 0 if not n_top or frames.where("must_find").isEmpty() else n_top
     n_in = round((n - n_top) * within) if "burst_id" in frames.columns else 0
     n_in = 0 if not n_in or mixed_bursts(frames, label).isEmpty() else n_in
-    out = sampled_pairs(frames, label, n - n_top - n_in, seed, key).select("good", "bad", F.lit("good_bad").alias("kind"))
+    plain = n - n_top - n_in
+    out = kind(sampled_pairs(frames, label, plain * epochs, seed, key), "good_bad", 0)
     if n_in:
-        out = out.unionByName(within_burst_pairs(frames, label, n_in, seed, key).select("good", "bad", F.lit("within_burst").alias("kind")))
+        out = out.unionByName(kind(within_burst_pairs(frames, label, n_in * epochs, seed, key), "within_burst", plain))
     if n_top:
         top = frames.where(F.col("must_find") | (F.col(label) == 0)).withColumn(label, F.col("must_find").cast("int"))
-        out = out.unionByName(sampled_pairs(top, label, n_top, seed + 7, key).select("good", "bad", F.lit("must_find").alias("kind")))
+        out = out.unionByName(kind(sampled_pairs(top, label, n_top * epochs, seed + 7, key), "must_find", plain + n_in))
     return out
 
 
@@ -126,82 +132,8 @@ def fit_ranker(pairs: DataFrame, dim: int, rounds: int = 30, rate: float = 1.0,
     return w
 
 
-Layers = list[tuple[np.ndarray, np.ndarray]]
-#: Hidden widths, full-batch steps, AdamW's rate and weight decay, and the margin (0: softplus loss, else hinge).
-HIDDEN, STEPS, RATE, DECAY = (256, 256), 60, 1e-3, 1e-4
-ERF = np.vectorize(math.erf, otypes=[float])
-#: The error function for training, by linear interpolation to 2e-8.
-KNOTS = np.linspace(-6, 6, 24_001)
-TABLE = ERF(KNOTS)
-
-
-def forward(x: np.ndarray, layers: Layers) -> np.ndarray:
-    """Scores of a multi-layer perceptron with exact GELU between layers."""
-    for i, (w, b) in enumerate(layers):
-        x = x @ w + b
-        if i + 1 < len(layers):
-            x = 0.5 * x * (1 + ERF(x / math.sqrt(2)))
-    return x[:, 0]
-
-
-def traced(x: np.ndarray, layers: Layers) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Scores, and of each layer its input and the slope of what follows it."""
-    trace = []
-    for i, (w, b) in enumerate(layers):
-        z = x @ w + b
-        if i + 1 == len(layers):
-            trace.append((x, np.ones_like(z)))
-            return z[:, 0], trace
-        below = 0.5 * (1 + np.interp(z / math.sqrt(2), KNOTS, TABLE))
-        trace.append((x, below + z * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)))
-        x = z * below
-    raise ValueError("a network has at least one layer")
-
-
-def gradients(trace: list[tuple[np.ndarray, np.ndarray]], layers: Layers, by_score: np.ndarray) -> list[np.ndarray]:
-    """Gradients of all weights and biases from a trace and the loss's derivative by each row's score."""
-    back, out = by_score[:, None], []
-    for (x, slope), (w, _) in zip(reversed(trace), reversed(layers), strict=True):
-        back = back * slope
-        out += [back.sum(axis=0), x.T @ back]
-        back = back @ w.T
-    return out[::-1]
-
-
-def fit_network(good: np.ndarray, bad: np.ndarray, hidden: tuple[int, ...] = HIDDEN, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, margin: float = 0.0, seed: int = 42) -> Layers:
-    """A network whose scores put good above bad, by AdamW on the pairwise loss softplus(bad - good), or a hinge."""
-    rng, widths = np.random.default_rng(seed), [good.shape[1], *hidden, 1]
-    params = [p for a, b in zip(widths, widths[1:], strict=False) for p in (rng.uniform(-1, 1, (a, b)) / math.sqrt(a), np.zeros(b))]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for t in range(1, steps + 1):
-        layers = list(zip(params[::2], params[1::2], strict=True))
-        (up, trace_up), (down, trace_down) = traced(good, layers), traced(bad, layers)
-        d = up - down
-        slope = (-(d < margin).astype(float) if margin > 0 else -1 / (1 + np.exp(np.clip(d, -35, 35)))) / len(d)
-        total = [a + b for a, b in zip(gradients(trace_up, layers, slope), gradients(trace_down, layers, -slope), strict=True)]
-        for i, g in enumerate(total):
-            first[i], second[i] = 0.9 * first[i] + 0.1 * g, 0.999 * second[i] + 0.001 * g * g
-            params[i] = params[i] * (1 - rate * decay) - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    return list(zip(params[::2], params[1::2], strict=True))
-
-
-def fit_networks(pairs: DataFrame, by: str, **options) -> dict[int, Layers]:
-    """One network for each value of `by` from its pairs (good_x, bad_x: arrays), each fitted in a task of its own.
-
-    The caller bounds the pairs (see training_pairs): a group is one task's work. The models reach the driver, one per value.
-    """
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["good", "bad"])  # the same result however rows arrive
-        layers = fit_network(np.stack(pdf["good_x"].to_list()), np.stack(pdf["bad_x"].to_list()), **options)
-        return pd.DataFrame({"by": [int(key[0])], "model": [json.dumps([[w.tolist(), b.tolist()] for w, b in layers])]})
-
-    rows = pairs.groupBy(by).applyInPandas(fit, "by long, model string").collect()  # one row per value
-    return {r["by"]: [(np.array(w), np.array(b)) for w, b in json.loads(r["model"])] for r in rows}
-
-
 def with_vectors(pairs: DataFrame, frames: DataFrame, features: str, key: str = "path") -> DataFrame:
-    good, bad = (frames.select(F.col(key).alias(c), F.col(features).cast("array<double>").alias(f"{c}_x")) for c in ("good", "bad"))
+    good, bad = (frames.select(F.col(key).alias(c), F.col(features).alias(f"{c}_x")) for c in ("good", "bad"))
     return pairs.join(good, "good").join(bad, "bad")
 
 
@@ -216,10 +148,11 @@ def holdout(rows: DataFrame, key: str, label: str, share: float = 0.2) -> DataFr
     return rows.join(dealt, F.col(key).eqNullSafe(F.col("_key"))).select(*rows.columns, "held_out")
 
 
-def cross_validate(frames: DataFrame, label: str, features: str, folds: int = 5, share: float = 0.2, n_pairs: int = 4096, within: float = 0.0, must_find: float = 0.0, key: str = "path", **options) -> tuple[DataFrame, Layers]:
+def cross_validate(frames: DataFrame, label: str, features: str, folds: int = 5, share: float = 0.2, n_pairs: int = 4096, within: float = 0.0, must_find: float = 0.0, key: str = "path", epochs: int = EPOCHS, **options) -> tuple[DataFrame, Layers]:
     """(AUC by part, final network): folds inside the training part, a model of that part on the held-out one, and the fit on all rows.
 
-    Parts are 'fold 0', ..., 'cv_mean', 'holdout', 'train' and 'all'. Each model sees at most n_pairs pairs; all are fitted in parallel.
+    Parts are 'fold 0', ..., 'cv_mean', 'holdout', 'train' and 'all'. Each model sees n_pairs new pairs an epoch; all are fitted side by side by the
+    whole cluster.
     """
     dealt = written(holdout(frames, key, label, share))
     inner = written(stratified_folds(dealt.where("NOT held_out"), key, label, folds))
@@ -233,9 +166,9 @@ def cross_validate(frames: DataFrame, label: str, features: str, folds: int = 5,
     sets[-2] = frames
     pairs = None
     for i, rows in sets.items():
-        own = with_vectors(training_pairs(rows, label, n_pairs, within, must_find, key=key), rows, features, key).withColumn("by", F.lit(i))
+        own = with_vectors(training_pairs(rows, label, n_pairs, within, must_find, key=key, epochs=epochs), rows, features, key).withColumn("by", F.lit(i))
         pairs = own if pairs is None else pairs.unionByName(own)
-    models = fit_networks(pairs, "by", **options)
+    models = {by: fitted.layers for by, fitted in fit_networks(pairs, epochs, **options).items()}
     tested = [(f"fold {i}", inner.where(F.col("fold") == i), models[i]) for i in sets if i >= 0]
     if -1 in sets:
         tested += [("holdout", dealt.where("held_out"), models[-1]), ("train", dealt.where("NOT held_out"), models[-1])]

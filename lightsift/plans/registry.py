@@ -15,10 +15,11 @@ from lightsift.operators import dedup as D
 from lightsift.operators import learn as L
 from lightsift.operators import picks as P
 from lightsift.operators import quality as Q
+from lightsift.operators import vector_index as VI
 from lightsift.operators.downloads import archive_names
 from lightsift.operators.search import search
 from lightsift.sources import manifest as M
-from lightsift.session import written
+from lightsift.session import scratch, written
 from lightsift.streaming import watch as W
 
 from . import bindings as X
@@ -230,6 +231,30 @@ def search_topk(spark, d):
 BEST_HIT = "SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY burst_id ORDER BY sim DESC, path) = 1"
 
 
+KNN = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS query, b.vec_id AS key, list_cosine_similarity(a.v, b.v) AS sim FROM e a, e b WHERE a.vec_id % 100 = 0)
+    SELECT query, key, round(sim, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, key) AS INTEGER) AS rank FROM p QUALIFY rank <= 10"""
+
+
+def neighbours(spark, d, recall):
+    """The ten rows nearest to every row whose id is divisible by 100, from an index of all embeddings."""
+    e = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("emb"))
+    root = scratch("vectors", spark)
+    VI.build(spark, root, e)
+    asked = e.where(F.col("key") % 100 == 0).select(F.col("key").alias("query"), F.col("emb").alias("q"))
+    return VI.nearest(spark, root, asked, 10, recall).select("query", "key", r6("similarity"), "rank")
+
+
+@query("nearest_exact", KNN)
+def nearest_exact(spark, d):
+    return neighbours(spark, d, None)
+
+
+@query("nearest_probed")
+def nearest_probed(spark, d):
+    """Reads as many of a query's nearest lists as a recall of 0.98 took when the index was built; tests hold it against all rows."""
+    return neighbours(spark, d, VI.RECALL)
+
+
 @query("search_grouped", f"{SEARCH} SELECT path, burst_id, round(sim, 6) AS similarity FROM ({BEST_HIT}) ORDER BY sim DESC, path LIMIT 50")
 def search_grouped(spark, d):
     return search(X.run(spark, d), query_vector(spark, d), grouped=True).select("path", "burst_id", r6("similarity"))
@@ -455,10 +480,10 @@ def labelled_vectors(spark, d):
 
 @query("ranknet_scores")
 def ranknet_scores(spark, d):
-    """The network fitted on sampled pairs of the given embeddings, scored on all of them."""
+    """The network, fitted on 4,096 new pairs of the given embeddings in each of 60 epochs, scored on all of them."""
     v = labelled_vectors(spark, d)
-    pairs = L.with_vectors(L.training_pairs(v, "y", 1024, within=0.3, must_find=0.1), v, "x").withColumn("by", F.lit(0))
-    layers = L.fit_networks(pairs, "by", hidden=(64, 64))[0]
+    pairs = L.with_vectors(L.training_pairs(v, "y", within=0.3, must_find=0.1, epochs=L.EPOCHS), v, "x").withColumn("by", F.lit(0))
+    layers = L.fit_networks(pairs)[0].layers
     return L.score_mlp(v, "x", layers, ["path", "y"])
 
 
@@ -474,7 +499,7 @@ def linear_ranker_scores(spark, d):
 @query("ranknet_cv")
 def ranknet_cv(spark, d):
     """AUC of each fold, their mean, and of the held-out, training and all rows."""
-    return L.cross_validate(labelled_vectors(spark, d), "y", "x", n_pairs=512, within=0.3, must_find=0.1, hidden=(32, 32))[0]
+    return L.cross_validate(labelled_vectors(spark, d), "y", "x", n_pairs=1024, within=0.3, must_find=0.1)[0]
 
 
 @query("holdout_split", "SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('holdout' || doc_id), doc_id) <= CASE WHEN count(*) OVER c >= 2 THEN least(greatest(1, round(count(*) OVER c * 0.2)), count(*) OVER c - 1) ELSE 0 END AS held_out FROM labels WINDOW c AS (PARTITION BY quality)")
