@@ -15,7 +15,7 @@ from lightsift.sources import exif as X
 from lightsift.sources import features as FE
 from lightsift.sources import snapshots
 from lightsift.sources.images import scan_images
-from lightsift.sources.manifest import changed, misses, reused
+from lightsift.sources.manifest import changed, reused
 
 from . import learn as L
 from .ingest import ingest
@@ -72,14 +72,13 @@ def stored(spark: SparkSession, store: str, folder: str, files: DataFrame, kind:
 
     look gets (path, name, content) and returns path, error and its columns; a failure is stored too, as nulls with the error.
     """
-    root = f"{store}/{kind}"
-    wanted = files.groupBy("sha1").agg(F.min("path").alias("path")).withColumns({"kind": F.lit(kind), "encoder_id": F.lit(by)})
-    old = FE.get_features(spark, root, kind, by)
-    todo = written(wanted if old is None else misses(wanted, old))
-    if not todo.isEmpty():
+    features, wanted = FE.Store(spark, f"{store}/{kind}", kind, by), files.groupBy("sha1").agg(F.min("path").alias("path"))
+    before = features.entry()
+    todo = written(wanted.join(features.missing(wanted, before), "sha1", "left_semi"))
+    if before is None or not todo.isEmpty():
         seen = look(contents(spark, folder, todo))
-        FE.put_features(spark, root, seen.join(todo, "path").drop("path"))
-    return files.join(FE.get_features(spark, root, kind, by).drop("kind", "encoder_id"), "sha1")
+        features.put(seen.join(todo, "path").drop("path"), before)
+    return files.join(features.rows(), "sha1")
 
 
 def folder_frames(spark: SparkSession, store: str, folder: str, models: Models, progress: Callable[[int, str], None] = lambda percent, message: None) -> DataFrame:

@@ -1,46 +1,18 @@
-"""Feature tables by content, the memo of digests, validated files, the search index and labelled folders."""
+"""The memo of digests, validated files, the search index and labelled folders."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lightsift.operators.dedup import training_rows
 
 from . import snapshots
+from .feature_store import Store, get_features, put_features, with_features  # noqa: F401
 from .images import scan_images
-from .manifest import changed, misses, reused
-
-KEY = ("sha1", "kind", "encoder_id")
-
-
-def put_features(spark: SparkSession, root: str, new: DataFrame) -> None:
-    """Append features (sha1, kind, encoder_id, ...) to the table under root; what is there by key already stays as it is."""
-    old = get_features(spark, root)
-    first = new.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy(*KEY))).where("_n = 1").drop("_n")
-    first = first if old is None else misses(first, old)
-    first.write.mode("append").partitionBy("kind", "encoder_id").parquet(root)
-
-
-def get_features(spark: SparkSession, root: str, kind: str | None = None, encoder_id: str | None = None) -> DataFrame | None:
-    """The stored features of a kind and encoder (only those partitions are read); None if nothing was ever stored."""
-    if not snapshots.exists(spark, root):
-        return None
-    out = spark.read.parquet(root)
-    for name, value in (("kind", kind), ("encoder_id", encoder_id)):
-        out = out if value is None else out.where(F.col(name) == value)
-    return out
-
-
-def with_features(spark: SparkSession, root: str, files: DataFrame, compute: Callable[[DataFrame], DataFrame], kind: str, encoder_id: str) -> DataFrame:
-    """files (sha1, ...) joined with their features; those not stored yet are computed once per content and stored first."""
-    wanted = files.select("sha1", F.lit(kind).alias("kind"), F.lit(encoder_id).alias("encoder_id")).distinct()
-    old = get_features(spark, root, kind, encoder_id)
-    todo = wanted if old is None else misses(wanted, old)
-    put_features(spark, root, compute(todo))
-    return files.join(get_features(spark, root, kind, encoder_id).drop("kind", "encoder_id"), "sha1")
+from .manifest import changed, reused
 
 
 def memoized(files: DataFrame, memo: DataFrame) -> DataFrame:
