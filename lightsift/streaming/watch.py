@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lightsift.jobs import Cancelled, cancellable
 from lightsift.sources import commits
 from lightsift.sources.images import scan_images
 from lightsift.sources.snapshots import _fs
@@ -76,7 +77,8 @@ class Watcher:
 
     root holds the state: its log, base and changes. ingest must replace the run's outputs as a whole (see
     snapshots.publish): a batch that failed or was declined stays ready, and is given again with later arrivals.
-    After compact_every changes the state is written as a new base.
+    After compact_every changes the state is written as a new base. cancelled is asked during a batch too: its jobs are interrupted, and
+    its files stay ready. stages gets the tasks done and known of the batch that runs.
     """
 
     spark: SparkSession
@@ -93,6 +95,7 @@ class Watcher:
     clock: Callable[[], float] = time.time
     progress: Callable[[dict], None] | None = None
     cancelled: Callable[[], bool] = lambda: False
+    stages: Callable[[int, int], None] | None = None
     last_attempt: float = float("-inf")
     last_ingest: float = 0.0
     last_error: str = ""
@@ -186,8 +189,11 @@ class Watcher:
         self.last_attempt = now
         state = self.state(before)
         try:
-            if self.ingest(state.where("status IN ('known', 'ready')").select("path", "size", "mtime")) is False:
+            files = state.where("status IN ('known', 'ready')").select("path", "size", "mtime")
+            if cancellable(self.spark, lambda: self.ingest(files), self.cancelled, self.stages) is False:
                 return False
+        except Cancelled:
+            return False
         except Exception as e:  # noqa: BLE001  the watch goes on; the error is reported and the files stay ready
             self.last_error = f"{type(e).__name__}: {e}"
             return False
