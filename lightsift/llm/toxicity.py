@@ -22,6 +22,8 @@ ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 4.0, 0.1, 6
 TOXIC_WEIGHT = 2.0
 #: Bound of the training sample: labelled rows with the smallest hashes of their id.
 SAMPLE_ROWS = 16_000
+#: Bound of a training row: of a text with more distinct features those with the smallest hashes, from all of the text, are learnt from.
+ROW_FEATURES = 8192
 
 
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,33 +69,45 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return used, w[used]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, fold: int = 5) -> DataFrame:
+def bounded(coord: np.ndarray, text: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most limit of the distinct coordinates of each text, by a hash of the coordinate; still by text and coordinate."""
+    order = np.lexsort((H.mix(coord.astype(np.uint64)), text))
+    text_sorted = text[order]
+    turn = np.arange(len(order)) - np.searchsorted(text_sorted, text_sorted, "left")
+    keep = np.sort(order[turn < limit])
+    return coord[keep], text[keep]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, fold: int = 5, row_features: int = ROW_FEATURES) -> DataFrame:
     """(coordinate, weight): the non-zero weights, learnt from at most sample_rows labelled rows whose crc32(id) mod fold is not 0.
 
-    Rows without a label or id teach nothing; of repeated labels of an id the largest counts. The sample
-    is chosen by a hash of the id, so it is the same at every run; its ids are sent to the scan of the
-    documents, features are made there and one task runs the updates over them in that order.
+    Rows without a label or id teach nothing; of repeated labels of an id the largest counts, of repeated rows of an id the one
+    with the least key (a hash of id and text). The sample is chosen by a hash of the id, so it is the same at every run; its ids
+    are sent to the scan of the documents, features are made there, at most row_features a row, and one task runs the
+    updates over them in that order: sample_rows times row_features numbers at most.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna().where(~held_out(F.col("id"), fold))
     sample = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("turn", F.xxhash64(F.col("id"), F.lit(1))).orderBy("turn", "id").limit(sample_rows)
-    chosen = text_rows(docs, id_col, text_col).join(F.broadcast(sample), "id").select("id", "text", "turn", "y")  # at most sample_rows ids
+    chosen = text_rows(docs, id_col, text_col).join(F.broadcast(sample), "id").select("key", "text", "turn", "y")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            coord, text = distinct(*features(*text_buffer(b.column(1))))
+            coord, text = bounded(*distinct(*features(*text_buffer(b.column(1)))), row_features)
             edges = np.searchsorted(text, np.arange(b.num_rows + 1))
             rows = pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), pa.array(coord, pa.int32())).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), rows], names=["turn", "y", "coords"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), rows], names=["key", "turn", "y", "coords"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, y = [], []
         for b in batches:
             y.append(b.column(1).to_numpy().astype(float))
-            rows += [np.append(np.asarray(c.values.to_numpy(), np.int64), BIAS) for c in b.column(2)]
+            rows += [np.append(np.asarray(c.values.to_numpy(), np.int32), np.int32(BIAS)) for c in b.column(2)]
         at, w = fit(rows, np.concatenate(y)) if rows else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["coord", "weight"])
 
-    return chosen.mapInArrow(made, "turn long, y int, coords array<int>").repartition(1).sortWithinPartitions("turn").mapInArrow(learn, "coord long, weight double")
+    # a turn belongs to one id; its rows meet in a partial minimum before anything is gathered
+    rows = chosen.mapInArrow(made, "key long, turn long, y int, coords array<int>").groupBy("turn", "y").agg(F.min_by("coords", "key").alias("coords"))
+    return rows.repartition(1).sortWithinPartitions("turn").mapInArrow(learn, "coord long, weight double")
 
 
 def learnt(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[int, float]]:
