@@ -83,11 +83,22 @@ def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
     return np.mod(keys, groups)
 
 
+def distinct_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (id, text, key) of each batch once, with the number of their copies in it."""
+    for b in batches:
+        keys = b.column(2).to_numpy()
+        if len(np.unique(keys)) == len(keys):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.ones(b.num_rows, np.int64))], names=["id", "text", "key", "copies"])
+            continue
+        t = pa.Table.from_arrays(b.columns, names=["id", "text", "key"]).group_by(["id", "text", "key"], use_threads=False).aggregate([([], "count_all")])
+        yield from t.rename_columns({"count_all": "copies"}).select(["id", "text", "key", "copies"]).to_batches()
+
+
 TEXTS = "grp int, rows binary"
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, key) packed by document group, compressed together: less to shuffle than single texts."""
+    """Rows (id, text, key and whatever follows) packed by document group, compressed together: less to shuffle than single texts."""
     option = pa.ipc.IpcWriteOptions(compression="zstd")
     for b in batches:
         grp = group_of(b.column(2).to_numpy(), groups)

@@ -8,6 +8,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import hashing as H
 from . import postings as P
@@ -34,7 +35,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns id, n_words, kept_text (kept words joined by one space) and spans, the removed word
     intervals [start, end). Null text: no words. Null ids: never smaller than another id; they lose
-    what any document with an id has. Rows that repeat an id do not remove from each other. Texts of fewer than
+    what any document with an id has. Rows that repeat an id do not remove from each other; rows that repeat id and text travel
+    once per batch with their number, so many of them are neither a hot group nor a hot bucket. Texts of fewer than
     `window` words are kept whole.
     """
     rows = text_rows(docs, id_col, text_col)
@@ -61,7 +63,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for i in range(0, len(out), 500):
                 yield P.batch(out[i : i + 500], P.POSTING_NAMES)
 
-        for b in slices(batches):
+        for b in slices(P.distinct_rows(batches)):
             buf, off = text_buffer(b.column(1))
             starts, ends, first = H.word_spans(buf, off, H.NON_SPACE)
             at, doc = H.inside(first, window)
@@ -90,9 +92,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.Table.from_batches([P.batch(done, P.MARK_NAMES)])
 
     marks = rows.mapInArrow(hashed, P.SCHEMA).groupBy("bucket").applyInArrow(settle, P.MARKS)
-    grouped = rows.mapInArrow(lambda batches: P.text_groups(slices(batches, limit=8 << 20), groups), P.TEXTS)
-    kind = "id long, n_words long, kept_text string, spans array<struct<start:long,end:long>>"
-    return grouped.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(lambda texts, found: removed(texts, found, window), kind)
+    grouped = rows.mapInArrow(lambda batches: P.text_groups(slices(P.distinct_rows(batches), limit=8 << 20), groups), P.TEXTS)
+    kind = "id long, n_words long, kept_text string, spans array<struct<start:long,end:long>>, copies long"
+    out = grouped.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(lambda texts, found: removed(texts, found, window), kind)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy", "copies")
 
 
 def later(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -122,7 +125,7 @@ def place_code(keys: np.ndarray, pos: np.ndarray) -> np.ndarray:
 
 def removed(texts: pa.Table, found: pa.Table, window: int) -> pa.Table:
     """Texts of one document group without the words that the group's marks cover."""
-    kinds = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("kept_text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    kinds = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("kept_text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("copies", pa.int64())])
     if not texts.num_rows:
         return kinds.empty_table()
     _, keys, doc, (pos,), _ = P.read(found, 1, 0, 8)
@@ -144,5 +147,5 @@ def removed(texts: pa.Table, found: pa.Table, window: int) -> pa.Table:
             kept.append(b" ".join(compress(words, ~gone)).decode())
             turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
             spans.append([{"start": int(s), "end": int(e)} for s, e in zip(turns[::2], turns[1::2], strict=True)])
-        out.append(pa.RecordBatch.from_arrays([long_array(ids_of(b.column(0))), pa.array(n_words, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kinds.field("spans").type)], schema=kinds))
+        out.append(pa.RecordBatch.from_arrays([long_array(ids_of(b.column(0))), pa.array(n_words, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kinds.field("spans").type), b.column(3)], schema=kinds))
     return pa.Table.from_batches(out, kinds)
