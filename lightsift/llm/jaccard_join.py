@@ -6,13 +6,14 @@ tokens than it may miss links to nothing and is settled at once, and two sets ca
 they may differ by. The others are put in order (similar sets have the same least hash) and cut into groups; a group keeps
 the union of its members' tokens and who has which. Sets of a group and of the one before meet directly. Beyond that a set
 asks the groups that its rarest tokens name: the overlap with a group's union bounds that with each member, and only a
-group that the bound can't rule out is opened. First each part of a crowd asks a few groups; after that only sets that aren't
-known to be connected ask for each other.
+group that the bound can't rule out is opened. Sets with frequent keys bring a sketch, the parities of their tokens in slots:
+two sets differ by at least as many tokens as sketches have differing bits, so of a crowd only pairs near the threshold ask.
+First each part of a crowd asks a few groups; after that only sets that aren't known to be connected ask for each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,8 @@ from .simhash_dedup import spanning
 MEMBERS, TOKENS, GROUP_BYTES, FLUSH, ASKED, CROWD = 32, 1 << 18, 8 << 20, 500_000, 4096, 256
 #: Parts of the keys, each used in a turn of few questions before all are asked; and turns.
 TURNS, FIRST = 4, 2
-#: Parts of the keys, each used in a turn of few questions before all are asked; and turns.
-TURNS, FIRST = 4, 2
-#: Part of the required overlap that has to lie in the prefixes: more of it travels and settles more sets, here all with less than 70 % of shared tokens.
-SHARE = 0.6
+#: Entries of a key beyond which its sets bring a sketch; those that the others are compared with in a turn; 64-bit words of a sketch at most.
+LONG, CENTRES, WORDS = 32, 64, 64
 
 
 def token_sets(buf: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +74,47 @@ def may_differ(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return (n + m) * (100 - percent) // (100 + percent)
 
 
+def may_link(n: np.ndarray, m: np.ndarray, own_n: np.ndarray, own_m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sets of n and m tokens can link, of which they have own_n and own_m alone at least."""
+    both = -(-percent * (n + m) // (100 + percent))
+    return (own_n <= n - both) & (own_m <= m - both)
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of how many tokens fall into each slot; slots are a power of two, up to four times the tokens."""
+    words = min(WORDS, max(1, (1 << (2 * len(tokens) - 1).bit_length()) // 64))
+    h = H.mix(tokens ^ np.uint64(0x9E6C63D0876A9A47))
+    slot = (h % np.uint64(words) << np.uint64(6)) | (h >> np.uint64(58))  # so the XOR of both halves is the sketch of half the words
+    return np.packbits((np.bincount(slot.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)).view(np.uint64)
+
+
+class Sketches:
+    """Sketches of several sizes (0 words: none), compared in the size of the smaller one."""
+
+    def __init__(self, words: np.ndarray, raw: bytes):
+        self.words, self.rows, self.at = words, {}, {}
+        flat, starts = np.frombuffer(raw, np.uint64), np.cumsum(words) - words
+        size, above = int(words.max(initial=0)), np.zeros(0, np.int64)
+        while size:
+            own = np.flatnonzero(words == size)
+            folded = self.rows[2 * size][:, :size] ^ self.rows[2 * size][:, size:] if len(above) else np.zeros((0, size), np.uint64)
+            self.rows[size] = np.concatenate([folded, flat[starts[own][:, None] + np.arange(size)]])
+            above = np.concatenate([above, own])
+            self.at[size] = np.zeros(len(words), np.int64)
+            self.at[size][above] = np.arange(len(above))
+            size //= 2
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Tokens that only one of the sets i and j has, at least."""
+        size, out = np.minimum(self.words[i], self.words[j]), np.zeros(len(i), np.int64)
+        for k in np.unique(size[size > 0]).tolist():
+            pairs = np.flatnonzero(size == k)
+            for s in range(0, len(pairs), (1 << 20) // k):
+                w = pairs[s : s + (1 << 20) // k]
+                out[w] = np.bitwise_count(self.rows[k][self.at[k][i[w]]] ^ self.rows[k][self.at[k][j[w]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def can_link(n: np.ndarray, percent: int) -> np.ndarray:
     """Whether a set of n can link to another set at all: the nearest ones have one token more or one less."""
     return (n > 0) & ((100 * n >= percent * (n + 1)) | (100 * (n - 1) >= percent * n))
@@ -188,12 +228,13 @@ def cell_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "grp", "tokens", "counts"])
 
 
-OPEN = "class long, first long, own long, spread int, tokens binary, keys binary"
+OPEN = "class long, first long, own long, spread int, tokens binary, keys binary, sketch binary"
 
 
 def open_sets(texts: DataFrame, shared: DataFrame, shingle: int, shift: int, percent: int) -> DataFrame:
     """The classes with no more own tokens than they may miss, with all tokens and the keys to ask by: the rarest of the shared
-    tokens, as many as may lack in a set that links and one more. spread: how many places a crowd of such sets is dealt to."""
+    tokens, as many as may lack in a set that links and one more. spread: how many places a crowd of such sets is dealt to.
+    sketch: empty without a key that more than LONG classes have."""
 
     def decided(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -217,17 +258,19 @@ def open_sets(texts: DataFrame, shared: DataFrame, shingle: int, shift: int, per
                 for d in np.flatnonzero(np.diff(edges)).tolist():
                     tokens = h[at[d] : at[d + 1]].view(np.int64)
                     mine = slice(edges[d], edges[d + 1])
-                    out.append((int(of[d]), int(tokens[0]), int(own[d]), -(-int(key_many[mine].max()) // CROWD), P.pack(tokens), P.pack(np.sort(keys[mine]).view(np.int64))))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(("class", "first", "own", "spread", "tokens", "keys"), kinds, strict=True))})
+                    most = int(key_many[mine].max())
+                    told = sketch(tokens.view(np.uint64)).tobytes() if most > LONG else b""
+                    out.append((int(of[d]), int(tokens[0]), int(own[d]), -(-most // CROWD), P.pack(tokens), P.pack(np.sort(keys[mine]).view(np.int64)), told))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(("class", "first", "own", "spread", "tokens", "keys", "sketch"), kinds, strict=True))})
 
     return texts.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(decided, OPEN)
 
 
-GROUP, KEYED, LINK = "gid long, classes binary, sizes binary, tokens binary, places binary", "class long, of long, label long, n long, own long, keys binary", "a long, b long"
+GROUP, KEYED, LINK = "gid long, classes binary, sizes binary, tokens binary, places binary", "class long, of long, label long, n long, own long, keys binary, sketch binary", "a long, b long"
 FORMED = f"kind int, {GROUP}, {KEYED}, {LINK}"
 FORMED_NAMES = [x.split()[0] for x in FORMED.split(", ")]
-FORMED_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 4, *[pa.int64()] * 5, pa.binary(), pa.int64(), pa.int64()]
+FORMED_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 4, *[pa.int64()] * 5, pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
 
 def packed_places(x: np.ndarray) -> bytes:
@@ -241,7 +284,7 @@ def formed_groups(sets: DataFrame, percent: int, n_members: int) -> tuple[DataFr
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gid = TaskContext.get().partitionId() << 32
         before: list[tuple[int, int, np.ndarray]] = []  # label, class and tokens of the last group's members
-        held: list[tuple[int, np.ndarray, bytes, int]] = []
+        held: list[tuple[int, np.ndarray, bytes, int, bytes]] = []
 
         def close() -> pa.RecordBatch:
             nonlocal gid, before
@@ -264,8 +307,8 @@ def formed_groups(sets: DataFrame, percent: int, n_members: int) -> tuple[DataFr
             union = np.unique(np.concatenate([t for *_, t in own]))
             places = [np.searchsorted(union, t) for *_, t in own]
             labels = label[len(before) :]
-            group = (0, gid, P.pack(np.array([c for _, c, _ in own])), P.pack(sizes[len(before) :]), P.pack(union.view(np.int64)), packed_places(np.concatenate(places)), *[None] * 8)
-            out = [group, *[(1, *[None] * 5, c, gid, x, len(t), mine, k, None, None) for (c, t, k, mine), x in zip(held, labels, strict=True)], *[(2, *[None] * 11, a, b) for a, b in links]]
+            group = (0, gid, P.pack(np.array([c for _, c, _ in own])), P.pack(sizes[len(before) :]), P.pack(union.view(np.int64)), packed_places(np.concatenate(places)), *[None] * 9)
+            out = [group, *[(1, *[None] * 5, c, gid, x, len(t), mine, k, told, None, None) for (c, t, k, mine, told), x in zip(held, labels, strict=True)], *[(2, *[None] * 12, a, b) for a, b in links]]
             before = [(x, c, t) for x, (_, c, t) in zip(labels, own, strict=True)]
             gid += 1
             held.clear()
@@ -273,12 +316,12 @@ def formed_groups(sets: DataFrame, percent: int, n_members: int) -> tuple[DataFr
 
         n = 0
         for b in batches:
-            for c, mine, t, k in zip(*(b.column(i).to_pylist() for i in (0, 2, 4, 5)), strict=True):
+            for c, mine, t, k, told in zip(*(b.column(i).to_pylist() for i in (0, 2, 4, 5, 6)), strict=True):
                 tokens = P.unpack(t).view(np.uint64)
                 if held and (len(held) == n_members or n + len(tokens) > TOKENS):
                     yield close()
                     n = 0
-                held.append((c, tokens, k, mine))
+                held.append((c, tokens, k, mine, told))
                 n += len(tokens)
         if held:
             yield close()
@@ -292,16 +335,18 @@ def formed_groups(sets: DataFrame, percent: int, n_members: int) -> tuple[DataFr
 
 def questions(keyed: DataFrame, buckets: int, percent: int, turn: int | None = None) -> DataFrame:
     """(gid, q, g), distinct: member q of group gid has a key in common with a member of group g that isn't known to be connected
-    with, and their own tokens don't rule a link out; all such, each pair of groups one way. With a turn only a few of them: on a quarter of the keys one member of each label asks
-    one group of the next label and up to three of the largest, so a crowd asks in proportion to its size."""
-    cell = "bucket int, tokens binary, sets binary, classes binary, gids binary, labels binary, ns binary, owns binary"
-    names = [x.split()[0] for x in cell.split(", ")]
+    with, and neither their own tokens nor their sketches rule a link out; all such, each pair of groups one way. With a turn only
+    a few of them, on a quarter of the keys: a crowd asks in proportion to its size."""
+    told = ("classes", "gids", "labels", "ns", "owns")
+    names = ["bucket", "tokens", "sets", *told, "words", "sketches"]
+    cell = "bucket int, " + ", ".join(f"{x} binary" for x in names[1:])
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple[np.ndarray, list[int], bytes]] = []
 
         def flush() -> pa.RecordBatch:
-            keys, *rest = (np.concatenate([h[i] for h in held]) for i in range(6))
+            keys, which = np.concatenate([k for k, *_ in held]), np.repeat(np.arange(len(held)), [len(k) for k, *_ in held])
+            facts, words = np.array([x for _, x, _ in held], np.int64), np.array([len(x) // 8 for *_, x in held])
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((keys, bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -309,87 +354,96 @@ def questions(keyed: DataFrame, buckets: int, percent: int, turn: int | None = N
             for i, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
                 if hi > lo:
                     w = order[lo:hi]
-                    _, ones, which = np.unique(rest[0][w], return_index=True, return_inverse=True)
-                    out.append((i, P.pack(keys[w].view(np.int64)), packed_places(which), *[P.pack(x[w][ones]) for x in rest]))
+                    sets, at = np.unique(which[w], return_inverse=True)
+                    out.append((i, P.pack(keys[w].view(np.int64)), packed_places(at), *[P.pack(x) for x in facts[sets].T], P.pack(words[sets]), b"".join([held[x][2] for x in sets.tolist()])))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if not i else pa.binary()) for i in range(8)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if not i else pa.binary()) for i in range(len(names))], names=names)
 
+        n = 0
         for b in batches:
-            for *told, raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for *facts, raw, bits in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 keys = P.unpack(raw).view(np.uint64)
                 keys = keys if turn is None else keys[H.mix(keys) % np.uint64(TURNS) == turn]
-                held.append((keys, *(np.full(len(keys), x) for x in told)))
-            if sum(len(h[0]) for h in held) >= FLUSH:
+                if len(keys):
+                    held.append((keys, facts, bits))
+                    n += len(keys)
+            if n >= FLUSH:
                 yield flush()
+                n = 0
         if held:
             yield flush()
 
     def asked(table: pa.Table) -> pa.Table:
-        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for r in table.to_pylist():
-            which = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["sets"]), "<u4")
-            for out, x in zip(parts, (P.unpack(r["tokens"]).view(np.uint64), *(P.unpack(r[c])[which] for c in ("classes", "gids", "labels", "ns", "owns"))), strict=True):
-                out.append(x)
-        token, of, gid, label, n, own = (np.concatenate(p) for p in parts)
-        order = np.lexsort((own, gid, token)) if turn is None else np.lexsort((own, label, token))
-        token, of, gid, label, n, own = (x[order] for x in (token, of, gid, label, n, own))
-        if turn is not None:
-            return asked_first(token, of, gid, label)
+        rows, base, entries = table.to_pylist(), 0, []
+        for r in rows:
+            at = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["sets"]), "<u4").astype(np.int64)
+            entries.append((P.unpack(r["tokens"]).view(np.uint64), at + base))
+            base += int(at.max()) + 1
+        token, at = (np.concatenate(x) for x in zip(*entries, strict=True))
+        of, gid, label, n, own, words = (np.concatenate([P.unpack(r[c]) for r in rows]) for c in (*told, "words"))
+        sketches = Sketches(words, b"".join([r["sketches"] for r in rows]))
+
+        def open_pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Which of the pairs of sets ask."""
+            left = np.flatnonzero((label[i] != label[j]) & (gid[i] != gid[j]))
+            left = left[may_link(n[i[left]], n[j[left]], own[i[left]], own[j[left]], percent)]
+            return left[sketches.differ(i[left], j[left]) <= may_differ(n[i[left]], n[j[left]], percent)]
+
+        order = np.lexsort((of[at], own[at], at if turn is None else label[at], token))
+        token, at = token[order], at[order]
         edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         sizes = np.diff(edges)
         found: list[np.ndarray] = []
         total = 0
 
-        def add(i: np.ndarray, j: np.ndarray, most: np.ndarray | None = None) -> None:
+        def add(i: np.ndarray, j: np.ndarray) -> None:
             nonlocal total
-            take = (label[i] != label[j]) & (gid[i] < gid[j]) & (own[i] + own[j] <= may_differ(n[i], n[j] if most is None else most, percent))
-            if take.any():
-                found.append(np.unique(np.stack([gid[i[take]], of[i[take]], gid[j[take]]]), axis=1))
+            ask = open_pairs(i, j)
+            if len(ask):
+                i, j = i[ask], j[ask]
+                i, j = np.where(gid[i] < gid[j], i, j), np.where(gid[i] < gid[j], j, i)
+                found.append(np.unique(np.stack([gid[i], of[i], gid[j]]), axis=1))
                 total += found[-1].shape[1]
                 if total > 2_000_000:
                     found[:] = [np.unique(np.concatenate(found, axis=1), axis=1)]
                     total = found[0].shape[1]
 
-        some = np.repeat(sizes <= 32, sizes)
-        for d in range(1, 32):  # short runs: pairs at each distance
+        some = np.repeat(sizes <= LONG, sizes)
+        for d in range(1, LONG if turn is None else 2):  # short runs: pairs at each distance; in a turn each label's first and the next label's
             i = np.flatnonzero(some[:-d] & (token[d:] == token[:-d]) & some[d:]) if d < len(token) else np.zeros(0, np.int64)
-            add(i, i + d)
-        for lo, hi in zip(edges[:-1][sizes > 32].tolist(), edges[1:][sizes > 32].tolist(), strict=True):
-            # long runs: every entry against one of each (group, label), that with the fewest own tokens, as if it had the most tokens
-            if (label[lo:hi] == label[lo]).all():
+            add(at[i], at[i + d])
+        for lo, hi in zip(edges[:-1][sizes > LONG].tolist(), edges[1:][sizes > LONG].tolist(), strict=True):
+            run = at[lo:hi]
+            labels, of_label = np.unique(label[run], return_inverse=True)
+            if len(labels) == 1:
+                continue
+            if turn is not None:
+                add(*nearest(run, run[np.argsort(own[run], kind="stable")[:CENTRES]], open_pairs, sketches))
                 continue
-            _, ones, of_one = np.unique(np.stack([gid[lo:hi], label[lo:hi]]), axis=1, return_index=True, return_inverse=True)
-            most = np.zeros(len(ones), np.int64)
-            np.maximum.at(most, of_one.ravel(), n[lo:hi])
-            for s in range(lo, hi, 1024):
-                i = np.arange(s, min(hi, s + 1024))
-                for t in range(0, len(ones), 1024):
-                    j, m = lo + ones[t : t + 1024], most[t : t + 1024]
-                    add(np.repeat(i, len(j)), np.tile(j, len(i)), np.tile(m, len(i)))
-        rows = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("gid", "q", "g"), rows, strict=True)})
-
-    return keyed.select("class", "of", "label", "n", "own", "keys").mapInArrow(posted, cell).groupBy("bucket").applyInArrow(asked, "gid long, q long, g long").distinct()
-
-
-def asked_first(token: np.ndarray, of: np.ndarray, gid: np.ndarray, label: np.ndarray) -> pa.Table:
-    """The few questions of a turn, from entries in order of token and label."""
-    ones = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (label[1:] != label[:-1])])) if len(token) else np.zeros(0, np.int64)
-    many = np.diff(ones, append=len(token))
-    i, j = ones[:-1], ones[1:]
-    parts = [np.stack([i, j])[:, token[i] == token[j]]]
-    runs = np.flatnonzero(np.concatenate([[True], token[ones][1:] != token[ones][:-1], [True]])) if len(ones) else np.zeros(1, np.int64)
-    for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
-        if hi - lo > 1 and (top := lo + int(np.argmax(many[lo:hi]))) >= 0 and many[top] > 1:
-            # groups of the largest label, picked by the asking set so that it picks alike for every key
-            own = ones[top] + np.unique(gid[ones[top] : ones[top] + many[top]], return_index=True)[1]
-            asking = np.delete(ones[lo:hi], top - lo)
-            picks = H.mix(of[asking].view(np.uint64))
-            parts += [np.stack([asking, own[(picks >> np.uint64(16 * t)) % np.uint64(len(own))]]) for t in range(3)]
-    i, j = np.concatenate(parts, axis=1)
-    ask = gid[i] != gid[j]
-    rows = np.unique(np.stack([gid[i[ask]], of[i[ask]], gid[j[ask]]]), axis=1)
-    return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("gid", "q", "g"), rows, strict=True)})
+            # long runs: every set beside the largest label's against all; two such sets meet once
+            rest = of_label != np.argmax(np.bincount(of_label))
+            ask, every = run[rest], np.concatenate([run[rest], run[~rest]])
+            for s in range(0, len(ask), 512):
+                for t in range(s, len(every), 2048):
+                    i, j = ask[s : s + 512], every[t : t + 2048]
+                    add(np.repeat(i, len(j)), np.tile(j, len(i)))
+        asks = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("gid", "q", "g"), asks, strict=True)})
+
+    return keyed.select("class", "of", "label", "n", "own", "keys", "sketch").mapInArrow(posted, cell).groupBy("bucket").applyInArrow(asked, "gid long, q long, g long").distinct()
+
+
+def nearest(sets: np.ndarray, centres: np.ndarray, open_pairs: Callable[[np.ndarray, np.ndarray], np.ndarray], sketches: Sketches) -> tuple[np.ndarray, np.ndarray]:
+    """Each set with the centre that differs least by sketches, of those that it can link to and isn't known to be connected with."""
+    found = [np.zeros((2, 0), np.int64)]
+    for s in range(0, len(sets), 4096):
+        i, j = np.repeat(sets[s : s + 4096], len(centres)), np.tile(centres, len(sets[s : s + 4096]))
+        ask = open_pairs(i, j)
+        i, j = i[ask], j[ask]
+        order = np.lexsort((sketches.differ(i, j), i))
+        found.append(np.stack([i, j])[:, order[np.flatnonzero(np.diff(i[order], prepend=-1))]])
+    i, j = np.concatenate(found, axis=1)
+    return i, j
 
 
 def dealt(rows: DataFrame, groups: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -455,7 +509,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for turn in [*range(FIRST), None]:
         links = written(links.unionByName(answers(written(questions(known, n, percent, turn), "questions"), groups, percent)), "links")
         root = components(links, "a", "b")
-        known = keyed.join(root, F.col("class") == root.node, "left").select("class", "of", F.coalesce("root", "class").alias("label"), "n", "own", "keys")
+        known = keyed.join(root, F.col("class") == root.node, "left").select("class", "of", F.coalesce("root", "class").alias("label"), "n", "own", "keys", "sketch")
     least = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least")).join(root, F.col("class") == root.node, "left")
     least = written(least.select("class", "least", F.coalesce("root", "class").alias("root")), "roots")
     first = least.groupBy("root").agg(F.min("least").alias("component_id"))

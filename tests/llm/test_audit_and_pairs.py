@@ -118,6 +118,48 @@ def test_crowds_ask_group_by_group(spark):
     assert sorted((r.id, r.n_shingles, r.component_id) for r in out.collect()) == plain_join(rows)
 
 
+def test_sketches_never_differ_by_more_than_sets():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 6000, dtype=np.int64).astype(np.uint64)
+    sets = []
+    for n in (1, 31, 33, 90, 129, 146, 146, 146, 260, 300, 1000, 1100, 6000):
+        t = base[:n].copy()
+        t[r.choice(n, n // 12, replace=False)] = r.integers(0, 2**63, n // 12).astype(np.uint64)
+        sets.append(np.unique(t))
+    told = [J.sketch(t) for t in sets]
+    told[4] = told[4][:0]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    least = J.Sketches(np.array([len(x) for x in told]), b"".join(x.tobytes() for x in told)).differ(i, j)
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (least <= true).all() and (least[(i == 4) | (j == 4)] == 0).all()
+    assert ((least == 0) == (i == j))[(i != 4) & (j != 4)].all() and least[(i == 5) & (j == 6)][0] > 0.8 * true[(i == 5) & (j == 6)][0]
+
+
+def test_a_crowd_below_the_threshold_hardly_asks(spark, monkeypatch):
+    """300 texts that share about two thirds of their shingles with one another, of which hardly a pair links."""
+    base, asked = prose(150).split(" "), []
+
+    def replaced(k, places):
+        words = list(base)
+        for i, at in enumerate(places):
+            words[at] = f"only{k}and{i}"
+        return " ".join(words)
+
+    rows = [(k, replaced(k, rnd.sample(range(19, 145, 7), 3)), "x", 1, 2, "z") for k in range(300)] + [(1000 + k, replaced(1000 + k, [2, 9]), "x", 1, 2, "z") for k in range(40)]
+
+    def counted(df, tag, *a, write=J.written):
+        out = write(df, tag, *a)
+        if tag == "questions":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "written", counted)
+    out = J.jaccard_join(spark.createDataFrame(rows, KIND).repartition(4), n_members=8)
+    got = sorted((r.id, r.n_shingles, r.component_id) for r in out.collect())
+    assert got == plain_join(rows) and sum(c == 1000 for _, _, c in got) == 40
+    assert len(asked) == J.FIRST + 1 and sum(asked) < 500, asked
+
+
 def test_a_third_of_all_rows_is_one_text(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, BASE).otherwise(F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256))).alias("text"))
     got = {r.id: r.component_id for r in J.jaccard_join(rows).collect()}
