@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, long_array, same, slices, text_rows, text_rows_key, written
+from .common import MERGE, ids_of, long_array, same, slices, text_rows, text_rows_key, written
 from .components import components
 
 LENGTH, RADIUS = 23, 3
@@ -152,8 +152,9 @@ def links(points: DataFrame, threshold: int = 2, homes: int = HOMES) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     placed = points.select("fp").mapInArrow(spread, "fp long, anchor long, home boolean")
+    # Spark sizes what spread returns by its input, which has a sixtieth of the rows, so it would be broadcast
     cells = placed.where("home").groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / homes).cast("int").alias("cells"))
-    dealt = placed.join(cells, "anchor").select("anchor", F.explode(F.expr("sequence(0, cells - 1)")).alias("cell"), "fp", "home", "cells")
+    dealt = placed.join(cells.hint(MERGE), "anchor").select("anchor", F.explode(F.expr("sequence(0, cells - 1)")).alias("cell"), "fp", "home", "cells")
     dealt = dealt.select("anchor", "cell", "fp", (F.col("home") & (F.pmod(F.xxhash64("fp"), "cells") == F.col("cell"))).alias("home"))
     sorted_ = dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", F.desc("home"), "fp")
     return sorted_.mapInArrow(compare, "a long, b long").distinct()
@@ -188,11 +189,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = written(links(points, threshold), "links")
     root = components(found, "a", "b")
     # the first document of each connected set of fingerprints
-    labelled = points.join(root, points.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = points.join(root.hint(MERGE), points.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = labelled.groupBy("root").agg(F.min("least").alias("first"))
-    of = written(labelled.join(first, "root").select("fp", "first"), "classes")
+    of = written(labelled.join(first.hint(MERGE), "root").select("fp", "first"), "classes")
     best = same(F.col("id"), F.col("first.id")) & (F.col("key") == F.col("first.key"))
-    return prints.join(of, "fp").select("id", "key", "fp", F.col("first.id").alias("component_id"), best.alias("best"))
+    return prints.join(of.hint(MERGE), "fp").select("id", "key", "fp", F.col("first.id").alias("component_id"), best.alias("best"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
@@ -205,7 +206,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     rows = docs.select(text_rows_key(id_col, text_col).alias(KEY), F.struct(*[f"`{c}`" for c in docs.columns]).alias(ROW), F.struct(*order).alias(RANK))
     once = rows.groupBy(KEY).agg(F.min_by(ROW, RANK).alias(ROW))
-    return once.join(stay, KEY, "left_semi").select(f"{ROW}.*")
+    return once.join(stay.hint(MERGE), KEY, "left_semi").select(f"{ROW}.*")
 
 
 KEY, ROW, RANK = "__row_key__", "__row__", "__rank__"
