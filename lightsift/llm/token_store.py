@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import NULL_ID, ids_of, long_array, numbered, slices, text_buffer, text_rows
+from .common import MERGE, NULL_ID, ids_of, long_array, numbered, slices, text_buffer, text_rows
 
 ROLL, MASK, LEAST, MOST = 16, (1 << 10) - 1, 256, 8192
 #: Pieces whose ids a worker keeps (about 50 bytes each), and chunk digests that a task remembers having sent.
@@ -326,7 +326,7 @@ def verify_tokens(spark: SparkSession, path: str) -> DataFrame:
     """id, start, n_tokens, crc of each document, from the files: stored chunks are hashed anew, recipes are
     checked against their Merkle roots, and the CRC-32 of a document is combined from those of its chunks."""
     parts = read_recipes(spark, path).select("start", F.posexplode("shas").alias("pos", "sha"))
-    got = parts.join(read_chunks(spark, path), "sha").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc"))).alias("chunks"))
+    got = parts.join(read_chunks(spark, path).hint(MERGE), "sha").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc"))).alias("chunks"))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,7 +343,7 @@ def verify_tokens(spark: SparkSession, path: str) -> DataFrame:
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, ns, crcs)], names=["id", "start", "n_tokens", "crc"])
 
-    recipes = read_recipes(spark, path).join(got, "start").select("id", "start", "n", "shas", "root", "chunks")
+    recipes = read_recipes(spark, path).join(got.hint(MERGE), "start").select("id", "start", "n", "shas", "root", "chunks")
     return recipes.mapInArrow(combine, "id long, start long, n_tokens long, crc long")
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from lightsift.llm.common import written
+from lightsift.llm.common import scratch_path, written
 from lightsift.llm.simhash_dedup import links, simhash_dedup, without_copies
+from lightsift.llm.token_store import verify_tokens, write_tokens
 
 
 def broadcasts(df) -> list[str]:
@@ -35,3 +37,10 @@ def test_documents_are_not_broadcast(alike):
     assert broadcasts(got) == [] and [r.id for r in got.where("best").collect()] == [0]
     stay = without_copies(alike)
     assert broadcasts(stay) == [] and [r.doc_id for r in stay.collect()] == [0]
+
+
+def test_chunks_are_not_broadcast(spark, alike):
+    path = scratch_path(spark, "tokens")
+    write_tokens(alike, path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    got = verify_tokens(spark, path)
+    assert broadcasts(got) == [] and got.count() == 2000 and got.select("crc").distinct().count() == 1
